@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, maybe_broadcast, slices
-from .ngram_join import WordHash
+from .words import word_hashes
 
 MIN_WORDS, MAX_WORDS, PAD = 20, 32, 32
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 32, 256, np.uint32)
 GEAR[0] = 0  # the pad between texts leaves nothing in the hash
 _B = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.cumprod(np.concatenate(([1], np.full(MAX_WORDS, _B))).astype(np.uint64), dtype=np.uint64)
+_POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MAX_WORDS, _B))), dtype=np.uint64)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -61,11 +61,10 @@ def cuts(texts: list[list[bytes]]) -> list[np.ndarray]:
     return out
 
 
-def pairs(words: list[bytes], ends: np.ndarray, hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first word, end word of each chunk with its successor."""
+def pairs(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first word, end word of each chunk with its successor; ids: the words' hashes."""
     if not len(ends):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     starts = np.concatenate(([0], ends[:-1]))
     chunk = np.add.reduceat(ids * _POW[np.arange(len(ids)) - np.repeat(starts, ends - starts)], starts)
     chunk = (chunk ^ (chunk >> np.uint64(32))) * _B
@@ -79,10 +78,10 @@ def chunk_table(base: DataFrame) -> DataFrame:
     """id, n_words, d (digests), s, e (word spans) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch, texts in slices(batches, "text", 1 << 20):
             split = [(t or b"").split() for t in texts]
-            rows = [pairs(w, c, hashes) for w, c in zip(split, cuts(split), strict=True)]
+            ids, counts = word_hashes(texts, None)
+            rows = [pairs(w, c) for w, c in zip(np.split(ids, np.cumsum(counts)[:-1]), cuts(split), strict=True)]
             off = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))), pa.int32())
             lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([r[k] for r in rows]))) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), *lists], names=["id", "n_words", "d", "s", "e"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,17 +15,37 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests) is one made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise once, in the shared checkpoint folder: lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise once, as a table in the shared folder: lost executors lose nothing, later reads prune columns, and plans start from true sizes
+    (statistics of a checkpoint() multiply along joins)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def uncut(*tables: DataFrame | None) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done with: it does so when their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,7 +81,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = cut(small.distinct())
+        last, now = now, cut(small.distinct())
+        uncut(last)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(seen) == stamp:
             break

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, slices
+from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 5, 80
@@ -120,7 +120,9 @@ def verifier(base: DataFrame, classes: DataFrame, percent: int):
                 keep = [jaccard_at_least(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(exact, "a long, b long")
+        found = cut(both.mapInArrow(exact, "a long, b long"))
+        uncut(wanted, lines)
+        return found
 
     return verify
 

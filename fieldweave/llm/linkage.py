@@ -8,42 +8,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, tidy, uncut
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes: int, per_class: int = 4, rounds: int = 12) -> DataFrame:
-    """(node, root) of the linked classes. buckets: (key, cid), both long or string; verify: distinct pairs (a, b), a < b, to those that are links.
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes: int, marks: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None, per_class: int = 256, rounds: int = 8) -> DataFrame:
+    """(node, root) of the linked classes. buckets: (key, cid), both long; verify: distinct pairs (a, b), a < b, to those that are links, materialised.
+    marks: (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
+    sift: a closer bound on stored pairs, also cheaper than verify.
 
-    per_class * n_classes is how many pairs may be left for the last, exhaustive step; after that many rounds it runs in any case."""
+    The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (per_class
+    bucket pairs and one sifted pair for each), or after that many rounds; the rest is then tested in full."""
     spark = buckets.sparkSession
+    fits = near or (lambda a, b: F.lit(True))
+    sift = sift or (lambda pairs: pairs)
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    live = cut(buckets.join(shared, "key"))
-    links = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    for turn in range(rounds):
-        now = live.join(roots, live.cid == roots.node, "left").select("key", "cid", F.coalesce("root", "cid").alias("root")) if turn else live.select("key", "cid", F.col("cid").alias("root"))
-        sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        open_keys = cut(open_keys.select("key", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")))
+    live = buckets.join(shared, "key")
+    live = cut(live.join(marks, "cid") if marks is not None else live.withColumn("mark", F.lit(0)))
+    links = tested = roots = rest = None
+    for turn in range(rounds + 1):
+        tidy(spark)
+        now = live.withColumn("root", F.col("cid")) if roots is None else live.join(roots, live.cid == roots.node, "left").select("key", "cid", "mark", F.coalesce("root", "cid").alias("root"))
+        per_root = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        per_key = per_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        open_keys = cut(per_key.select("key", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")))
         left = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         if not left:
-            return roots
+            uncut(open_keys, live, tested)
+            return components(links) if links is not None else spark.createDataFrame([], "node long, root long")
         now = now.join(open_keys.select("key"), "key")
-        if turn and left <= max(per_class * n_classes, 100_000):
-            break
+        if turn == rounds or turn and left <= max(per_class * n_classes, 100_000):
+            a = now.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
+            b = now.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
+            met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("ma"), F.col("mb"))).select("a", "b").distinct()
+            rest = cut(sift(met.join(tested, ["a", "b"], "left_anti")))
+            if turn == rounds or rest.count() <= max(n_classes, 10_000):
+                found = verify(rest)
+                uncut(open_keys, live, tested, rest)
+                return components(links.union(found))
+            uncut(rest)
         order = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
-        lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("cid"), F.col("root").alias("root"))).alias("x")).select("key", F.col("x.cid").alias("lead"), F.col("x.root").alias("lead_root"))
-        pairs = now.join(lead, "key").filter("root <> lead_root").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs)
-        found = cut(verify(pairs))
-        tested = pairs if not turn else cut(tested.union(pairs))
-        links = found if not turn else cut(links.union(found))
-        roots = cut(components(links))
-    now = cut(now)
-    a, b = now.select("key", F.col("cid").alias("a"), F.col("root").alias("ra")), now.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
-    rest = cut(a.join(b, "key").filter("a < b AND ra <> rb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    return cut(components(links.union(verify(rest))))
+        lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("cid"), F.col("root").alias("root"), F.col("mark").alias("mark"))).alias("x"))
+        lead = lead.select("key", F.col("x.cid").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.mark").alias("lead_mark"))
+        pairs = now.join(lead, "key").filter((F.col("root") != F.col("lead_root")) & fits(F.col("mark"), F.col("lead_mark"))).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+        pairs = cut(sift(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
+        found = verify(pairs)
+        links = found if links is None else links.union(found)
+        tested = pairs if tested is None else cut(tested.union(pairs))
+        roots = components(links)
+        uncut(open_keys)

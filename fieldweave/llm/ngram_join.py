@@ -3,8 +3,8 @@
 1. Texts become sets of word n-grams (64-bit hashes, sorted). Equal sets are one class, by a 128-bit digest.
 2. Tiles: at similarity t a pair must share one of the first n - ceil(t n) + 1 grams of any global order. The order is by hash, with grams that very many documents
    share (counted over all documents) last, so that shared passages open no tile. A tile is a gram and its classes; within it, only sizes within t of each other meet (size bands).
-3. Hashed bitmap signatures: 512 parity bits a class. Two sets differ in at least as many grams as their bitmaps differ in bits, so the bit count of the xor bounds the overlap from
-   above; pairs whose bound is too low go.
+3. Hashed bitmap signatures of parity bits. Two sets differ in at least as many grams as their bitmaps differ in bits, so the bit count of the xor bounds the overlap from
+   above; pairs whose bound is too low go. 256 bits a class travel with the tiles; pairs that pass them meet bitmaps as long as the set (a power of two; the longer of two is folded).
 4. The sorted arrays of the pairs that are left are intersected exactly.
 Tiles with many classes are linked through leaders (see linkage), never pair by pair.
 
@@ -13,93 +13,72 @@ own text; a null id is returned with a null component; an empty table gives an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, slices
+from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
+from .words import gram_sets
 
-N, PERCENT, BITS = 3, 90, 512
-#: A gram that more than one document in HOT_ONE_IN holds goes to the end of the order.
-HOT_ONE_IN = 1000
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-class WordHash(dict):
-    """64-bit hash of a word, remembered; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def grams(text: bytes | None, n: int, hashes: WordHash) -> np.ndarray:
-    """The sorted distinct grams of a text."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    m = min(n, len(ids))
-    out = np.full(len(ids) - m + 1, m, np.uint64)
-    for j in range(m):
-        out = (out ^ ids[j : len(ids) - m + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
-
-
+N, PERCENT, BITS = 3, 90, 256
+#: Most grams that count as common, and the least documents that hold a common gram.
+COMMON, COMMON_DOCS = 4_000_000, 64
 def _binary_rows(cols: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def hot_grams(base: DataFrame, n: int, one_in: int) -> np.ndarray:
-    """Grams of more than one in one_in documents, by counts over all documents. Tasks pass on what they meet at least half as often as that rate in their own
-    rows, so what is shuffled is small; the set itself holds at most one_in x (mean grams a document) values. It only sets the order: any set gives right results."""
+def common_grams(base: DataFrame, n: int) -> np.ndarray:
+    """Grams of very many documents: more than COMMON_DOCS, and more than all grams / COMMON, so that there are COMMON of them at most and they fit a broadcast.
+
+    Counts cover all documents. Tasks pass on the grams that they meet twice or more; a gram of that many documents meets itself in most tasks, so
+    half its count is asked of the sum. The set only sets the order in which tiles are opened: any set gives right results."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, docs = WordHash(), [], 0, 0
+        held, size, total = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            g, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = c >= max(2, docs // (2 * one_in))
-            return pa.RecordBatch.from_arrays([pa.array(g[often].view(np.int64)), pa.array(c[often].astype(np.int64)), pa.array(np.zeros(int(often.sum()), np.int64))], names=["g", "c", "d"])
-
-        for _, texts in slices(batches, "text"):
-            for t in texts:
-                x = grams(t, n, hashes)
-                if len(x):
-                    held.append(x)
-                    size, docs = size + len(x), docs + 1
+            x = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+            count = np.diff(np.concatenate((first, [len(x)])))
+            g, c = x[first][count > 1].view(np.int64), count[count > 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(g, 0)), pa.array(np.append(c, 0)), pa.array(np.append(np.zeros(len(g), np.int64), total))], names=["g", "c", "total"])
+
+        for _, texts in slices(batches, "text", 2 << 20):
+            for x in gram_sets(texts, n):
+                held.append(x)
+                size += len(x)
             if size > 4_000_000:
+                total = size
                 yield flush()
-                held, size, docs = [], 0, 0
+                held, size = [], 0
+        total = size
         yield flush()
 
-    total = base.count()
-    counts = base.select("text").mapInArrow(scan, "g long, c long, d long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") > max(8, total // one_in)).select("g")
-    return np.sort(np.array([r[0] for r in counts.toLocalIterator()], np.int64).view(np.uint64))
+    counts = cut(base.select("text").mapInArrow(scan, "g long, c long, total long").groupBy("g").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
+    most = max(COMMON_DOCS, (counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) // COMMON)
+    return np.sort(np.array([r[0] for r in counts.filter(F.col("c") > most // 2).select("g").toLocalIterator()], np.int64).view(np.uint64))
 
 
 def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """id, n_grams, digest, bits (8 longs), tiles (grams of the prefix)."""
+    """id, n_grams, digest, bits (BITS of them), wide (as many as grams), tiles (grams of the prefix)."""
     held = base.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, top = WordHash(), held.value
-        for batch, texts in slices(batches, "text"):
-            size, digest, bits, tiles = [], [], [], []
-            for t in texts:
-                x = grams(t, n, hashes)
+        top = held.value
+        for batch, texts in slices(batches, "text", 2 << 20):
+            size, digest, bits, wide, tiles = [], [], [], [], []
+            for x in gram_sets(texts, n):
                 size.append(len(x))
                 digest.append(xxhash.xxh3_128_digest(x.tobytes()))
-                parity = np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                width = max(BITS, 1 << (len(x) - 1).bit_length()) if len(x) else BITS
+                parity = (np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+                wide.append(np.packbits(parity).view(np.int64))
+                bits.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, BITS))).view(np.int64))
                 p = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 if len(x) and len(top):
                     at = np.searchsorted(top, x)
@@ -108,37 +87,63 @@ def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
                 tiles.append(x[:p].view(np.int64))
             off = lambda a: pa.array(np.concatenate(([0], np.cumsum([len(v) for v in a]))), pa.int32())
             flat = lambda a: pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(off(bits), flat(bits)), pa.ListArray.from_arrays(off(tiles), flat(tiles))], names=["id", "n_grams", "digest", "bits", "tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *(pa.ListArray.from_arrays(off(v), flat(v)) for v in (bits, wide, tiles))], names=["id", "n_grams", "digest", "bits", "wide", "tiles"])
+
+    return base.mapInArrow(scan, "id long, n_grams long, digest binary, bits array<long>, wide array<long>, tiles array<long>")
+
+
+def _bound(na: Column, nb: Column, apart: Column, percent: int) -> Column:
+    """J >= t <=> overlap >= t (na + nb) / (1 + t), and overlap <= (na + nb - bits that differ) / 2."""
+    return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
+
+
+def can_be_similar(percent: int) -> Callable[[Column, Column], Column]:
+    """Size band and bitmap bound of two marks."""
+
+    def near(a: Column, b: Column) -> Column:
+        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
+        return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
+
+    return near
+
+
+def sifter(classes: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
+    """The bound by bitmaps as long as the sets. Sizes within a band differ by less than two, so at most one folding makes lengths equal; bit i of the folded one is the xor of bits i and i + half."""
+
+    def fold(x: Column, size: Column) -> Column:
+        half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > size, half).otherwise(x)
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_grams").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+        x = pairs.join(side("a"), "a").join(side("b"), "b")
+        size = F.least(F.size("wa"), F.size("wb"))
+        apart = F.aggregate(F.zip_with(fold(F.col("wa"), size), fold(F.col("wb"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        return x.filter(_bound(F.col("na"), F.col("nb"), apart, percent)).select("a", "b")
 
-    return base.mapInArrow(scan, "id long, n_grams long, digest binary, bits array<long>, tiles array<long>")
+    return sift
 
 
-def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int):
-    """Pairs of classes to those that are links: size band, bitmap bound, exact intersection."""
-    sig = classes.select("cid", F.col("n_grams").alias("n"), "bits")
+def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int) -> Callable[[DataFrame], DataFrame]:
+    """Pairs of classes to those that are links, by exact intersection of their sorted gram arrays."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sig.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(sig.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-        apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITS // 64)), F.lit(0))
-        # J >= t  <=>  overlap >= t (na + nb) / (1 + t); overlap <= (na + nb - apart) / 2
-        band = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ((F.col("na") + F.col("nb") - apart) * (100 + percent) >= 2 * percent * (F.col("na") + F.col("nb")))
-        near = cut(x.filter(band).select("a", "b"))
-        ids = near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))).distinct()
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         wanted = cut(classes.join(ids, "cid").select("cid", F.col("rep").alias("id"), "digest"))
         rows = base.join(maybe_broadcast(wanted), "id").select("cid", "digest", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHash()
-            for batch, texts in slices(batches, "text"):
+            for batch, texts in slices(batches, "text", 2 << 20):
                 out: list[tuple[int, bytes]] = []
-                for cid, digest, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                    raw = grams(t, n, hashes).tobytes()
+                for cid, digest, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gram_sets(texts, n), strict=True):
+                    raw = x.tobytes()
                     if xxhash.xxh3_128_digest(raw) == digest:  # an id may repeat with another text
                         out.append((cid, raw))
                 yield _binary_rows([[o[0] for o in out], [o[1] for o in out]], [pa.int64(), pa.binary()], ["cid", "grams"])
 
         arrays = cut(rows.mapInArrow(sets, "cid long, grams binary").dropDuplicates(["cid"]))
-        both = near.join(arrays.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").join(arrays.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+        # The member side first: what is shuffled is one array a pair, and a leader's array is only repeated within its tasks.
+        both = pairs.join(arrays.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b").join(arrays.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -149,20 +154,23 @@ def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int):
                     keep.append(100 * same >= percent * (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(exact, "a long, b long")
+        found = cut(both.mapInArrow(exact, "a long, b long"))
+        uncut(wanted, arrays)
+        return found
 
     return verify
 
 
-def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, hot_one_in: int = HOT_ONE_IN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id per row."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut(signatures(base, n, percent, hot_grams(base, n, hot_one_in)))
-    first = F.min(F.struct(F.col("id").alias("id"), F.col("n_grams").alias("n_grams"), F.col("bits").alias("bits"), F.col("tiles").alias("tiles")))
+    sig = cut(signatures(base, n, percent, common_grams(base, n)))
+    first = F.min(F.struct(F.col("id").alias("id"), F.col("n_grams").alias("n_grams"), F.col("bits").alias("bits"), F.col("wide").alias("wide"), F.col("tiles").alias("tiles")))
     classes = sig.filter("n_grams > 0 AND id IS NOT NULL").groupBy("digest").agg(first.alias("x"))
-    classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.tiles", F.monotonically_increasing_id().alias("cid")))
+    classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.wide", "x.tiles", F.monotonically_increasing_id().alias("cid")))
     tiles = classes.select(F.explode("tiles").alias("key"), "cid")
-    roots = link(tiles, verifier(base, classes, n, percent), classes.count())
+    marks = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits").alias("mark"))
+    roots = link(tiles, verifier(base, classes.select("cid", "rep", "digest"), n, percent), classes.count(), marks, can_be_similar(percent), sifter(classes, percent))
     named = classes.select("cid", "rep", "digest").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "root").select("digest", "component_id")
