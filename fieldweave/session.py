@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+#: Arrow batches by bytes as well as rows: whole texts are long, and a batch is held by the JVM and by Python at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 _SHIPPED: set[str] = set()
 
 
@@ -28,6 +31,9 @@ def session(name: str = "fieldweave", **more: str) -> SparkSession:
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors' Python this package, once per application. Spark serves the archive from the driver, so no shared folder is needed."""
     sc = spark.sparkContext
+    for name, value in BATCHES.items():
+        if spark.conf.isModifiable(name):
+            spark.conf.set(name, value)
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         root = Path(__file__).resolve().parent
