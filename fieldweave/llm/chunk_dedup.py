@@ -78,7 +78,7 @@ def chunk_table(base: DataFrame) -> DataFrame:
     """id, n_words, d (digests), s, e (word spans) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 1 << 20):
+        for batch, texts in slices(batches, "text", 1 << 19):
             split = [(t or b"").split() for t in texts]
             ids, counts = word_hashes(texts, None)
             rows = [pairs(w, c) for w, c in zip(np.split(ids, np.cumsum(counts)[:-1]), cuts(split), strict=True)]

@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
 Distinct lines (trimmed) are classes. Their character shingles, lower-cased, give a one-permutation MinHash of BANDS x ROWS bins (empty bins take the next full bin's value with
-its distance), read in one pass over the shingles. Lines that agree in a band are candidates; candidates' exact Jaccard is computed; distributed union-find joins what passes, and of
-each component the first line by (id, line number) stays. At a similarity of 0.8 the banding finds a pair with probability 0.99 and at 0.85 with 0.999, for each pair apart; groups are found through any of their pairs.
+its distance), read in one pass over the shingles. Lines that agree in a band are candidates; bitmaps bound their similarity, and the exact Jaccard of those that pass is computed; distributed union-find joins what passes, and of
+each component the first line by (id, line number) stays. At a similarity of 0.8 the banding finds a pair with probability 0.98 and at 0.85 with 0.997, for each pair apart; groups are found through any of their pairs.
 
 Cases: blank lines are neither classes nor removed; null text has no lines; a line shorter than a shingle is one shingle; repeated rows are the same lines (kept or removed together);
 null ids take no part and are returned with nothing removed; an empty table gives an empty result. Only id and text are read."""
@@ -17,10 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bounds import bitmaps, can_be_similar, sifter
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
+from .words import distinct
 
-SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 5, 80
+SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 5, 80
 BINS = BANDS * ROWS
 _M = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -40,16 +42,19 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         run = (run[:-step] * np.uint64(p) + run[step:]) if len(run) > step else run[:0]
         p = p * p % (1 << 64)
     count = np.maximum(size - SHINGLE + 1, 0)
-    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+    end = np.cumsum(size)
+    whole = np.ones(len(pts), bool)  # shingles that start here end in the same line
+    for back in range(1, SHINGLE):
+        whole[np.maximum(end - back, end - size)[size > 0]] = False
     owner = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(count)))[:-1], count) + begin[owner]
+    full = run[whole[: len(run)]]
     short = np.flatnonzero(count == 0)
     lone = np.array([xxhash.xxh3_64_intdigest(lines[i].lower().encode("utf-8", "surrogatepass")) for i in short], np.uint64)
-    return np.concatenate([_mix(run[at]) if len(at) else np.zeros(0, np.uint64), lone]), np.concatenate([owner, short])
+    return np.concatenate([_mix(full), lone]), np.concatenate([owner, short])
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """lines x BANDS keys."""
+    """lines x BANDS keys, each of 32 bits: what else falls together by chance is sorted out by the exact step."""
     h, owner = shingles(lines)
     bins = ((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)
     sig = np.full(len(lines) * BINS, _EMPTY)
@@ -59,26 +64,27 @@ def band_keys(lines: list[str]) -> np.ndarray:
     nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     away = (nearest - np.arange(BINS)).astype(np.uint64)
     sig = np.take_along_axis(sig, nearest % BINS, 1) + away * _M
-    out = np.empty((len(lines), BANDS), np.uint64)
+    out = np.empty((len(lines), BANDS), np.int32)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
         for r in range(ROWS):
             key = _mix(key * _M + sig[:, b * ROWS + r])
-        out[:, b] = key
+        out[:, b] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
-def jaccard_at_least(x: str, y: str, percent: int = PERCENT) -> bool:
-    a, b = (np.unique(shingles([t])[0]) for t in (x, y))
-    same = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * same >= percent * (len(a) + len(b) - same)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    h, owner = shingles(lines)
+    order = np.argsort(owner, kind="stable")
+    return [distinct(x) for x in np.split(h[order], np.cumsum(np.bincount(owner, minlength=len(lines)))[:-1])] if lines else []
 
 
 def line_classes(base: DataFrame) -> DataFrame:
     """id, line (number), digest, bands per line that is not blank."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 1 << 20):
+        for batch, texts in slices(batches, "text", 1 << 19):
             rows, number, lines = [], [], []
             for i, t in enumerate(texts):
                 for k, x in enumerate((t or b"").decode("utf-8", "replace").split("\n")):
@@ -86,43 +92,56 @@ def line_classes(base: DataFrame) -> DataFrame:
                         rows.append(i)
                         number.append(k)
                         lines.append(x)
-            keys = band_keys(lines).view(np.int64).reshape(-1) if lines else np.zeros(0, np.int64)
+            keys = band_keys(lines).reshape(-1) if lines else np.zeros(0, np.int32)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys))
             digest = pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), digest, bands], names=["id", "line", "digest", "bands"])
 
-    return base.mapInArrow(scan, "id long, line int, digest binary, bands array<long>")
+    return base.mapInArrow(scan, "id long, line int, digest binary, bands array<int>")
+
+
+def line_texts(base: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
+    """cid, x (the line), n (shingles), bits, wide of the live classes; the lines are read again from their documents."""
+    wanted = cut(classes.join(live, "cid").groupBy("id").agg(F.collect_list(F.struct("line", "cid", "digest")).alias("want")))
+    n_wanted = wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0]
+    rows = base.join(maybe_broadcast(wanted, n_wanted), "id").select("want", "text")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", 1 << 19):
+            cid, got = [], []
+            for want, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                lines = (t or b"").decode("utf-8", "replace").split("\n")
+                for w in want:
+                    x = lines[w["line"]].strip() if w["line"] < len(lines) else ""
+                    if xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) == w["digest"]:  # an id may repeat with another text
+                        cid.append(w["cid"])
+                        got.append(x)
+            sets = shingle_sets(got)
+            maps = [bitmaps(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k].tolist() for m in maps], pa.list_(pa.int64())) for k in range(2))], names=["cid", "x", "n", "bits", "wide"])
+
+    out = cut(rows.mapInArrow(fetch, "cid long, x string, n long, bits array<long>, wide array<long>").dropDuplicates(["cid"]))
+    uncut(wanted)
+    return out
 
 
-def verifier(base: DataFrame, classes: DataFrame, percent: int):
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = cut(classes.join(ids, "cid").groupBy("id").agg(F.collect_list(F.struct("line", "cid", "digest")).alias("want")))
-        rows = base.join(maybe_broadcast(wanted, most=50_000), "id").select("want", "text")
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in slices(batches, "text"):
-                cid, got = [], []
-                for want, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    lines = (t or b"").decode("utf-8", "replace").split("\n")
-                    for w in want:
-                        x = lines[w["line"]].strip() if w["line"] < len(lines) else ""
-                        if xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) == w["digest"]:  # an id may repeat with another text
-                            cid.append(w["cid"])
-                            got.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string())], names=["cid", "x"])
-
-        lines = cut(rows.mapInArrow(fetch, "cid long, x string").dropDuplicates(["cid"]))
-        both = pairs.join(lines.select(F.col("cid").alias("a"), F.col("x").alias("xa")), "a").join(lines.select(F.col("cid").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb")
+def verifier(lines: DataFrame, percent: int):
+    """Pairs of classes to those whose shingle sets are similar."""
 
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [jaccard_at_least(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets([*part.column(2).to_pylist(), *part.column(3).to_pylist()])
+                keep = []
+                for a, b in zip(sets[: part.num_rows], sets[part.num_rows :], strict=True):
+                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * same >= percent * (len(a) + len(b) - same))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        found = cut(both.mapInArrow(exact, "a long, b long"))
-        uncut(wanted, lines)
-        return found
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(lines.select(F.col("cid").alias("a"), F.col("x").alias("xa")), "a").join(lines.select(F.col("cid").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb")
+        return cut(both.mapInArrow(exact, "a long, b long"))
 
     return verify
 
@@ -133,7 +152,14 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     lines = cut(line_classes(base.filter("id IS NOT NULL")))
     first = lines.groupBy("digest").agg(F.min(F.struct("id", "line", "bands")).alias("x"))
     classes = cut(first.select("digest", "x.id", "x.line", "x.bands", F.monotonically_increasing_id().alias("cid")))
-    roots = link(classes.select(F.explode("bands").alias("key"), "cid"), verifier(base, classes.select("cid", "id", "line", "digest"), percent), classes.count())
+    banded = classes.select(F.posexplode("bands").alias("band", "part"), "cid").select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("part")).alias("key"), "cid")
+    held: list[DataFrame] = []
+
+    def marks(live: DataFrame) -> DataFrame:
+        held.append(line_texts(base, classes.select("cid", "id", "line", "digest"), live))
+        return held[0].select("cid", F.struct("n", "bits").alias("mark"))
+
+    roots = link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), lambda pairs: sifter(held[0], percent)(pairs))
     named = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     keeper = named.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
     rule = named.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))

@@ -11,22 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tidy, uncut
+from .common import components, cut, maybe_broadcast, tidy, uncut
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes: int, marks: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None, per_class: int = 256, rounds: int = 8) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes: int, marks: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], sift: Callable[[DataFrame], DataFrame], per_class: int = 256, rounds: int = 8) -> DataFrame:
     """(node, root) of the linked classes. buckets: (key, cid), both long; verify: distinct pairs (a, b), a < b, to those that are links, materialised.
-    marks: (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
+    marks: from the classes that share a bucket (cid) to (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
     sift: a closer bound on stored pairs, also cheaper than verify.
 
     The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (per_class
     bucket pairs and one sifted pair for each), or after that many rounds; the rest is then tested in full."""
     spark = buckets.sparkSession
-    fits = near or (lambda a, b: F.lit(True))
-    sift = sift or (lambda pairs: pairs)
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    live = buckets.join(shared, "key")
-    live = cut(live.join(marks, "cid") if marks is not None else live.withColumn("mark", F.lit(0)))
+    shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    met = cut(buckets.join(maybe_broadcast(shared), "key"))
+    live = cut(met.join(marks(met.select("cid").distinct()), "cid"))
+    uncut(shared, met)
     links = tested = roots = rest = None
     for turn in range(rounds + 1):
         tidy(spark)
@@ -42,17 +41,17 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes
         if turn == rounds or turn and left <= max(per_class * n_classes, 100_000):
             a = now.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
             b = now.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
-            met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("ma"), F.col("mb"))).select("a", "b").distinct()
-            rest = cut(sift(met.join(tested, ["a", "b"], "left_anti")))
+            met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("ma"), F.col("mb"))).select("a", "b").distinct()
+            rest = cut(sift(met if tested is None else met.join(tested, ["a", "b"], "left_anti")))
             if turn == rounds or rest.count() <= max(n_classes, 10_000):
                 found = verify(rest)
                 uncut(open_keys, live, tested, rest)
-                return components(links.union(found))
+                return components(found if links is None else links.union(found))
             uncut(rest)
         order = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
         lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("cid"), F.col("root").alias("root"), F.col("mark").alias("mark"))).alias("x"))
         lead = lead.select("key", F.col("x.cid").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.mark").alias("lead_mark"))
-        pairs = now.join(lead, "key").filter((F.col("root") != F.col("lead_root")) & fits(F.col("mark"), F.col("lead_mark"))).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+        pairs = now.join(lead, "key").filter((F.col("root") != F.col("lead_root")) & near(F.col("mark"), F.col("lead_mark"))).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
         pairs = cut(sift(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
         found = verify(pairs)
         links = found if links is None else links.union(found)

@@ -18,14 +18,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bounds import bitmaps, can_be_similar, sifter
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import gram_sets
 
-N, PERCENT, BITS = 3, 90, 256
+N, PERCENT = 3, 90
 #: Most grams that count as common, and the least documents that hold a common gram.
 COMMON, COMMON_DOCS = 4_000_000, 64
 def _binary_rows(cols: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -48,7 +49,7 @@ def common_grams(base: DataFrame, n: int) -> np.ndarray:
             g, c = x[first][count > 1].view(np.int64), count[count > 1]
             return pa.RecordBatch.from_arrays([pa.array(np.append(g, 0)), pa.array(np.append(c, 0)), pa.array(np.append(np.zeros(len(g), np.int64), total))], names=["g", "c", "total"])
 
-        for _, texts in slices(batches, "text", 2 << 20):
+        for _, texts in slices(batches, "text", 1 << 20):
             for x in gram_sets(texts, n):
                 held.append(x)
                 size += len(x)
@@ -70,15 +71,14 @@ def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = held.value
-        for batch, texts in slices(batches, "text", 2 << 20):
+        for batch, texts in slices(batches, "text", 1 << 20):
             size, digest, bits, wide, tiles = [], [], [], [], []
             for x in gram_sets(texts, n):
                 size.append(len(x))
                 digest.append(xxhash.xxh3_128_digest(x.tobytes()))
-                width = max(BITS, 1 << (len(x) - 1).bit_length()) if len(x) else BITS
-                parity = (np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
-                wide.append(np.packbits(parity).view(np.int64))
-                bits.append(np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, BITS))).view(np.int64))
+                narrow, broad = bitmaps(x)
+                bits.append(narrow)
+                wide.append(broad)
                 p = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 if len(x) and len(top):
                     at = np.searchsorted(top, x)
@@ -92,38 +92,6 @@ def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
     return base.mapInArrow(scan, "id long, n_grams long, digest binary, bits array<long>, wide array<long>, tiles array<long>")
 
 
-def _bound(na: Column, nb: Column, apart: Column, percent: int) -> Column:
-    """J >= t <=> overlap >= t (na + nb) / (1 + t), and overlap <= (na + nb - bits that differ) / 2."""
-    return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
-
-
-def can_be_similar(percent: int) -> Callable[[Column, Column], Column]:
-    """Size band and bitmap bound of two marks."""
-
-    def near(a: Column, b: Column) -> Column:
-        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
-        return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
-
-    return near
-
-
-def sifter(classes: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """The bound by bitmaps as long as the sets. Sizes within a band differ by less than two, so at most one folding makes lengths equal; bit i of the folded one is the xor of bits i and i + half."""
-
-    def fold(x: Column, size: Column) -> Column:
-        half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(x) > size, half).otherwise(x)
-
-    def sift(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_grams").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
-        x = pairs.join(side("a"), "a").join(side("b"), "b")
-        size = F.least(F.size("wa"), F.size("wb"))
-        apart = F.aggregate(F.zip_with(fold(F.col("wa"), size), fold(F.col("wb"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        return x.filter(_bound(F.col("na"), F.col("nb"), apart, percent)).select("a", "b")
-
-    return sift
-
-
 def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int) -> Callable[[DataFrame], DataFrame]:
     """Pairs of classes to those that are links, by exact intersection of their sorted gram arrays."""
 
@@ -133,7 +101,7 @@ def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int) -> Calla
         rows = base.join(maybe_broadcast(wanted), "id").select("cid", "digest", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in slices(batches, "text", 2 << 20):
+            for batch, texts in slices(batches, "text", 1 << 20):
                 out: list[tuple[int, bytes]] = []
                 for cid, digest, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gram_sets(texts, n), strict=True):
                     raw = x.tobytes()
@@ -170,7 +138,7 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.wide", "x.tiles", F.monotonically_increasing_id().alias("cid")))
     tiles = classes.select(F.explode("tiles").alias("key"), "cid")
     marks = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits").alias("mark"))
-    roots = link(tiles, verifier(base, classes.select("cid", "rep", "digest"), n, percent), classes.count(), marks, can_be_similar(percent), sifter(classes, percent))
+    roots = link(tiles, verifier(base, classes.select("cid", "rep", "digest"), n, percent), classes.count(), lambda live: marks.join(live, "cid"), can_be_similar(percent), sifter(classes.withColumnRenamed("n_grams", "n"), percent))
     named = classes.select("cid", "rep", "digest").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "root").select("digest", "component_id")
