@@ -1,19 +1,492 @@
-"""Queries of the network operators, each with the DuckDB SQL that must give the same rows."""
+"""Queries of the network operators, each with the DuckDB SQL that must give the same rows.
+
+The field is daily sums of event values per user (FIXTURES.md); the network links users whose series correlate, at a density of 0.05. `directed` drops some reverse edges by a fixed rule,
+so that directed measures have something to measure."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import community as C
+from ..operators import field as T
+from ..operators import graph as G
+from ..operators import grid, similarity
+from ..session import ship
+from ..sources import tables as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+DENSITY = 0.05
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.fibonacci(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count())
+
+
+def network(spark: SparkSession, sf_dir: str, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    nodes = points(spark, sf_dir)
+    n = nodes.count()
+    edges = similarity.density_edges(similarity.pearson_blocked(S.field_daily(spark, sf_dir)), n, DENSITY)
+    return nodes, edges.filter("src < dst OR (src + dst) % 3 = 0") if directed else edges
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return G.degrees(*network(ship(spark), sf_dir))
+
+
+BASE = """
+WITH ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS node FROM (SELECT DISTINCT user_id FROM events)),
+size AS (SELECT count(*) n FROM ids),
+yy AS (SELECT node, 1 - 2 * node / (n - 1)::DOUBLE y, node * (pi() * (3 - sqrt(5))) th FROM ids, size),
+pts AS (SELECT node, degrees(atan2(y, cos(th) * sqrt(1 - y * y))) lon, degrees(asin(sin(th) * sqrt(1 - y * y))) lat FROM yy),
+f AS (SELECT ids.node, d.t, coalesce(s.v, 0) v FROM ids CROSS JOIN (SELECT DISTINCT ts::DATE t FROM events) d LEFT JOIN (SELECT user_id, ts::DATE t, sum(value) v FROM events GROUP BY ALL) s ON s.user_id = ids.user_id AND s.t = d.t),
+m AS (SELECT l_suppkey node, date_trunc('month', l_shipdate)::DATE t, sum(l_quantity) v FROM lineitem GROUP BY ALL),
+z AS (SELECT node, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w z FROM f WHERE node IN (SELECT node FROM f GROUP BY node HAVING stddev_pop(v) > 0) WINDOW w AS (PARTITION BY node)),
+pr AS (SELECT a.node i, b.node j, round(sum(a.z * b.z) / count(*), 6) r FROM z a JOIN z b ON a.t = b.t AND a.node < b.node GROUP BY ALL),
+lim AS (SELECT min(w) lim FROM (SELECT abs(r) w FROM pr ORDER BY w DESC LIMIT (SELECT greatest(0, -((-(floor(0.05 * n * n) - n)) // 2))::BIGINT FROM size))),
+e AS (SELECT i src, j dst, r corr, abs(r) weight FROM pr, lim WHERE abs(r) >= lim UNION ALL SELECT j, i, r, abs(r) FROM pr, lim WHERE abs(r) >= lim),
+g AS (SELECT * FROM e WHERE src < dst OR (src + dst) % 3 = 0),
+u AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM e)
+"""
+HAV = "2 * {r} * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+
+
+def hav(a: str, b: str, r: str = "1") -> str:
+    return HAV.format(a=a, b=b, r=r)
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + 0.0 for c in cols})
+
+
+# Grids and places
+
+
+@query("SELECT i::INT node, -179.5 + (i % 72) * 5.0 lon, -89.5 + (i // 72) * 5.0 lat FROM range(2592) r(i)")
+def grid_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.gaussian(spark, 5.0)
+
+
+@query(BASE + "SELECT node::INT node, round(lon, 6) + 0.0 lon, round(lat, 6) + 0.0 lat FROM pts")
+def grid_fibonacci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points(spark, sf_dir), "lon", "lat")
+
+
+@query(BASE + "SELECT node::INT node, round(lon, 6) + 0.0 lon, round(lat, 6) + 0.0 lat FROM pts WHERE lon BETWEEN -30 AND 90 AND lat BETWEEN -40 AND 40")
+def box_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.cut(points(spark, sf_dir), (-30, 90), (-40, 40)), "lon", "lat")
+
+
+@query(BASE + "SELECT node::INT node FROM pts WHERE (lon >= 150 OR lon <= -150) AND lat BETWEEN -40 AND 40")
+def box_dateline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.cut(points(spark, sf_dir), (150, -150), (-40, 40), dateline=True).select("node")
+
+
+@query(BASE + f"SELECT a.node::INT a, b.node::INT b, round({hav('a', 'b')}, 6) d FROM pts a JOIN pts b ON a.node <> b.node")
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.distances(points(spark, sf_dir)), "d")
+
+
+@query(BASE + f"SELECT a.node::INT node, round(min({hav('a', 'b', '6371.009')}), 4) d FROM pts a JOIN pts b ON a.node <> b.node GROUP BY a.node")
+def min_dists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.min_dists(points(spark, sf_dir)), "d", places=4)
+
+
+@query(BASE + f", q AS (SELECT n_nationkey q, -180 + n_nationkey * 14.0 lon, -60 + n_nationkey * 5.0 lat FROM nation) SELECT q.q, arg_min(p.node, {{round({hav('q', 'p')}, 12), p.node}})::INT node FROM q, pts p GROUP BY q.q".replace("{round", "row(round").replace(", p.node}", ", p.node)"))
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    places = n.select(F.col("n_nationkey").alias("q"), (F.col("n_nationkey") * 14.0 - 180).alias("qlon"), (F.col("n_nationkey") * 5.0 - 60).alias("qlat"))
+    return grid.nearest(points(spark, sf_dir), places)
+
+
+# Fields
+
+
+@query(BASE + "SELECT node::INT node, t, round(v, 6) + 0.0 v FROM f")
+def field_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.field_daily(spark, sf_dir), "v")
+
+
+@query(BASE + "SELECT node::INT node, t, round(v - avg(v) OVER (PARTITION BY node, month(t)), 6) + 0.0 v FROM m")
+def anomalies_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.anomalies(S.field_monthly(spark, sf_dir), F.month("t")), "v")
+
+
+@query(BASE + "SELECT node::INT node, t, round(v - avg(v) OVER (PARTITION BY node, dayofweek(t)), 6) + 0.0 v FROM f")
+def anomalies_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.anomalies(S.field_daily(spark, sf_dir), F.dayofweek("t")), "v")
+
+
+@query(BASE + "SELECT node::INT node, t, round(v - avg(v) OVER w - regr_slope(v, x) OVER w * (x - avg(x) OVER w), 4) + 0.0 v FROM (SELECT *, date_diff('day', DATE '1990-01-01', t)::DOUBLE x FROM m) WINDOW w AS (PARTITION BY node)")
+def detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.detrend(S.field_monthly(spark, sf_dir), F.datediff("t", F.lit("1990-01-01").cast("date"))), "v", places=4)
+
+
+@query(BASE + "SELECT node::INT node, t, CASE WHEN month(t) >= 11 OR month(t) <= 2 THEN v ELSE 0 END v FROM m")
+def month_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.month_window(S.field_monthly(spark, sf_dir), 11, 2)
+
+
+@query(BASE + "SELECT node::INT node, t, CASE WHEN count(v) OVER w < 5 THEN 0 ELSE round(avg(v) OVER w, 6) END + 0.0 v FROM f WINDOW w AS (PARTITION BY node ORDER BY t ROWS 4 PRECEDING)")
+def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.rolling_mean(S.field_daily(spark, sf_dir), 5), "v")
+
+
+@query(BASE + "SELECT node::INT node, date_trunc('year', t)::DATE t, round(avg(v), 6) v FROM m GROUP BY ALL")
+def timemean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.time_mean(S.field_monthly(spark, sf_dir), "year"), "v")
+
+
+@query(BASE + "SELECT node::INT node, round(quantile_cont(v, 0.9), 6) q FROM f WHERE v >= 1 GROUP BY node")
+def quantile_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.quantiles(S.field_daily(spark, sf_dir), 0.9, 1.0), "q")
+
+
+EV = BASE + ", qs AS (SELECT node, quantile_cont(v, 0.9) q FROM f WHERE v >= 1 GROUP BY node), ev AS (SELECT f.node, t, CASE WHEN v > q AND v >= 15 THEN 1 ELSE 0 END event FROM f LEFT JOIN qs ON f.node = qs.node) "
+
+
+@query(EV + "SELECT node::INT node, t, event FROM ev")
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.events(S.field_daily(spark, sf_dir), 0.9)
+
+
+@query(EV + "SELECT node::INT node, (sum(event) > 2)::INT mask FROM ev GROUP BY node")
+def event_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.event_mask(T.events(S.field_daily(spark, sf_dir), 0.9), 2)
+
+
+@query(EV + "SELECT t, sum(event)::BIGINT n FROM ev WHERE node % 2 = 0 GROUP BY t")
+def event_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.events(S.field_daily(spark, sf_dir), 0.9).filter("node % 2 = 0").groupBy("t").agg(F.sum("event").alias("n"))
+
+
+@query(BASE + "SELECT t, round(avg(v), 6) v FROM m WHERE node <= 20 GROUP BY t")
+def region_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.field_monthly(spark, sf_dir).filter("node <= 20").groupBy("t").agg(F.avg("v").alias("v")), "v")
+
+
+@query(BASE + "SELECT year(t)::INT y, sum(v) total, round(avg(v), 6) mean FROM m WHERE node <= 20 GROUP BY ALL")
+def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.field_monthly(spark, sf_dir).filter("node <= 20").groupBy(F.year("t").alias("y")).agg(F.sum("v").alias("total"), F.avg("v").alias("mean")), "mean")
+
+
+@query("SELECT event_type, m, round(n / sum(n) OVER (PARTITION BY event_type), 9)::DOUBLE share FROM (SELECT event_type, month(ts)::INT m, count(*)::DOUBLE n FROM events GROUP BY ALL)")
+def month_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    c = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", F.month("ts").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    return c.select("event_type", "m", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("event_type")), 9).alias("share"))
+
+
+# Similarity
+
+
+@query(BASE + "SELECT i::INT i, j::INT j, r + 0.0 r FROM pr")
+def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pearson(S.field_daily(spark, sf_dir)).withColumn("r", F.col("r") + 0.0)
+
+
+@query(BASE + "SELECT i::INT i, j::INT j, r + 0.0 r FROM pr WHERE abs(r) >= 0.3")
+def pearson_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pearson_blocked(S.field_daily(spark, sf_dir), 8, 0.3).withColumn("r", F.col("r") + 0.0)
+
+
+@query(BASE + ", k AS (SELECT node, t, rank() OVER (PARTITION BY node ORDER BY v) + (count(*) OVER (PARTITION BY node, v) - 1) / 2 v FROM f), kz AS (SELECT node, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w z FROM k WINDOW w AS (PARTITION BY node)) SELECT a.node::INT i, b.node::INT j, round(sum(a.z * b.z) / count(*), 6) + 0.0 r FROM kz a JOIN kz b ON a.t = b.t AND a.node < b.node GROUP BY ALL")
+def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.spearman(S.field_daily(spark, sf_dir)).withColumn("r", F.col("r") + 0.0)
+
+
+LL = BASE + ", s AS (SELECT node % 2 h, date_diff('day', DATE '2000-01-01', t) t, sum(v) v FROM f GROUP BY ALL), sz AS (SELECT h, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w z FROM s WINDOW w AS (PARTITION BY h)) "
+
+
+@query(LL + "SELECT l::INT lag, round(sum(a.z * b.z) / (SELECT count(*) FROM sz WHERE h = 0), 6) + 0.0 c FROM range(-5, 6) r(l), sz a JOIN sz b ON b.t = a.t + l AND a.h = 0 AND b.h = 1 GROUP BY l")
+def lead_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.field_daily(spark, sf_dir)
+    half = lambda h: f.filter(F.col("node") % 2 == h).groupBy(F.datediff("t", F.lit("2000-01-01").cast("date")).alias("t")).agg(F.sum("v").alias("v"))
+    return rounded(similarity.lead_lag(half(0), half(1), 5), "c")
+
+
+@query(BASE + f", d AS (SELECT a.node a, b.node b, row_number() OVER (PARTITION BY a.node ORDER BY round({hav('a', 'b')}, 12), b.node) k FROM pts a JOIN pts b ON a.node <> b.node) SELECT a::INT node, round(avg(r), 6) + 0.0 c FROM d JOIN pr ON i = least(a, b) AND j = greatest(a, b) WHERE k <= 9 GROUP BY a")
+def local_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(similarity.local_correlation(similarity.pearson(S.field_daily(spark, sf_dir)), grid.k_nearest(points(spark, sf_dir), 9)), "c")
+
+
+@query(BASE + "SELECT i::INT src, j::INT dst FROM pr WHERE abs(r) >= 0.5 UNION ALL SELECT j, i FROM pr WHERE abs(r) >= 0.5")
+def adj_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.threshold_edges(similarity.pearson(S.field_daily(spark, sf_dir)), 0.5).select("src", "dst")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst, corr + 0.0 corr FROM e")
+def adj_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network(spark, sf_dir)[1].select("src", "dst", (F.col("corr") + 0.0).alias("corr"))
+
+
+@query()
+def adj_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.significant(similarity.pearson(S.field_daily(spark, sf_dir)), 30, 0.01)
+
+
+@query()
+def adj_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.holm(similarity.pearson(S.field_daily(spark, sf_dir)), 30, 0.05, points(spark, sf_dir).count() ** 2)
+
+
+ES = """
+WITH e0 AS (SELECT DISTINCT user_id node, floor(epoch(ts))::BIGINT t FROM events WHERE event_type = 'purchase'),
+e AS (SELECT node, t, least(t - lag(t) OVER w, lead(t) OVER w - t) gap FROM e0 WINDOW w AS (PARTITION BY node ORDER BY t)),
+h AS (SELECT a.node i, b.node j, a.t ti, b.t tj, a.gap gi, b.gap gj FROM e a JOIN e b ON a.node <> b.node AND a.t >= b.t AND a.t - b.t <= 3600)
+SELECT i, j, sum(CASE WHEN ti = tj THEN 0.5 ELSE 1 END)::DOUBLE es FROM h WHERE ti - tj <= least(coalesce(CASE WHEN gi IS NULL THEN gj WHEN gj IS NULL THEN gi ELSE least(gi, gj) END / 2, 3600), 3600) GROUP BY ALL
+"""
+
+
+@query(ES)
+def es_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.event_sync(S.event_points(spark, sf_dir, "purchase"), 3600)
+
+
+# Networks
+
+DEG = BASE + ", i AS (SELECT src node, count(*) n FROM g GROUP BY 1), o AS (SELECT dst node, count(*) n FROM g GROUP BY 1), w AS (SELECT node, sum(weight) w FROM (SELECT src node, weight FROM g UNION ALL SELECT dst, weight FROM g) GROUP BY 1) SELECT p.node::INT node, coalesce(i.n, 0) in_degree, coalesce(o.n, 0) out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) degree, coalesce(i.n, 0) - coalesce(o.n, 0) divergence, round(coalesce(w.w, 0), 6) weighted_degree FROM pts p LEFT JOIN i ON i.node = p.node LEFT JOIN o ON o.node = p.node LEFT JOIN w ON w.node = p.node"
+
+
+@query(DEG)
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(*network(spark, sf_dir, True))
+
+
+@query(BASE + "SELECT round((SELECT count(*) FROM g) / (n * n)::DOUBLE, 9) sparsity FROM size")
+def sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.sparsity(*network(spark, sf_dir, True))
+
+
+@query(BASE + "SELECT min(weight) threshold FROM e")
+def corr_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network(spark, sf_dir)[1].agg(F.min("weight").alias("threshold"))
+
+
+@query(BASE + "SELECT node::INT node FROM pts WHERE node NOT IN (SELECT src FROM g) OR node NOT IN (SELECT dst FROM g)")
+def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.isolated(*network(spark, sf_dir, True))
+
+
+@query()
+def prune_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.prune(*network(spark, sf_dir, True))[1].select("src", "dst")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src)")
+def symmetrise_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.symmetrise(network(spark, sf_dir, True)[1]).select("src", "dst")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst, max(weight) weight FROM (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g) GROUP BY 1, 2")
+def symmetrise_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.make_undirected(network(spark, sf_dir, True)[1])
+
+
+TRI = BASE + ", t AS (SELECT x.a a, x.b b, y.b c FROM u x JOIN u y ON x.b = y.a JOIN u w ON w.a = x.a AND w.b = y.b), tn AS (SELECT node, count(*) n FROM (SELECT a node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1), k AS (SELECT node, count(*) k FROM (SELECT a node FROM u UNION ALL SELECT b FROM u) GROUP BY 1) "
+
+
+@query(TRI + "SELECT p.node::INT node, coalesce(n, 0) triangles FROM pts p LEFT JOIN tn ON tn.node = p.node")
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.triangles(*network(spark, sf_dir))
+
+
+@query(TRI + "SELECT p.node::INT node, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE 2 * coalesce(n, 0) / (k * (k - 1))::DOUBLE END, 9) clustering FROM pts p LEFT JOIN tn ON tn.node = p.node LEFT JOIN k ON k.node = p.node")
+def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.clustering(*network(spark, sf_dir))
+
+
+CE = TRI + ", c AS (SELECT p.node, coalesce(n, 0) n, coalesce(k, 0) k, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE 2 * coalesce(n, 0) / (k * (k - 1))::DOUBLE END, 9) c FROM pts p LEFT JOIN tn ON tn.node = p.node LEFT JOIN k ON k.node = p.node) "
+
+
+@query(CE + "SELECT e.src::INT src, e.dst::INT dst, round(x.c + y.c, 6) cc, round(CASE WHEN x.c > 0 AND y.c > 0 THEN 1 / x.c + 1 / y.c END, 4) inv_cc, round((x.n / x.k + y.n / y.k) / 2, 6) cdr FROM e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst")
+def clustering_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edge_clustering(*network(spark, sf_dir))
+
+
+@query(TRI + ", te AS (SELECT p, q, count(*) n FROM (SELECT a p, b q FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT a, c FROM t) GROUP BY ALL) SELECT a::INT src, b::INT dst, 4 - x.k - y.k + 3 * coalesce(te.n, 0) forman FROM u JOIN k x ON x.node = a JOIN k y ON y.node = b LEFT JOIN te ON te.p = a AND te.q = b")
+def forman_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forman(network(spark, sf_dir)[1])
+
+
+@query()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.betweenness(*network(spark, sf_dir))
+
+
+LEN = BASE + f", l AS (SELECT e.*, {hav('a', 'b', '6371.0')} len FROM e JOIN pts a ON a.node = src JOIN pts b ON b.node = dst) "
+
+
+@query(LEN + "SELECT src::INT src, dst::INT dst, round(len, 4) length FROM l")
+def link_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.lengths(*network(spark, sf_dir)), "length", places=4).select("src", "dst", "length")
+
+
+@query(LEN + "SELECT floor(len / 2000)::BIGINT bin, count(*) n FROM l GROUP BY 1")
+def link_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.lengths(*network(spark, sf_dir)).groupBy(F.floor(F.col("length") / 2000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst FROM e WHERE corr <= -0.4")
+def edges_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edges_threshold(network(spark, sf_dir)[1], "corr", -0.4, upper=False).select("src", "dst")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst FROM e WHERE weight >= (SELECT quantile_cont(weight, 0.9) FROM e)")
+def edges_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edges_quantile(network(spark, sf_dir)[1], "weight", 0.9).select("src", "dst")
+
+
+R1, R2 = "SELECT node FROM pts WHERE lon BETWEEN -180 AND 0 AND lat BETWEEN -90 AND 90", "SELECT node FROM pts WHERE lon BETWEEN 20 AND 160 AND lat BETWEEN -60 AND 60"
+
+
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return grid.cut(nodes, (-180, 0), (-90, 90)), grid.cut(nodes, (20, 160), (-60, 60))
+
+
+@query(BASE + f"SELECT src::INT src, dst::INT dst FROM g WHERE src IN ({R1}) AND dst IN ({R2})")
+def edges_between_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir, True)
+    return G.between(edges, *_regions(nodes)).select("src", "dst")
+
+
+@query(BASE + f"SELECT least(src, dst)::INT src, greatest(src, dst)::INT dst FROM g WHERE src IN ({R1}) INTERSECT SELECT least(src, dst), greatest(src, dst) FROM g WHERE src IN ({R2})")
+def edges_between_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir, True)
+    return G.between_regions(edges, *_regions(nodes))
+
+
+@query(BASE + f"SELECT node::INT node, count(*) n FROM (SELECT unnest([src, dst]) node FROM g WHERE src IN ({R2})) GROUP BY 1")
+def edges_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir, True)
+    return G.endpoint_counts(G.out_edges(edges, _regions(nodes)[1]))
+
+
+@query(BASE + f"SELECT dst::INT node, count(*) n FROM g WHERE src IN ({R1}) GROUP BY 1")
+def target_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir, True)
+    return G.target_counts(edges, _regions(nodes)[0])
+
+
+@query(BASE + "SELECT a::INT src, b::INT dst FROM u")
+def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.undirected(network(spark, sf_dir)[1])
+
+
+@query(BASE + "SELECT CASE WHEN p.lon > q.lon THEN b ELSE a END::INT u, CASE WHEN p.lon > q.lon THEN a ELSE b END::INT v FROM u JOIN pts p ON p.node = a JOIN pts q ON q.node = b")
+def edges_sorted_lon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.oriented(*network(spark, sf_dir)).select("u", "v")
+
+
+@query(BASE + "SELECT src::INT u, dst::INT v, round(coalesce((SELECT weight FROM g WHERE g.src = e.src AND g.dst = e.dst), (SELECT weight FROM g WHERE g.src = e.dst AND g.dst = e.src)), 6) weight FROM e")
+def edge_attr_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir)
+    some = edges.filter("src < dst OR (src + dst) % 3 = 0")
+    return rounded(G.lookup(some, edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "weight"), "weight")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst, round(2 * (corr - (SELECT min(corr) FROM e)) / ((SELECT max(corr) FROM e) - (SELECT min(corr) FROM e)) - 1, 6) + 0.0 norm FROM e")
+def normalize_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.normalised(network(spark, sf_dir)[1], "corr"), "norm").select("src", "dst", "norm")
+
+
+@query(BASE + "SELECT src::INT src, dst::INT dst, round((rank() OVER (ORDER BY corr) + (count(*) OVER (PARTITION BY corr) - 1) / 2) / count(*) OVER (), 9) \"rank\" FROM e")
+def rank_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.ranked(network(spark, sf_dir)[1], "corr"), "rank", places=9).select("src", "dst", "rank")
+
+
+@query(BASE + "SELECT p.node::INT node, round(avg(e.weight), 4) weight FROM pts p LEFT JOIN (SELECT * FROM e WHERE weight >= (SELECT quantile_cont(weight, 0.9) FROM e)) e ON e.src = p.node GROUP BY 1")
+def node_attr_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir)
+    return rounded(G.node_quantile(nodes, edges, "weight", 0.9), "weight", places=4)
+
+
+@query(BASE + ", a AS (SELECT p.node, avg(e.weight) w FROM pts p LEFT JOIN (SELECT * FROM e WHERE weight >= (SELECT quantile_cont(weight, 0.9) FROM e)) e ON e.src = p.node GROUP BY 1) SELECT node::INT node, round(coalesce(w, (SELECT quantile_cont(w, 0.5) FROM a)), 4) weight FROM a")
+def fill_nan_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir)
+    return rounded(G.fill_quantile(G.node_quantile(nodes, edges, "weight", 0.9), "weight"), "weight", places=4)
+
+
+@query(BASE + f"SELECT a.src::INT src, a.dst::INT node, round(avg(exp(-pow({hav('p', 'q')} / 0.5, 2) / 2)), 6) density FROM e a JOIN e b ON a.src = b.src JOIN pts p ON p.node = a.dst JOIN pts q ON q.node = b.dst GROUP BY ALL")
+def lb_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.kde(*network(spark, sf_dir), 0.5), "density")
+
+
+@query()
+def lb_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir)
+    null = G.link_null(nodes, edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")).filter("k BETWEEN 2 AND 5"), 0.5, 20, 0.9)
+    return G.link_bundles(nodes, edges, null, 0.5).select("src", "dst")
+
+
+# Communities
+
+LEV = BASE + ", lv AS (SELECT 0 level, node, node % 7 * 3 grp FROM pts UNION ALL SELECT 1, node, node % 7 // 3 * 5 FROM pts) "
+
+
+def _levels(nodes: DataFrame) -> DataFrame:
+    zero = nodes.select(F.lit(0).alias("level"), "node", (F.col("node") % 7 * 3).alias("grp"))
+    return zero.union(nodes.select(F.lit(1), "node", (F.floor(F.col("node") % 7 / 3) * 5).cast("int")))
+
+
+@query(LEV + "SELECT level, node::INT node, (dense_rank() OVER (PARTITION BY level ORDER BY grp) - 1)::INT grp FROM lv")
+def reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.dense_levels(_levels(points(spark, sf_dir)))
+
+
+@query(LEV + ", b AS (SELECT level, grp, round(avg(lat), 9) lat FROM lv JOIN pts USING (node) GROUP BY level, grp), a AS (SELECT level, grp, row_number() OVER (PARTITION BY level ORDER BY lat, grp) - 1 k FROM b) SELECT level, node::INT node, k::INT grp FROM lv JOIN a USING (level, grp)")
+def order_levels_by_lat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = points(spark, sf_dir)
+    return C.order_by_latitude(_levels(nodes), nodes)
+
+
+@query(BASE + "SELECT (src % 7)::INT r, (dst % 7)::INT s, count(*) n FROM e GROUP BY ALL")
+def sbm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = network(spark, sf_dir)
+    return C.block_matrix(edges, nodes.select("node", (F.col("node") % 7).alias("grp")))
+
+
+@query(BASE + ", rn AS (SELECT run, node, (node * run) % 4 grp FROM pts, range(1, 6) r(run)), kc AS (SELECT run, grp, count(*) c FROM rn WHERE node < 30 GROUP BY run, grp), k AS (SELECT run, grp, row_number() OVER (PARTITION BY run ORDER BY c DESC, grp) o FROM kc), h AS (SELECT rn.node, (rn.grp = k.grp)::INT hit FROM rn JOIN k ON k.run = rn.run AND k.o = 1) SELECT node::INT node, round(avg(hit), 9) mean, round(stddev_pop(hit), 9) std FROM h GROUP BY node")
+def prob_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = points(spark, sf_dir)
+    runs = nodes.join(spark.range(1, 6).withColumnRenamed("id", "run")).select("run", "node", (F.col("node") * F.col("run") % 4).alias("grp"))
+    return C.probability_map(runs, nodes.filter("node < 30"))
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey + 1 id, CASE WHEN n_nationkey > 0 THEN (n_nationkey + 1) // 2 END parent FROM nation), r AS (SELECT id, id ancestor, 0 hops FROM t UNION ALL SELECT r.id, t.parent, hops + 1 FROM r JOIN t ON t.id = r.ancestor WHERE t.parent IS NOT NULL) SELECT id, ancestor, hops FROM r")
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return C.ancestors(n.select((F.col("n_nationkey") + 1).alias("id"), F.when(F.col("n_nationkey") > 0, F.floor((F.col("n_nationkey") + 1) / 2).cast("int")).alias("parent")))
+
+
+@query()
+def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.label_propagation(*network(spark, sf_dir))
+
+
+@query()
+def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.shuffle_years(S.field_monthly(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
