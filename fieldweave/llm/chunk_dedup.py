@@ -118,6 +118,7 @@ def chunk_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs; removed spans go from the text with the blanks after them, the rest stays byte for byte."""
     gone = found.filter("removed_words > 0").select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
+    names = docs.columns
     joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             at, spans = batch.schema.get_field_index(text_col), batch.column(batch.num_columns - 1).to_pylist()
             new = [t.decode("utf-8", "replace") if t is not None and not s else None if t is None else strip(t, s) for t, s in zip(texts, spans, strict=True)]
             cols = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(scan, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 

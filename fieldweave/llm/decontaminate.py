@@ -198,11 +198,28 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
         out = part if out is None else out.unionByName(part)
     if len(auto) == 1:
         return out
-    # Several passes: spans of a row overlap between passes, so its hit words are counted as a union.
-    words = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") / 2 - 1), lambda i: F.when(F.size("s") > 0, F.sequence(F.col("s")[(i * 2).cast("int")], F.col("s")[(i * 2 + 1).cast("int")] - 1)).otherwise(F.array().cast("array<int>")))))
-    merged = out.groupBy("__row", id_col).agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
-    n_hit = F.when(F.size("s") == 0, F.lit(0)).otherwise(F.size(words)).cast("long")
-    return merged.select(id_col, "__n_words", n_hit.alias("__n_hit"), F.col("s").alias("__spans"), "__items")
+    # Several passes: spans of a row overlap between passes, so its hit words are counted over their union.
+    lists = out.groupBy("__row", id_col).agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [union(x) for x in b.column(2).to_pylist()]
+            hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), b.column(3)], names=[id_col, *extra])
+
+    kind = base.schema[id_col].dataType.simpleString()
+    return lists.select(id_col, "__n_words", "__spans", "__items").mapInArrow(unite, f"`{id_col}` {kind}, __n_words long, __n_hit long, __spans array<int>, __items array<string>")
+
+
+def union(spans: list[int]) -> list[int]:
+    """Flat spans, sorted and merged where they meet."""
+    out: list[int] = []
+    for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
