@@ -73,3 +73,16 @@ def shuffle_years(field: DataFrame, seed: int = 0) -> DataFrame:
     at = f.select("node", "y", "t", F.row_number().over(w.orderBy("t")).alias("k"))
     to = f.select("node", "y", "v", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "node", F.col("t").cast("string"))))).alias("k"))
     return at.join(to, ["node", "y", "k"]).select("node", "t", "v")
+
+
+def run_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, population deviation and upper quantiles of a value over runs."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.9, 0.95, 0.99, 0.995, 0.999))))
+    return runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q")).select(*keys, "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("p90", "p95", "p99", "p995", "p999"))))
+
+
+def year_counts(times: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """(key, y, n): how many times of each key fall in each year, zero where none does."""
+    grid = times.select(key).distinct().withColumn("y", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    n = times.groupBy(key, F.year("t").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, [key, "y"], "left").select(key, "y", F.coalesce("n", F.lit(0)).alias("n"))

@@ -485,8 +485,11 @@ def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import extended  # noqa: F401 - registers the rest, which builds on this module
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
