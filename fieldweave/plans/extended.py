@@ -123,9 +123,9 @@ def es_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Networks
 
 
-@query(BASE + "SELECT node::INT node, round(w, 6) weight FROM pts LEFT JOIN (SELECT src, avg(weight) w FROM g GROUP BY src) x ON x.src = pts.node")
+@query(BASE + "SELECT node::INT node, round(w, 10) weight FROM pts LEFT JOIN (SELECT src, avg(weight) w FROM g GROUP BY src) x ON x.src = pts.node")
 def node_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.node_from_edges(*network(spark, sf_dir, directed=True), "weight"), "weight")
+    return rounded(G.node_from_edges(*network(spark, sf_dir, directed=True), "weight"), "weight", places=10)
 
 
 @query(BASE + "SELECT least(src, dst)::INT src, greatest(src, dst)::INT dst FROM g WHERE corr > 0 INTERSECT SELECT least(src, dst), greatest(src, dst) FROM e WHERE (src + dst) % 2 = 0")
