@@ -14,24 +14,31 @@ from pyspark.sql import functions as F
 BITS = 256
 
 
-def bitmaps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BITS bits and the wide bitmap of distinct hashes, as longs. The narrow one is the wide one folded by xor."""
-    width = max(BITS, 1 << (len(x) - 1).bit_length()) if len(x) else BITS
+def bitmaps(x: np.ndarray, least: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """BITS bits and the wide bitmap (least bits or more) of distinct hashes, as longs. The narrow one is the wide one folded by xor."""
+    width = max(least, 1 << (len(x) - 1).bit_length()) if len(x) else least
     parity = (np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
     return np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, BITS))).view(np.int64), np.packbits(parity).view(np.int64)
 
 
+def fold(wide: np.ndarray, longs: int) -> np.ndarray:
+    """A bitmap of longs of that number, folded by xor."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, longs))
+
+
 def _bound(na: Column, nb: Column, apart: Column, percent: int) -> Column:
     """J >= t <=> overlap >= t (na + nb) / (1 + t), and overlap <= (na + nb - bits that differ) / 2."""
     return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
 
 
-def can_be_similar(percent: int) -> Callable[[Column, Column], Column]:
-    """Size band and bitmap bound of two marks (n, bits)."""
+def can_be_similar(percent: int, more: bool = False) -> Callable[[Column, Column], Column]:
+    """Size band and bitmap bound of two marks (n, bits); with more, then also by a longer bitmap (n, bits, more)."""
 
     def near(a: Column, b: Column) -> Column:
         apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
-        return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
+        fits = (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
+        # A loop, not terms: code that long is not compiled, and few pairs come this far.
+        return fits & _bound(a["n"], b["n"], F.aggregate(F.zip_with(a["more"], b["more"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v), percent) if more else fits
 
     return near
 

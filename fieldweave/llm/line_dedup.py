@@ -14,15 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bounds import bitmaps, can_be_similar, sifter
+from .bounds import BITS, bitmaps, can_be_similar, fold
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import distinct
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 5, 80
+#: Bits of the bitmap that travels with a line: about as many as a long line has shingles, so that pairs just under the limit are told apart too.
+LONGER = 1024
 BINS = BANDS * ROWS
 _M = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,7 +103,7 @@ def line_classes(base: DataFrame) -> DataFrame:
 
 
 def line_texts(base: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
-    """cid, x (the line), n (shingles), bits, wide of the live classes; the lines are read again from their documents."""
+    """cid, x (the line), n (shingles), bits and more (bitmaps) of the live classes; the lines are read again from their documents."""
     wanted = cut(classes.join(live, "cid").groupBy("id").agg(F.collect_list(F.struct("line", "cid", "digest")).alias("want")))
     n_wanted = wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0]
     rows = base.join(maybe_broadcast(wanted, n_wanted), "id").select("want", "text")
@@ -117,10 +119,11 @@ def line_texts(base: DataFrame, classes: DataFrame, live: DataFrame) -> DataFram
                         cid.append(w["cid"])
                         got.append(x)
             sets = shingle_sets(got)
-            maps = [bitmaps(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k].tolist() for m in maps], pa.list_(pa.int64())) for k in range(2))], names=["cid", "x", "n", "bits", "wide"])
+            maps = [bitmaps(x, LONGER) for x in sets]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(np.concatenate(m) if m else np.zeros(0, np.int64))) for k, m in ((BITS // 64, [m[0] for m in maps]), (LONGER // 64, [fold(m[1], LONGER // 64) for m in maps]))]
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string()), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["cid", "x", "n", "bits", "more"])
 
-    out = cut(rows.mapInArrow(fetch, "cid long, x string, n long, bits array<long>, wide array<long>").dropDuplicates(["cid"]))
+    out = cut(rows.mapInArrow(fetch, "cid long, x string, n long, bits array<long>, more array<long>").dropDuplicates(["cid"]))
     uncut(wanted)
     return out
 
@@ -150,23 +153,30 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """id, n_lines (not blank), n_removed, removed (line numbers, rising) per distinct id; every id of the table is returned."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = cut(line_classes(base.filter("id IS NOT NULL")))
-    first = lines.groupBy("digest").agg(F.min(F.struct("id", "line", "bands")).alias("x"))
-    classes = cut(first.select("digest", "x.id", "x.line", "x.bands", F.monotonically_increasing_id().alias("cid")))
+    first = lines.groupBy("digest").agg(F.min(F.struct("id", "line", "bands")).alias("x"), F.count(F.lit(1)).alias("times"))
+    classes = cut(first.select("digest", "x.id", "x.line", "x.bands", "times", F.monotonically_increasing_id().alias("cid")))
     banded = classes.select(F.posexplode("bands").alias("band", "part"), "cid").select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("part")).alias("key"), "cid")
     held: list[DataFrame] = []
 
     def marks(live: DataFrame) -> DataFrame:
         held.append(line_texts(base, classes.select("cid", "id", "line", "digest"), live))
-        return held[0].select("cid", F.struct("n", "bits").alias("mark"))
-
-    roots = link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), lambda pairs: sifter(held[0], percent)(pairs))
-    named = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    keeper = named.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
-    rule = named.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
-    flagged = lines.select("id", "line", "digest").distinct().join(rule, "digest")
-    gone = (F.col("id") != F.col("keep_id")) | (F.col("line") != F.col("keep_line"))
-    per = flagged.groupBy("id").agg(F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
-    return base.select("id").distinct().join(per, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+        return held[0].join(classes.select("cid", "bands"), "cid").select("cid", F.struct("n", "bits", "more", "bands").alias("mark"))
+
+    def once(key: Column, a: Column, b: Column) -> Column:
+        """In the first band that the two share. A negative part borrows one from the band's number."""
+        return F.array_position(F.zip_with(a["bands"], b["bands"], lambda p, q: p == q), True) - 1 == F.shiftright(key + (1 << 31), 32)
+
+    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent, more=True), None, eager=2, once=once))
+    linked = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"))
+    keeper = linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
+    near = linked.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
+    equal = classes.filter("times > 1").join(roots, F.col("cid") == F.col("node"), "left_anti").select("digest", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"))
+    rule = cut(near.union(equal))
+    gone = lines.select("id", "line", "digest").join(maybe_broadcast(rule), "digest").filter("id <> keep_id OR line <> keep_line")
+    none = F.lit(None).cast("int")
+    parts = base.select("id", none.alias("line"), none.alias("gone")).union(lines.select("id", "line", none)).union(gone.select("id", none, "line"))
+    per = parts.groupBy("id").agg(F.size(F.collect_set("line")).cast("long").alias("n_lines"), F.array_sort(F.collect_set("gone")).alias("removed"))
+    return per.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,46 +13,65 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, maybe_broadcast, tidy, uncut
 
+#: A class of a bucket with more classes than this meets them in several tasks, so many in each.
+SPREAD = 256
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n_classes: int, marks: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], sift: Callable[[DataFrame], DataFrame], per_class: int = 256, rounds: int = 8) -> DataFrame:
+
+def link(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    n_classes: int,
+    marks: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column],
+    sift: Callable[[DataFrame], DataFrame] | None,
+    per_class: int = 256,
+    rounds: int = 8,
+    eager: int = 256,
+    once: Callable[[Column, Column, Column], Column] | None = None,
+) -> DataFrame:
     """(node, root) of the linked classes. buckets: (key, cid), both long; verify: distinct pairs (a, b), a < b, to those that are links, materialised.
     marks: from the classes that share a bucket (cid) to (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
-    sift: a closer bound on stored pairs, also cheaper than verify.
+    sift: a closer bound on stored pairs, also cheaper than verify. once: of (key, mark, mark), whether a pair is to be met in this bucket, true for exactly one of the buckets that the two share.
 
-    The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (per_class
-    bucket pairs and one sifted pair for each), or after that many rounds; the rest is then tested in full."""
+    The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (eager bucket
+    pairs for each, or per_class once a round links less than a hundredth of the classes; and one sifted pair for each), or after that many rounds; the rest is then tested in full."""
     spark = buckets.sparkSession
     shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     met = cut(buckets.join(maybe_broadcast(shared), "key"))
     live = cut(met.join(marks(met.select("cid").distinct()), "cid"))
     uncut(shared, met)
-    links = tested = roots = rest = None
+    links = tested = roots = rest = found = None
     for turn in range(rounds + 1):
         tidy(spark)
         now = live.withColumn("root", F.col("cid")) if roots is None else live.join(roots, live.cid == roots.node, "left").select("key", "cid", "mark", F.coalesce("root", "cid").alias("root"))
         per_root = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         per_key = per_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        open_keys = cut(per_key.select("key", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")))
+        open_keys = cut(per_key.select("key", F.ceil(F.col("n") / SPREAD).cast("int").alias("spread"), ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")))
         left = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         if not left:
             uncut(open_keys, live, tested)
             return components(links) if links is not None else spark.createDataFrame([], "node long, root long")
         now = now.join(open_keys.select("key"), "key")
-        if turn == rounds or turn and left <= max(per_class * n_classes, 100_000):
-            a = now.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
-            b = now.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
-            met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("ma"), F.col("mb"))).select("a", "b").distinct()
-            rest = cut(sift(met if tested is None else met.join(tested, ["a", "b"], "left_anti")))
+        paying = found is not None and found.count() * 100 >= n_classes
+        if turn == rounds or turn and left <= max((eager if paying else per_class) * n_classes, 100_000):
+            dealt = now.join(open_keys.select("key", "spread"), "key")
+            a = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("deal"), F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
+            b = dealt.select("key", F.pmod(F.xxhash64("cid"), F.col("spread")).cast("int").alias("deal"), F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
+            met = a.join(b, ["key", "deal"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("ma"), F.col("mb")))
+            met = met.select("a", "b").distinct() if once is None else met.filter(once(F.col("key"), F.col("ma"), F.col("mb"))).select("a", "b")
+            met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
+            rest = cut(met if sift is None else sift(met))
             if turn == rounds or rest.count() <= max(n_classes, 10_000):
-                found = verify(rest)
+                last = verify(rest)
                 uncut(open_keys, live, tested, rest)
-                return components(found if links is None else links.union(found))
+                return components(last if links is None else links.union(last))
             uncut(rest)
         order = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
         lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("cid"), F.col("root").alias("root"), F.col("mark").alias("mark"))).alias("x"))
         lead = lead.select("key", F.col("x.cid").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.mark").alias("lead_mark"))
         pairs = now.join(lead, "key").filter((F.col("root") != F.col("lead_root")) & near(F.col("mark"), F.col("lead_mark"))).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-        pairs = cut(sift(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs if sift is None else sift(pairs))
         found = verify(pairs)
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else cut(tested.union(pairs))
