@@ -23,7 +23,7 @@ from .linkage import link
 from .words import distinct
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 5, 80
-#: Bits of the bitmap that travels with a line: about as many as a long line has shingles, so that pairs just under the limit are told apart too.
+#: Bits of the bitmap that the full test of what leaders left compares: about as many as a long line has shingles, so that pairs just under the limit are told apart too.
 LONGER = 1024
 BINS = BANDS * ROWS
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -160,13 +160,16 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     def marks(live: DataFrame) -> DataFrame:
         held.append(line_texts(base, classes.select("cid", "id", "line", "digest"), live))
+        return held[0].select("cid", F.struct("n", "bits").alias("mark"))
+
+    def late() -> DataFrame:
         return held[0].join(classes.select("cid", "bands"), "cid").select("cid", F.struct("n", "bits", "more", "bands").alias("mark"))
 
     def once(key: Column, a: Column, b: Column) -> Column:
         """In the first band that the two share. A negative part borrows one from the band's number."""
         return F.array_position(F.zip_with(a["bands"], b["bands"], lambda p, q: p == q), True) - 1 == F.shiftright(key + (1 << 31), 32)
 
-    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent, more=True), None, eager=2, once=once))
+    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), None, eager=2, once=once, late=late, near_late=can_be_similar(percent, more=True)))
     linked = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"))
     keeper = linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
     near = linked.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
