@@ -31,31 +31,44 @@ def _bound(na: Column, nb: Column, apart: Column, percent: int) -> Column:
     return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
 
 
-def can_be_similar(percent: int, more: bool = False) -> Callable[[Column, Column], Column]:
-    """Size band and bitmap bound of two marks (n, bits); with more, then also by a longer bitmap (n, bits, more)."""
+def clip(wide: Column, longs: int) -> Column:
+    """A wide bitmap of longs of that number at most, folded by xor; empty where it is no wider than BITS, which say the same."""
+    folded = F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.aggregate(F.filter(wide, lambda x, k: k % longs == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    return F.when(F.size(wide) > longs, folded).when(F.size(wide) <= BITS // 64, F.array().cast("array<long>")).otherwise(wide)
+
+
+def _halved(x: Column, size: Column) -> Column:
+    half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) > size, half).otherwise(x)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Bits that differ between two bitmaps whose lengths differ by a factor of two at most; bit i of the folded one is the xor of bits i and i + half."""
+    size = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(_halved(a, size), _halved(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
+def can_be_similar(percent: int, more: bool = False, even: bool = True) -> Callable[[Column, Column], Column]:
+    """Size band and bitmap bound of two marks (n, bits); with more, then also by a longer bitmap (n, bits, more), of one length if even."""
 
     def near(a: Column, b: Column) -> Column:
         apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
         fits = (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
+        if not more:
+            return fits
         # A loop, not terms: code that long is not compiled, and few pairs come this far.
-        return fits & _bound(a["n"], b["n"], F.aggregate(F.zip_with(a["more"], b["more"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v), percent) if more else fits
+        longer = F.aggregate(F.zip_with(a["more"], b["more"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v) if even else _apart(a["more"], b["more"])
+        return fits & _bound(a["n"], b["n"], longer, percent)
 
     return near
 
 
 def sifter(classes: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """The bound by wide bitmaps of classes (cid, n, wide). Sizes within a band differ by less than two, so at most one folding makes lengths equal; bit i of the
-    folded one is the xor of bits i and i + half."""
-
-    def fold(x: Column, size: Column) -> Column:
-        half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(x) > size, half).otherwise(x)
+    """The bound by wide bitmaps of classes (cid, n, wide). Sizes within a band differ by less than two, so at most one folding makes lengths equal."""
 
     def sift(pairs: DataFrame) -> DataFrame:
         side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
         x = pairs.join(side("a"), "a").join(side("b"), "b")
-        size = F.least(F.size("wa"), F.size("wb"))
-        apart = F.aggregate(F.zip_with(fold(F.col("wa"), size), fold(F.col("wb"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        return x.filter(_bound(F.col("na"), F.col("nb"), apart, percent)).select("a", "b")
+        return x.filter(_bound(F.col("na"), F.col("nb"), _apart(F.col("wa"), F.col("wb")), percent)).select("a", "b")
 
     return sift

@@ -83,6 +83,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         last, now = now, cut(small.distinct())
         uncut(last)
+        del both, least, large, low, small
+        tidy(edges.sparkSession)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(seen) == stamp:
             break

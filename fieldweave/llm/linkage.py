@@ -30,6 +30,7 @@ def link(
     once: Callable[[Column, Column, Column], Column] | None = None,
     late: Callable[[], DataFrame] | None = None,
     near_late: Callable[[Column, Column], Column] | None = None,
+    most: int = 4,
 ) -> DataFrame:
     """(node, root) of the linked classes. buckets: (key, cid), both long; verify: distinct pairs (a, b), a < b, to those that are links, materialised.
     marks: from the classes that share a bucket (cid) to (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
@@ -37,7 +38,7 @@ def link(
     late: (cid, mark), fuller marks, and near_late their bound, for the full test alone, so that leader rounds need not carry them.
 
     The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (eager bucket
-    pairs for each, or per_class once a round links less than a hundredth of the classes; and one sifted pair for each), or after that many rounds; the rest is then tested in full."""
+    pairs for each, or per_class once a round links less than a hundredth of the classes; and most sifted pairs for each), or after that many rounds; the rest is then tested in full."""
     spark = buckets.sparkSession
     shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     met = cut(buckets.join(maybe_broadcast(shared), "key"))
@@ -66,7 +67,7 @@ def link(
             met = met.select("a", "b").distinct() if once is None else met.filter(once(F.col("key"), F.col("ma"), F.col("mb"))).select("a", "b")
             met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
             rest = cut(met if sift is None else sift(met))
-            if turn == rounds or rest.count() <= max(n_classes, 10_000):
+            if turn == rounds or rest.count() <= max(most * n_classes, 10_000):
                 last = verify(rest)
                 uncut(open_keys, live, tested, rest)
                 return components(last if links is None else links.union(last))
@@ -79,6 +80,10 @@ def link(
         pairs = cut(pairs if sift is None else sift(pairs))
         found = verify(pairs)
         links = found if links is None else links.union(found)
-        tested = pairs if tested is None else cut(tested.union(pairs))
+        if tested is not None:
+            past, now_tested = tested, cut(tested.union(pairs))
+            uncut(past, pairs)
+            pairs = now_tested
+        tested = pairs
         roots = components(links)
         uncut(open_keys)

@@ -4,7 +4,7 @@
 2. Tiles: at similarity t a pair must share one of the first n - ceil(t n) + 1 grams of any global order. The order is by hash, with grams that very many documents
    share (counted over all documents) last, so that shared passages open no tile. A tile is a gram and its classes; within it, only sizes within t of each other meet (size bands).
 3. Hashed bitmap signatures of parity bits. Two sets differ in at least as many grams as their bitmaps differ in bits, so the bit count of the xor bounds the overlap from
-   above; pairs whose bound is too low go. 256 bits a class travel with the tiles; pairs that pass them meet bitmaps as long as the set (a power of two; the longer of two is folded).
+   above; pairs whose bound is too low go. 256 bits a class travel with the tiles (up to 1024 in the last, full test); pairs that pass them meet bitmaps as long as the set (a power of two; the longer of two is folded).
 4. The sorted arrays of the pairs that are left are intersected exactly.
 Tiles with many classes are linked through leaders (see linkage), never pair by pair.
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bounds import bitmaps, can_be_similar, sifter
+from .bounds import bitmaps, can_be_similar, clip, sifter
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import gram_sets
@@ -29,6 +29,10 @@ from .words import gram_sets
 N, PERCENT = 3, 90
 #: Most grams that count as common, and the least documents that hold a common gram.
 COMMON, COMMON_DOCS = 4_000_000, 64
+#: Longs of the bitmap that the full test of what leaders left compares before a pair is stored; sets of few grams carry fewer.
+LONGER = 16
+
+
 def _binary_rows(cols: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -138,12 +142,24 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.wide", "x.tiles", F.monotonically_increasing_id().alias("cid")))
     tiles = classes.select(F.explode("tiles").alias("key"), "cid")
     marks = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits").alias("mark"))
-    roots = link(tiles, verifier(base, classes.select("cid", "rep", "digest"), n, percent), classes.count(), lambda live: marks.join(live, "cid"), can_be_similar(percent), sifter(classes.withColumnRenamed("n_grams", "n"), percent))
+    fuller = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits", clip(F.col("wide"), LONGER).alias("more")).alias("mark"))
+    roots = link(
+        tiles,
+        verifier(base, classes.select("cid", "rep", "digest"), n, percent),
+        classes.count(),
+        lambda live: marks.join(live, "cid"),
+        can_be_similar(percent),
+        sifter(classes.withColumnRenamed("n_grams", "n"), percent),
+        late=lambda: fuller,
+        near_late=can_be_similar(percent, more=True, even=False),
+    )
     named = classes.select("cid", "rep", "digest").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "root").select("digest", "component_id")
     rows = sig.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = cut(rows.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
+    uncut(sig, classes)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
