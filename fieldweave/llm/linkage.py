@@ -31,10 +31,11 @@ def link(
     late: Callable[[], DataFrame] | None = None,
     near_late: Callable[[Column, Column], Column] | None = None,
     most: int = 4,
+    repeats: bool = False,
 ) -> DataFrame:
     """(node, root) of the linked classes. buckets: (key, cid), both long; verify: distinct pairs (a, b), a < b, to those that are links, materialised.
     marks: from the classes that share a bucket (cid) to (cid, mark), what near needs to tell whether two classes can be similar at all; marks travel with the buckets, so pairs that cannot be are never stored.
-    sift: a closer bound on stored pairs, also cheaper than verify. once: of (key, mark, mark), whether a pair is to be met in this bucket, true for exactly one of the buckets that the two share.
+    sift: a closer bound on stored pairs, also cheaper than verify. once: of (key, mark, mark), whether a pair is to be met in this bucket, true for exactly one of the buckets that the two share; with repeats, for one or more.
     late: (cid, mark), fuller marks, and near_late their bound, for the full test alone, so that leader rounds need not carry them.
 
     The first round's leader is the smallest class of each bucket, later ones are drawn by hash. Leader rounds end when what is left is linear in the classes (eager bucket
@@ -64,7 +65,8 @@ def link(
             a = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("deal"), F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
             b = dealt.select("key", F.pmod(F.xxhash64("cid"), F.col("spread")).cast("int").alias("deal"), F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
             met = a.join(b, ["key", "deal"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("ma"), F.col("mb")))
-            met = met.select("a", "b").distinct() if once is None else met.filter(once(F.col("key"), F.col("ma"), F.col("mb"))).select("a", "b")
+            met = (met if once is None else met.filter(once(F.col("key"), F.col("ma"), F.col("mb")))).select("a", "b")
+            met = met.distinct() if once is None or repeats else met
             met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
             rest = cut(met if sift is None else sift(met))
             if turn == rounds or rest.count() <= max(most * n_classes, 10_000):

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bounds import bitmaps, can_be_similar, clip, sifter
@@ -31,6 +31,8 @@ N, PERCENT = 3, 90
 COMMON, COMMON_DOCS = 4_000_000, 64
 #: Longs of the bitmap that the full test of what leaders left compares before a pair is stored; sets of few grams carry fewer.
 LONGER = 16
+#: First tiles of a class that tell the full test where to meet a pair.
+FIRST = 8
 
 
 def _binary_rows(cols: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -133,6 +135,12 @@ def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int) -> Calla
     return verify
 
 
+def meets(key: Column, a: Column, b: Column) -> Column:
+    """Pairs of which the first tiles have some in common meet in the least of those alone; others, few of them similar, in every tile that they share."""
+    common = F.array_intersect(a["first"], b["first"])
+    return (F.size(common) == 0) | (F.array_min(common) == key)
+
+
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id per row."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -142,7 +150,7 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.wide", "x.tiles", F.monotonically_increasing_id().alias("cid")))
     tiles = classes.select(F.explode("tiles").alias("key"), "cid")
     marks = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits").alias("mark"))
-    fuller = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits", clip(F.col("wide"), LONGER).alias("more")).alias("mark"))
+    fuller = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits", clip(F.col("wide"), LONGER).alias("more"), F.slice("tiles", 1, FIRST).alias("first")).alias("mark"))
     roots = link(
         tiles,
         verifier(base, classes.select("cid", "rep", "digest"), n, percent),
@@ -150,6 +158,8 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
         lambda live: marks.join(live, "cid"),
         can_be_similar(percent),
         sifter(classes.withColumnRenamed("n_grams", "n"), percent),
+        once=meets,
+        repeats=True,
         late=lambda: fuller,
         near_late=can_be_similar(percent, more=True, even=False),
     )
