@@ -169,7 +169,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
         """In the first band that the two share. A negative part borrows one from the band's number."""
         return F.array_position(F.zip_with(a["bands"], b["bands"], lambda p, q: p == q), True) - 1 == F.shiftright(key + (1 << 31), 32)
 
-    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), None, eager=2, once=once, late=late, near_late=can_be_similar(percent, more=True)))
+    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), None, eager=2, most=1, once=once, late=late, near_late=can_be_similar(percent, more=True)))
     linked = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"))
     keeper = linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
     near = linked.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
