@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,13 +276,28 @@ def link_bundles(nodes: DataFrame, edges: DataFrame, null: DataFrame, bandwidth:
     return edges.join(k, "src").join(dense, ["src", "dst"]).join(null.withColumnRenamed("node", "dst"), ["k", "dst"]).filter("density > limit").select(*edges.columns)
 
 
-def link_null(nodes: DataFrame, counts: DataFrame, bandwidth: float, draws: int, q: float = 0.999, seed: int = 0) -> DataFrame:
-    """(k, node, limit): per link count k, the density at each node of k places whose longitude and latitude are drawn apart from the nodes' own; a seeded hash draws."""
-    n = nodes.count()
-    pts = nodes.select("node", "lon", "lat")
-    pick = lambda axis: F.pmod(F.xxhash64("k", "run", "one", F.lit(seed), F.lit(axis)), F.lit(n)).cast("int")
-    runs = counts.select("k").distinct().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    drawn = runs.withColumn("n1", pick(1)).withColumn("n2", pick(2)).join(pts.select(F.col("node").alias("n1"), F.col("lon").alias("lon2")), "n1").join(pts.select(F.col("node").alias("n2"), F.col("lat").alias("lat2")), "n2")
-    d = haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    dens = drawn.join(pts).groupBy("k", "run", "node").agg(F.avg(F.exp(-F.pow(d / bandwidth, 2) / 2)).alias("x"))
-    return dens.groupBy("k", "node").agg(F.expr(f"percentile(x, {q})").alias("limit"))
+def link_null(nodes: DataFrame, counts: DataFrame, bandwidth: float, draws: int, q: float = 0.999, seed: int = 0, block: int = 50) -> DataFrame:
+    """(k, node, limit): per link count k of at least 2, the quantile at each node of the density of k places whose longitude and latitude are drawn apart from the nodes' own.
+
+    Each of the draws is a sequence of places, and k links are its first k, so every k has as many independent draws. A task holds the densities at one block of nodes as running
+    sums over its draws and gives limits only. Nodes and link counts, bounded by the grid, go to every task."""
+    pts = nodes.select("node", "lon", "lat").orderBy("node").toPandas()
+    wanted = {r[0] for r in counts.filter("k >= 2").select(F.col("k").cast("long")).distinct().collect()}
+    held = nodes.sparkSession.sparkContext.broadcast((pts["node"].to_numpy(), np.radians(pts["lon"].to_numpy(float)), np.radians(pts["lat"].to_numpy(float)), wanted))
+
+    def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, lon, lat, ks = held.value
+        for first in (int(x) for b in batches for x in b["id"]):
+            at = slice(first, first + block)
+            # Haversines of places and nodes are sums of a part by latitude and a part by longitude.
+            by_lat, by_lon = np.sin((lat[:, None] - lat[at]) / 2) ** 2, np.sin((lon[:, None] - lon[at]) / 2) ** 2
+            scale, total, rng = np.cos(lat)[:, None] * np.cos(lat[at]), np.zeros((draws, len(node[at]))), np.random.RandomState(seed)
+            for k in range(1, max(ks, default=0) + 1):
+                n1, n2 = rng.randint(len(node), size=(2, draws))
+                half = np.arcsin(np.sqrt(np.minimum(1.0, by_lat[n2] + scale[n2] * by_lon[n1])))
+                total += np.exp(-2 * (half / bandwidth) ** 2)
+                if k in ks:
+                    yield pd.DataFrame({"k": k, "node": node[at], "limit": np.quantile(total, q, axis=0) / k})
+
+    starts = nodes.sparkSession.range(0, len(pts), block, -(-len(pts) // block) or 1)
+    return starts.mapInPandas(limits, "k long, node int, limit double")

@@ -430,7 +430,7 @@ def lb_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lb_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = network(spark, sf_dir)
-    null = G.link_null(nodes, edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")).filter("k BETWEEN 2 AND 5"), 0.5, 20, 0.9)
+    null = G.link_null(nodes, edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")), 0.5, 2000)
     return G.link_bundles(nodes, edges, null, 0.5).select("src", "dst")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
 from fieldweave.functions import geo
@@ -11,6 +12,7 @@ from fieldweave.operators import community as C
 from fieldweave.operators import field as T
 from fieldweave.operators import graph as G
 from fieldweave.operators import grid, similarity
+from fieldweave.plans import registry
 from fieldweave.sources import tables
 
 
@@ -113,3 +115,27 @@ def test_tree(spark):
 def test_sinks(spark, tmp_path):
     tables.write_table(nodes_of(spark, 3), f"{tmp_path}/n", {"q": 0.9})
     assert tables.read_meta(spark, f"{tmp_path}/n") == {"q": 0.9} and spark.read.parquet(f"{tmp_path}/n").count() == 3
+
+
+def test_link_null_of_many_links(spark):
+    """Limits of every link count against densities drawn apart from the operator, for counts of few and of many links."""
+    nodes = tables.fibonacci(spark, 70)
+    counts = spark.createDataFrame([(1,), (2,), (9,), (40,), (9,)], "k long")
+    got = {(r["k"], r["node"]): r["limit"] for r in G.link_null(nodes, counts, 0.5, 1500, 0.9, block=32).collect()}
+    assert set(got) == {(k, i) for k in (2, 9, 40) for i in range(70)}
+    p, rng = np.radians([tuple(r) for r in nodes.orderBy("node").select("lon", "lat").collect()]), np.random.RandomState(7)
+    for k in (2, 9, 40):
+        lon, lat = p[rng.randint(70, size=(1500, k)), 0], p[rng.randint(70, size=(1500, k)), 1]
+        for i in (0, 20, 69):
+            d = np.arccos(np.clip(np.sin(lat) * np.sin(p[i, 1]) + np.cos(lat) * np.cos(p[i, 1]) * np.cos(lon - p[i, 0]), -1, 1))
+            assert got[k, i] == pytest.approx(np.quantile(np.exp(-((d / 0.5) ** 2) / 2).mean(1), 0.9), rel=0.12)
+
+
+def test_lb_prune_keeps_bundles_of_many_links(spark, monkeypatch):
+    """A source whose 12 links end side by side keeps them; one with 12 links all over the sphere loses some."""
+    nodes = tables.fibonacci(spark, 200)
+    near = [r["b"] for r in grid.k_nearest(nodes, 11).filter("a = 100").collect()] + [100]
+    far = list(range(3, 200, 17))
+    monkeypatch.setattr(registry, "network", lambda spark, sf_dir: (nodes, edges_of(spark, [(0, i) for i in near] + [(1, i) for i in far])))
+    got = {(r["src"], r["dst"]) for r in registry.queries()["lb_prune"](spark, "").collect()}
+    assert {d for s, d in got if s == 0} >= set(near[:6]) | {100} and len({d for s, d in got if s == 1}) < len(far)
