@@ -33,6 +33,25 @@ def iaaft_series(x: np.ndarray, rng: np.random.RandomState, rounds: int = 1000)
     return now
 
 
+def iaaft_ranks(x: np.ndarray, rngs: list[np.random.RandomState], rounds: int = 1000) -> np.ndarray:
+    """Of each generator the series of iaaft_series, all in one, as places in the sorted x: generators x times."""
+    target, ordered = np.abs(np.fft.rfft(x)), np.sort(x)
+    now = np.stack([rng.permutation(x) for rng in rngs])
+    out, last, live = np.empty(now.shape, np.int64), np.full(now.shape, -1), np.arange(len(rngs))
+    for _ in range(rounds):
+        f = np.fft.rfft(now)
+        size = np.abs(f)
+        shaped = np.fft.irfft(target * np.where(size > 0, f / np.where(size > 0, size, 1.0), 1.0), len(x))
+        rank = np.empty(now.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(shaped, kind="stable"), np.arange(len(x))[None, :], 1)
+        out[live] = rank
+        moves = (rank != last).any(1)
+        live, last, now = live[moves], rank[moves], ordered[rank[moves]]
+        if not len(live):
+            break
+    return out
+
+
 def iaaft(field: DataFrame, n: int, seed: int = 0, rounds: int = 1000) -> DataFrame:
     """(k, node, t, v): n surrogates of each node's series. Series are groups of one node and surrogate, so tasks hold one series each."""
 
@@ -50,6 +69,53 @@ def null_limits(pairs: DataFrame, q: float) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.percentile(F.abs("r"), q).alias("limit"))
 
 
+def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int = 1000, block: int = 200) -> DataFrame:
+    """(i, j, limit), i < j: the quantile of |r| over n surrogate pairs, those of iaaft, of every pair of nodes; nodes without variance are left out.
+
+    Nodes are dealt into blocks of about as many nodes, and a pair of blocks is one task, which correlates matching surrogates only and gives limits only. Surrogates travel as
+    places in the sorted series, one byte a time of up to 256 times. A task holds two blocks' series; blocks grow in number, not in size, with the nodes."""
+    series = field.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("v").cast("double").alias("v")))).alias("x")).select(F.col("node").cast("int").alias("node"), F.col("x.v").alias("v"))
+    blocks = -(-field.select("node").distinct().count() // block) or 1
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, v in zip(b["node"], b["v"], strict=True):
+                x = np.asarray(v, float)
+                if x.std() > 0:
+                    ranks = iaaft_ranks(x, [_seed(seed, k, int(node)) for k in range(n)], rounds)
+                    yield pd.DataFrame({"node": [node], "v": [np.sort(x)], "ranks": [ranks.astype(np.min_scalar_type(len(x) - 1)).tobytes()]})
+
+    drawn = series.repartition(blocks * 8, "node").mapInPandas(draw, "node int, v array<double>, ranks binary")
+    to = F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), k -> struct(least(block, k) AS p, greatest(block, k) AS q))"))
+    dealt = drawn.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select("node", "v", "ranks", "block", to.alias("x")).select("node", "v", "ranks", "block", "x.p", "x.q")
+
+    def scores(pdf: pd.DataFrame) -> np.ndarray:
+        """surrogates x nodes x times"""
+        out = np.empty((n, len(pdf), len(pdf["v"].iloc[0]) if len(pdf) else 0))
+        for at, (v, raw) in enumerate(zip(pdf["v"], pdf["ranks"], strict=True)):
+            x = np.asarray(v, float)
+            out[:, at] = ((x - x.mean()) / x.std())[np.frombuffer(raw, np.min_scalar_type(len(x) - 1)).reshape(n, len(x))]
+        return out
+
+    def limits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["block"] == k] for k in key)
+        x, found = scores(a), []
+        y = x if key[0] == key[1] else scores(b)
+        y = np.ascontiguousarray(y.transpose(0, 2, 1))
+        ids = b["node"].to_numpy()
+        step = max(1, 4_000_000 // (n * max(1, len(b))))
+        for at in range(0, len(a), step):
+            r = np.abs(np.round(x[:, at : at + step] @ y / x.shape[2], 6))
+            limit = np.quantile(np.ascontiguousarray(r.transpose(1, 2, 0)), q, axis=2, overwrite_input=True)
+            one = np.repeat(a["node"].to_numpy()[at : at + step], len(b)).reshape(limit.shape)
+            keep = one < ids if key[0] == key[1] else one != ids
+            two = np.broadcast_to(ids, limit.shape)
+            found.append(pd.DataFrame({"i": np.minimum(one, two)[keep], "j": np.maximum(one, two)[keep], "limit": limit[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "limit": []})
+
+    return dealt.groupBy("p", "q").applyInPandas(limits, "i int, j int, limit double")
+
+
 def es_null(spark: SparkSession, counts: DataFrame, n_times: int, taumax: int, draws: int = 1000, levels: tuple[float, ...] = LEVELS, seed: int = 0, slices: int = 16) -> DataFrame:
     """(n1, n2, q array): quantiles of synchronised events when n1 and n2 events fall anywhere among n_times.
 

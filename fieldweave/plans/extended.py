@@ -101,12 +101,9 @@ def iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def adj_iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose correlation exceeds the 0.9 quantile of that of their surrogates."""
-    field = S.field_daily(spark, sf_dir).filter("node < 60")
-    k = 10
-    joint = surrogate.iaaft(field, k).select((F.col("k") * 1_000_000 + F.col("node")).alias("node"), "t", "v")
-    null = similarity.pearson_blocked(joint).filter("i div 1000000 = j div 1000000").select((F.col("i") % 1_000_000).alias("i"), (F.col("j") % 1_000_000).alias("j"), "r")
-    limits = surrogate.null_limits(null, 0.9)
+    """Pairs of all nodes whose correlation exceeds the 0.9 quantile of that of their 1000 surrogates."""
+    field = S.field_daily(spark, sf_dir)
+    limits = surrogate.iaaft_limits(field, 1000, 0.9)
     return similarity.pearson_blocked(field).join(limits, ["i", "j"]).filter(F.abs("r") > F.col("limit")).select("i", "j", "r")
 
 

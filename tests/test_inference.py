@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.operators import clustering as K
 from fieldweave.operators import grid, inference, surrogate, transport
+from fieldweave.plans import extended, registry
 from fieldweave.sources import gml
 
 
@@ -204,3 +205,26 @@ def test_gml_round_trip(spark, tmp_path):
     n, e = gml.read_gml(spark, path)
     assert sorted(map(tuple, n.collect())) == [(0, 1.5, -2.0), (1, 3.0, None)]
     assert sorted(map(tuple, e.collect())) == [(0, 1, 0.25), (1, 0, 1e-7)]
+
+
+def test_iaaft_limits_brute_force(spark):
+    """All pairs, in blocks, against surrogates drawn one by one; the constant series is left out."""
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(13, 40)).cumsum(1)
+    x[5] = 2.0
+    f = spark.createDataFrame([(i, t, float(v)) for i, row in enumerate(x) for t, v in enumerate(row)], "node int, t int, v double")
+    got = {(r["i"], r["j"]): r["limit"] for r in surrogate.iaaft_limits(f, 30, 0.9, block=4).collect()}
+    live = [i for i in range(13) if i != 5]
+    s = {i: [surrogate.iaaft_series(x[i], surrogate._seed(0, k, i)) for k in range(30)] for i in live}
+    want = {(i, j): np.quantile([abs(round(np.corrcoef(a, b)[0, 1], 6)) for a, b in zip(s[i], s[j], strict=True)], 0.9) for i, j in itertools.combinations(live, 2)}
+    assert set(got) == set(want) and got == pytest.approx(want, abs=2e-6)
+
+
+def test_adj_iaaft_tests_every_node(spark, monkeypatch):
+    """Links of nodes beyond the first 60 are found."""
+    t = np.arange(24)
+    x = np.random.RandomState(2).normal(size=(64, 24))
+    x[62], x[63] = np.sin(t * t), np.sin(t * t) + 0.01 * np.cos(t)
+    f = spark.createDataFrame([(i, int(k), float(v)) for i, row in enumerate(x) for k, v in enumerate(row)], "node int, t int, v double")
+    monkeypatch.setattr(extended.S, "field_daily", lambda spark, sf_dir: f)
+    assert (62, 63) in {(r["i"], r["j"]) for r in registry.queries()["adj_iaaft"](spark, "").collect()}
