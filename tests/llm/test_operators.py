@@ -277,3 +277,17 @@ def test_pipeline(spark):
         seen = out
     assert corpus_pipeline.run(spark, SF).count() == seen.count()
     assert set(queries.queries()) >= set(queries.oracle_sql())
+
+
+def test_bands_meet_long_lines():
+    """Of lines of 300 shingles at a similarity just over 0.8, at most one pair in a hundred shares no band."""
+    r = random.Random(8)
+    pick = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(4000):
+        x = pick(307)
+        lines += [x, x[:-33] + pick(33)]
+    sets = [set(a.tolist()) for a in line_dedup.shingle_sets(lines[:2])]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
+    keys = line_dedup.band_keys(lines)
+    assert (keys[::2] != keys[1::2]).all(1).mean() <= 0.01
