@@ -4,7 +4,7 @@ All test items, as sequences of normalised words, go into one automaton; trainin
 tracked, cut back to the window length. A window of the item length (or window words) that matches in full marks its words as hit.
 
 The automaton is broadcast, so its size is bounded: items are dealt into shards of at most SHARD_WORDS words, one pass over the documents each, and the passes' spans
-are merged per document. Words and items are never dropped.
+are merged per row, by a number that the rows get in a table. Words and items are never dropped.
 
 Cases: null or wordless texts and items hit nothing; repeated rows are rows of their own; repeated items count by distinct item_id; a null item_id reads as
 an empty string; an empty table on either side gives no hits. Only the named columns are read."""
@@ -173,12 +173,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     cols = docs.columns if keep else [id_col, text_col]
     base = docs.select(*cols)
     auto = _shards(bench, item_col, "text", window, shard_words)
-    if len(auto) > 1 and keep:
-        raise ValueError("keep goes with one shard; join by a row number instead")
     if len(auto) > 1:
         base = cut(base.withColumn("__row", F.monotonically_increasing_id()))
     extra = ["__n_words", "__n_hit", "__spans", "__items"]
-    carried = [c for c in base.columns if keep or c != text_col]
+    carried = ["__row"] if len(auto) > 1 and keep else [c for c in base.columns if keep or c != text_col]
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in carried), "__n_words long, __n_hit long, __spans array<int>, __items array<string>"])
     for one in auto:
         held = spark.sparkContext.broadcast(one)
@@ -194,21 +192,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
                 types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*carried, *extra])
 
-        part = base.mapInArrow(scan, schema)
+        part = base.select(*dict.fromkeys([*carried, text_col])).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     if len(auto) == 1:
         return out
     # Several passes: spans of a row overlap between passes, so its hit words are counted over their union.
-    lists = out.groupBy("__row", id_col).agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    named = "__row" if keep else id_col
+    lists = out.groupBy(*dict.fromkeys(["__row", named])).agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [union(x) for x in b.column(2).to_pylist()]
             hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), b.column(3)], names=[id_col, *extra])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), b.column(3)], names=[named, *extra])
 
-    kind = base.schema[id_col].dataType.simpleString()
-    return lists.select(id_col, "__n_words", "__spans", "__items").mapInArrow(unite, f"`{id_col}` {kind}, __n_words long, __n_hit long, __spans array<int>, __items array<string>")
+    kind = base.schema[named].dataType.simpleString()
+    merged = lists.select(named, "__n_words", "__spans", "__items").mapInArrow(unite, f"`{named}` {kind}, __n_words long, __n_hit long, __spans array<int>, __items array<string>")
+    return base.join(merged, "__row").select(*cols, *extra) if keep else merged
 
 
 def union(spans: list[int]) -> list[int]:
@@ -246,9 +246,9 @@ def remove_spans(text: str, spans: list[int], max_span: int = 0, max_coverage: f
     return (bytes(out) + raw[at:]).decode()
 
 
-def cleaned(docs: DataFrame, bench: DataFrame, max_span: int = 0, max_coverage: float = 0.5, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, bench: DataFrame, max_span: int = 0, max_coverage: float = 0.5, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """id, clean_text: spans over the length limit removed; rows over the coverage limit go."""
-    found = decontaminate(docs.select(id_col, text_col), bench, window, keep=True, id_col=id_col, text_col=text_col)
+    found = decontaminate(docs.select(id_col, text_col), bench, window, shard_words, keep=True, id_col=id_col, text_col=text_col)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -291,3 +291,16 @@ def test_bands_meet_long_lines():
     assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
     keys = line_dedup.band_keys(lines)
     assert (keys[::2] != keys[1::2]).all(1).mean() <= 0.01
+
+
+def test_decontaminate_keeps_rows_over_several_shards(spark):
+    """All columns and the found spans, of repeated and null ids too, as one automaton gives them."""
+    r = random.Random(6)
+    pick = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    items = [pick(n) for n in (12, 25, 40, 9, 3, 70)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = docs(spark, [pick(40), "q " + items[1] + " q " + items[5], None, items[2], pick(200), "q q"], [0, 1, 1, None, None, 5])
+    one, many = (decontaminate.decontaminate(d, bench, shard_words=k, keep=True) for k in (400_000, 30))
+    assert many.columns == one.columns == [*d.columns, "__n_words", "__n_hit", "__spans", "__items"]
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert sorted(map(str, decontaminate.cleaned(d, bench, shard_words=30).collect())) == sorted(map(str, decontaminate.cleaned(d, bench).collect()))
