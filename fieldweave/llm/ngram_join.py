@@ -173,18 +173,16 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """One row of each group stays, all columns: that with the smallest id; of repeated rows of that id, the first by text."""
-    from pyspark.sql.window import Window
-
-    stay = ngram_join(docs, id_col=id_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay"))
-    rows = docs.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    if not docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
-        return rows
-    again = docs.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__again"))
-    alone = rows.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
-    several = rows.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
-    first = several.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy("text"))).filter("__n = 1").drop("__n")
-    return alone.unionByName(first)
+    """One row of each group of near copies stays, all columns: that with the smallest id, null ids last, and of equal ids the first by number. Rows are linked by their
+    texts whatever their ids, by a number that each gets in a table; rows that link with nothing all stay."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = ngram_join(rows, id_col="__row", **how).select("__row", F.col("component_id").alias("__group"))
+    shared = found.groupBy("__group").count().filter("count > 1").select("__group")
+    members = cut(found.join(shared, "__group").join(rows.select("__row", F.col(id_col).alias("__id")), "__row"))
+    stay = members.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
+    gone = cut(members.select("__row").join(stay, "__row", "left_anti"))
+    uncut(members)
+    return rows.join(maybe_broadcast(gone), "__row", "left_anti").select(*docs.columns)
 
 
 #: DuckDB: all pairs of distinct gram sets that share a gram, counted exactly; components by repeated minimum. For small inputs.

@@ -304,3 +304,13 @@ def test_decontaminate_keeps_rows_over_several_shards(spark):
     assert many.columns == one.columns == [*d.columns, "__n_words", "__n_hit", "__spans", "__items"]
     assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
     assert sorted(map(str, decontaminate.cleaned(d, bench, shard_words=30).collect())) == sorted(map(str, decontaminate.cleaned(d, bench).collect()))
+
+
+def test_keep_one_of_rows_whatever_their_ids(spark):
+    """Of repeated and null ids no text without a copy is lost, and no copy stays."""
+    copy, own = "a b c d e f g h", ["z y x w v u", "one two three four", "five six seven eight", "nine ten eleven"]
+    rows = [(3, copy), (7, copy), (7, own[0]), (None, own[1]), (None, own[2]), (None, copy), (None, own[3]), (None, own[3]), (9, None), (9, None)]
+    kept = ngram_join.keep_one(docs(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert kept.columns == docs(spark, []).columns
+    want = [(3, copy), (7, own[0]), (None, own[1]), (None, own[2]), (None, own[3]), (9, None), (9, None)]
+    assert sorted(map(str, (tuple(r) for r in kept.select("doc_id", "text").collect()))) == sorted(map(str, want))
