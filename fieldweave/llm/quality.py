@@ -25,6 +25,8 @@ from .common import slices
 
 SAMPLE, POOL, ROUNDS, SURE, PER_ROUND = 3000, 2000, 4, 0.97, 200
 DIM, STATS = 1 << 15, 6
+#: Words of which repetition counts the distinct ones, one stretch after the other, so that it does not grow with length.
+SPAN = 400
 _RUNS = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0")]
 
 
@@ -53,7 +55,7 @@ def content(text: bytes | None, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     at = np.fromiter((x for w in words for x in slots[w]), np.int64, 2 * len(words))
     own, n = at[::2], len(words)
     again = float(np.mean(own[1:] == own[:-1])) if n > 1 else 0.0
-    seen = len(np.unique(own[:400])) / min(n, 400)
+    seen = sum(len(np.unique(own[i : i + SPAN])) for i in range(0, n, SPAN)) / n
     upper = sum(map(bytes.isupper, words)) / n
     return at, np.array([1.0, again, 1 - seen, upper, np.log1p(n) / 10, len(text or b"") / n / 10])
 

@@ -314,3 +314,11 @@ def test_keep_one_of_rows_whatever_their_ids(spark):
     assert kept.columns == docs(spark, []).columns
     want = [(3, copy), (7, own[0]), (None, own[1]), (None, own[2]), (None, own[3]), (9, None), (9, None)]
     assert sorted(map(str, (tuple(r) for r in kept.select("doc_id", "text").collect()))) == sorted(map(str, want))
+
+
+def test_repetition_of_whole_texts():
+    """What repeats after the first 400 words counts, and length alone does not."""
+    slots = quality.Slots()
+    share = lambda words: quality.content(" ".join(words).encode(), slots)[1][2]
+    clean = [f"w{i}" for i in range(400)]
+    assert share(clean + ["buy", "now"] * 800) == pytest.approx(0.8, abs=0.05) and share(clean * 5) == pytest.approx(share(clean), abs=1e-9)
