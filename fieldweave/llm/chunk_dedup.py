@@ -2,8 +2,8 @@
 
 The words of a text, joined by single blanks, are cut where a gear hash of the last 32 bytes, read at word ends, has its top two bits clear (four words a chunk on average),
 so a cut depends on the words before it alone and an insertion moves only the cuts near it. Chunks are compared by digest, each together with its successor: such a
-pair has eight words on average, and only pairs that occur in more than one document count. Runs of them that cover at least MIN_WORDS words are repeats. The document with the smallest
-id keeps a repeat; it is removed from the others.
+pair has eight words on average, and only pairs that occur more than once, in one document or in several, count. Runs of them that cover at least MIN_WORDS words are repeats. The document
+with the smallest id keeps the first place of each pair; all others are removed. The first place of a chunk is the first of its pairs too, so no chunk goes altogether.
 
 Why pairs: chunks of a few words recur by chance. Why 20 words: a repeated passage of 51 words loses at most the hash window and a part of a chunk at either end.
 
@@ -74,8 +74,15 @@ def pairs(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (pair ^ (pair >> np.uint64(31))).view(np.int64), starts[:-1].astype(np.int32), ends[1:].astype(np.int32)
 
 
+def repeated(digests: np.ndarray) -> np.ndarray:
+    """Whether each stands further to the front too."""
+    out = np.ones(len(digests), bool)
+    out[np.unique(digests, return_index=True)[1]] = False
+    return out
+
+
 def chunk_table(base: DataFrame) -> DataFrame:
-    """id, n_words, d (digests), s, e (word spans) per row."""
+    """id, n_words, d (digests), s, e (word spans), again (whether the row had the digest before) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 1 << 19):
@@ -84,9 +91,10 @@ def chunk_table(base: DataFrame) -> DataFrame:
             rows = [pairs(w, c) for w, c in zip(np.split(ids, np.cumsum(counts)[:-1]), cuts(split), strict=True)]
             off = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))), pa.int32())
             lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([r[k] for r in rows]))) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), *lists], names=["id", "n_words", "d", "s", "e"])
+            again = pa.ListArray.from_arrays(off, pa.array(np.concatenate([repeated(r[0]) for r in rows])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), *lists, again], names=["id", "n_words", "d", "s", "e", "again"])
 
-    return base.mapInArrow(scan, "id long, n_words long, d array<long>, s array<int>, e array<int>")
+    return base.mapInArrow(scan, "id long, n_words long, d array<long>, s array<int>, e array<int>, again array<boolean>")
 
 
 def _runs(hits: DataFrame, min_words: int) -> DataFrame:
@@ -102,10 +110,10 @@ def chunk_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """id, n_words, repeat_words (words in repeats, kept or not), removed_words, spans (removed word spans, flat) per distinct id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = chunk_table(base)
-    rows = table.filter("id IS NOT NULL").select("id", F.explode(F.arrays_zip("d", "s", "e")).alias("x")).select("id", "x.d", "x.s", "x.e")
-    # Digests of more than one document; min and max combine before the shuffle, so a common chunk is a row a task.
-    often = cut(rows.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("d", "lo"))
-    hits = cut(rows.join(maybe_broadcast(often), "d").select("id", "s", "e", (F.col("id") == F.col("lo")).alias("first")))
+    rows = table.filter("id IS NOT NULL").select("id", F.explode(F.arrays_zip("d", "s", "e", "again")).alias("x")).select("id", "x.d", "x.s", "x.e", "x.again")
+    # Digests of more than one place; min and max combine before the shuffle, so a common chunk is a row a task.
+    often = cut(rows.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("again").alias("twice")).filter("lo < hi OR twice").select("d", "lo"))
+    hits = cut(rows.join(maybe_broadcast(often), "d").select("id", "s", "e", ((F.col("id") == F.col("lo")) & ~F.col("again")).alias("first")))
     repeats = _runs(hits, min_words).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("repeat_words"))
     spans = _runs(hits.filter("NOT first"), min_words).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("removed_words"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
     spans = spans.select("id", "removed_words", F.flatten(F.transform("x", lambda p: F.array(p["s"], p["e"]))).alias("spans"))

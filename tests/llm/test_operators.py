@@ -322,3 +322,17 @@ def test_repetition_of_whole_texts():
     share = lambda words: quality.content(" ".join(words).encode(), slots)[1][2]
     clean = [f"w{i}" for i in range(400)]
     assert share(clean + ["buy", "now"] * 800) == pytest.approx(0.8, abs=0.05) and share(clean * 5) == pytest.approx(share(clean), abs=1e-9)
+
+
+def test_repeats_inside_a_document(spark):
+    """A passage three times in one document, and twice in the keeper of another, stays once."""
+    r = random.Random(4)
+    free = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    p, q = free(60), free(60)
+    texts = [f"{free(30)} {p} {free(30)} {p} {free(30)} {p}", f"{q} {free(25)} {q}", f"{free(20)} {q}", free(200)]
+    d = docs(spark, [*texts, texts[3]], [0, 1, 2, 3, 3])
+    found = chunk_dedup.chunk_dedup(d)
+    got = {x["doc_id"]: x for x in found.collect()}
+    assert 2 * 35 <= got[0]["removed_words"] <= 2 * 60 and all(35 <= got[i]["removed_words"] <= 60 for i in (1, 2)) and got[3]["repeat_words"] == 0
+    clean = {x["doc_id"]: x["text"] for x in chunk_dedup.cleaned(d, found).collect()}
+    assert clean[0].count(p) == 1 and clean[1].startswith(q) and clean[1].count(q) == 1
