@@ -4,7 +4,7 @@ Per language, labelled text builds a suffix automaton. A text is parsed greedily
 Few phrases mean that the language's text explains it well; phrases are normalised to bits a character by the size of the labelled text, and the language that needs fewest wins.
 
 The automaton with its failure rule ("a match that cannot go on ends a phrase, the next begins here") is laid out as one dense table of state x symbol, so whole batches
-of texts step through it in lockstep with NumPy. Texts are cut into lanes of LANE symbols, each parsed on its own (one phrase more per lane, for every language alike);
+of texts step through it in lockstep with NumPy. The table has the most frequent characters; transitions by others are kept sparse, so that different characters never match. Texts are cut into lanes of LANE symbols, each parsed on its own (one phrase more per lane, for every language alike);
 every symbol of a text is read.
 
 Cases: null text, or text without a letter, is `und` with score 0; ties go to the language first by code point; repeated rows get equal answers; with no labelled rows every
@@ -98,20 +98,29 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # symbol of every code point
+    symbol: np.ndarray  # symbol of every code point; the greatest is that of characters in no labelled text
     parse: list[np.ndarray]  # per language: state * SYMBOLS + symbol -> next state * SYMBOLS * 2 + (1 if a phrase began)
     bits: list[float]  # bits that a phrase costs: log2 of the labelled length
+    rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per language, symbols from SYMBOLS - 1 on: sorted state << 32 | symbol, what parse would hold there, and per symbol where a phrase that begins with it goes
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases per language and lane. lanes: position x lane, lanes sorted by falling length."""
         live = np.searchsorted(-lengths, -np.arange(lanes.shape[0]), side="left")
         out = np.zeros((len(self.langs), lanes.shape[1]), np.int32)
+        dense, odd = np.minimum(lanes, SYMBOLS - 1).astype(np.uint8), [np.flatnonzero(row >= SYMBOLS - 1) for row in lanes]
         for k, table in enumerate(self.parse):
+            keys, goes, begin = self.rare[k]
             v = np.zeros(lanes.shape[1], np.int32)
             n = np.ones(lanes.shape[1], np.int32)  # the first phrase
             for i in range(lanes.shape[0]):
                 m = live[i]
-                x = table[(v[:m] >> 1) + lanes[i, :m]]
+                x = table[(v[:m] >> 1) + dense[i, :m]]
+                if len(odd[i]):
+                    at = odd[i][odd[i] < m]
+                    c = lanes[i, at].astype(np.int64)
+                    key = ((v[at] >> 1) // SYMBOLS).astype(np.int64) << 32 | c
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    x[at] = np.where(keys[place] == key, goes[place], begin[c - SYMBOLS + 1])
                 v[:m] = x
                 n[:m] += x & 1
             out[k] = n
@@ -131,7 +140,7 @@ class Model:
         first = np.concatenate(([0], np.cumsum(counts)))[:-1]
         part = np.arange(len(owner)) - first[owner]
         lengths = np.minimum(LANE, size[owner] - part * LANE)
-        buf = np.zeros((len(owner), LANE), np.uint8)
+        buf = np.zeros((len(owner), LANE), self.symbol.dtype)
         for i, s in enumerate(seqs):
             if counts[i]:
                 buf[first[i] : first[i] + counts[i]].reshape(-1)[: len(s)] = s
@@ -160,21 +169,25 @@ def build(samples: dict[str, list[str]], most_chars: int = SAMPLE_CHARS) -> Mode
         joined = np.concatenate(seq) if seq else np.zeros(0, np.uint32)
         if len(joined):
             text[lang] = joined
-    common = [c for c, _ in sorted(Counter(int(c) for x in text.values() for c in x).items(), key=lambda p: (-p[1], p[0]))[: SYMBOLS - 1]]
-    symbol = np.full(0x110000, SYMBOLS - 1, np.uint8)  # the last symbol: characters beyond the common ones
-    symbol[common] = np.arange(len(common))
-    parse, bits = [], []
+    known = [c for c, _ in sorted(Counter(int(c) for x in text.values() for c in x).items(), key=lambda p: (-p[1], p[0]))]
+    absent = max(len(known), SYMBOLS - 1)
+    symbol = np.full(0x110000, absent, np.min_scalar_type(absent))
+    symbol[known] = np.arange(len(known))
+    parse, bits, rare = [], [], []
     for x in text.values():
         go = suffix_automaton(symbol[x].tolist())
-        start = np.array([go[0].get(c, 0) * SYMBOLS * 2 + 1 for c in range(SYMBOLS)], np.int32)
+        begin = np.array([go[0].get(c, 0) * SYMBOLS * 2 + 1 for c in range(absent + 1)], np.int32)
+        start = begin[:SYMBOLS]
         table = np.tile(start, (len(go), 1))
         for s, edges in enumerate(go):
-            if edges:
-                table[s, list(edges)] = np.fromiter(edges.values(), np.int32, len(edges)) * SYMBOLS * 2
+            if often := [c for c in edges if c < SYMBOLS - 1]:
+                table[s, often] = np.fromiter((edges[c] for c in often), np.int32, len(often)) * SYMBOLS * 2
+        odd = sorted((s << 32 | c, v * SYMBOLS * 2) for s, edges in enumerate(go) if s for c, v in edges.items() if c >= SYMBOLS - 1) or [(-1, 0)]
+        rare.append((np.array([k for k, _ in odd], np.int64), np.array([v for _, v in odd], np.int32), begin[SYMBOLS - 1 :]))
         table[0] = start  # a phrase that begins at the root is counted as it begins
         parse.append(table.reshape(-1))
         bits.append(float(np.log2(len(x) + 1)))
-    return Model(list(text), symbol, parse, bits)
+    return Model(list(text), symbol, parse, bits, rare)
 
 
 def train(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars_per_lang: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

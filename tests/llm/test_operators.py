@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from fieldweave.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, sharding
@@ -336,3 +337,25 @@ def test_repeats_inside_a_document(spark):
     assert 2 * 35 <= got[0]["removed_words"] <= 2 * 60 and all(35 <= got[i]["removed_words"] <= 60 for i in (1, 2)) and got[3]["repeat_words"] == 0
     clean = {x["doc_id"]: x["text"] for x in chunk_dedup.cleaned(d, found).collect()}
     assert clean[0].count(p) == 1 and clean[1].startswith(q) and clean[1].count(q) == 1
+
+
+def test_language_id_of_many_letters():
+    """Texts of two scripts of 500 letters, each letter about as frequent as the next, beside a common third; phrases as brute force parses them."""
+    r = random.Random(9)
+    word = lambda base: "".join(chr(base + r.randrange(500)) for _ in range(3))
+    lexicon = {"p": [word(0x4E00) for _ in range(300)], "q": [word(0x4F00) for _ in range(300)], "r": ["the", "cat", "sat", "on", "mat"] * 60}
+    text = lambda k, n: " ".join(r.choice(lexicon[k]) for _ in range(n))
+    model = language_id.build({k: [text(k, 3000)] for k in lexicon})
+    assert model.predict([text(k, 8) for k in "ppqqrr" * 10])[0] == list("ppqqrr" * 10)
+    assert len({int(model.symbol[0x4E00 + i]) for i in range(500)}) > 400
+    small = text("p", 60)
+    model = language_id.build({"p": [small], "r": [text("r", 3000)]})
+    seq, line = (language_id.points(x).tolist() for x in (small, small[31:90] + text("p", 20) + "\u3400x"))
+    has = lambda s: any(seq[i : i + len(s)] == s for i in range(len(seq)))
+    phrases, at = 0, 0
+    while at < len(line):
+        n = 1
+        while at + n < len(line) and has(line[at : at + n + 1]):
+            n += 1
+        phrases, at = phrases + 1, at + n
+    assert model.phrases(model.symbol[line].reshape(-1, 1), np.array([len(line)]))[0, 0] in (phrases, phrases + 1)
