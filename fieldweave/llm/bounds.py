@@ -1,74 +1,61 @@
 """Upper bounds of the Jaccard similarity of two sets by hashed bitmaps.
 
-A bitmap holds, for each bit, the parity of how many elements hash to it. Two sets differ in at least as many elements as their bitmaps differ in bits. Classes carry BITS bits with
-their buckets, and a wide bitmap of as many bits as elements (a power of two) for what passes those."""
+A bitmap holds, for each bit, the parity of how many elements hash to it. Two sets differ in at least as many elements as their bitmaps differ in bits. Bitmaps have as many bits as
+their set has elements (a power of two, from BITS to a cap); the longer of two is folded by xor, bit i of the folded one being the xor of bits i, i + width, i + 2 width, ..."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 BITS = 256
 
 
-def bitmaps(x: np.ndarray, least: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """BITS bits and the wide bitmap (least bits or more) of distinct hashes, as longs. The narrow one is the wide one folded by xor."""
-    width = max(least, 1 << (len(x) - 1).bit_length()) if len(x) else least
+def bitmap(x: np.ndarray, most: int, least: int = BITS, fill: int = 1) -> np.ndarray:
+    """The bitmap of distinct hashes as longs, of fill bits an element or more."""
+    width = min(max(least, 1 << (fill * len(x) - 1).bit_length()), most) if len(x) else least
     parity = (np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
-    return np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, BITS))).view(np.int64), np.packbits(parity).view(np.int64)
-
+    return np.packbits(parity).view(np.uint64)
 
-def fold(wide: np.ndarray, longs: int) -> np.ndarray:
-    """A bitmap of longs of that number, folded by xor."""
-    return np.bitwise_xor.reduce(wide.reshape(-1, longs))
 
-
-def _bound(na: Column, nb: Column, apart: Column, percent: int) -> Column:
+def fits(na: np.ndarray, nb: np.ndarray, apart: np.ndarray | int, percent: int) -> np.ndarray:
     """J >= t <=> overlap >= t (na + nb) / (1 + t), and overlap <= (na + nb - bits that differ) / 2."""
     return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
 
 
-def clip(wide: Column, longs: int) -> Column:
-    """A wide bitmap of longs of that number at most, folded by xor; empty where it is no wider than BITS, which say the same."""
-    folded = F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.aggregate(F.filter(wide, lambda x, k: k % longs == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
-    return F.when(F.size(wide) > longs, folded).when(F.size(wide) <= BITS // 64, F.array().cast("array<long>")).otherwise(wide)
-
-
-def _halved(x: Column, size: Column) -> Column:
-    half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
-    return F.when(F.size(x) > size, half).otherwise(x)
-
-
-def _apart(a: Column, b: Column) -> Column:
-    """Bits that differ between two bitmaps whose lengths differ by a factor of two at most; bit i of the folded one is the xor of bits i and i + half."""
-    size = F.least(F.size(a), F.size(b))
-    return F.aggregate(F.zip_with(_halved(a, size), _halved(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-
-
-def can_be_similar(percent: int, more: bool = False, even: bool = True) -> Callable[[Column, Column], Column]:
-    """Size band and bitmap bound of two marks (n, bits); with more, then also by a longer bitmap (n, bits, more), of one length if even."""
-
-    def near(a: Column, b: Column) -> Column:
-        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
-        fits = (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & _bound(a["n"], b["n"], apart, percent)
-        if not more:
-            return fits
-        # A loop, not terms: code that long is not compiled, and few pairs come this far.
-        longer = F.aggregate(F.zip_with(a["more"], b["more"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v) if even else _apart(a["more"], b["more"])
-        return fits & _bound(a["n"], b["n"], longer, percent)
-
-    return near
-
-
-def sifter(classes: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """The bound by wide bitmaps of classes (cid, n, wide). Sizes within a band differ by less than two, so at most one folding makes lengths equal."""
-
-    def sift(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
-        x = pairs.join(side("a"), "a").join(side("b"), "b")
-        return x.filter(_bound(F.col("na"), F.col("nb"), _apart(F.col("wa"), F.col("wb")), percent)).select("a", "b")
-
-    return sift
+class Bitmaps:
+    """Bitmaps of many sets, of powers of two longs each, for bounds of many pairs at once."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        """flat: the longs of all; ends: where each ends."""
+        width = np.diff(ends, prepend=0)
+        self.width, self.at, self.by = width, np.zeros(len(width), np.int64), {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            self.at[own] = np.arange(len(own))
+            self.by[w] = flat[(ends[own] - w)[:, None] + np.arange(w)]
+        self.narrow = self.folded(np.arange(len(width)), BITS // 64) if len(width) else np.zeros((0, BITS // 64), np.uint64)
+
+    def folded(self, rows: np.ndarray, w: int) -> np.ndarray:
+        out, width = np.empty((len(rows), w), np.uint64), self.width[rows]
+        for v in np.unique(width).tolist():
+            own = np.flatnonzero(width == v)
+            out[own] = np.bitwise_xor.reduce(self.by[v][self.at[rows[own]]].reshape(len(own), v // w, w), axis=1)
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits that differ, of the pairs' shorter length."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least).tolist():
+            own = np.flatnonzero(least == w)
+            for part in np.array_split(own, len(own) * w // 4_000_000 + 1):
+                out[part] = np.bitwise_count(self.folded(i[part], w) ^ self.folded(j[part], w)).sum(1, dtype=np.int64)
+        return out
+
+    def similar(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs can be similar: by BITS bits first, then by all."""
+        can = np.flatnonzero(fits(n[i], n[j], np.bitwise_count(self.narrow[i] ^ self.narrow[j]).sum(1, dtype=np.int64), percent))
+        more = can[np.minimum(self.width[i[can]], self.width[j[can]]) > BITS // 64]
+        out = np.zeros(len(i), bool)
+        out[can] = True
+        out[more] = fits(n[i[more]], n[j[more]], self.apart(i[more], j[more]), percent)
+        return out

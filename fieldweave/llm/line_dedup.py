@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
 Distinct lines (trimmed) are classes. Their character shingles, lower-cased, give a one-permutation MinHash of BANDS x ROWS bins (empty bins take the next full bin's value with
-its distance), read in one pass over the shingles. Lines that agree in a band are candidates; bitmaps bound their similarity, and the exact Jaccard of those that pass is computed; distributed union-find joins what passes, and of
-each component the first line by (id, line number) stays. At a similarity of 0.8 the banding finds a pair with probability 0.99 and at 0.85 with 0.999, for each pair apart; groups are found through any of their pairs.
+its distance), read in one pass over the shingles. Lines that agree in a band are candidates; bitmaps bound their similarity, and the exact Jaccard of those that pass is computed inside
+tasks (see linkage); distributed union-find joins what passes, and of each component the first line by (id, line number) stays. At a similarity of 0.8 the banding finds a pair with probability 0.99 and at 0.85 with 0.999, for each pair apart; groups are found through any of their pairs.
 
 Cases: blank lines are neither classes nor removed; null text has no lines; a line shorter than a shingle is one shingle; repeated rows are the same lines (kept or removed together);
 null ids take no part and are returned with nothing removed; an empty table gives an empty result. Only id and text are read."""
@@ -14,17 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bounds import BITS, bitmaps, can_be_similar, fold
+from .bounds import bitmap
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import distinct
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 5, 80
-#: Bits of the bitmap that the full test of what leaders left compares: about as many as a long line has shingles, so that pairs just under the limit are told apart too.
-LONGER = 1024
+#: Bits at most of the bitmaps that travel with bands.
+MOST = 1024
 BINS = BANDS * ROWS
 _M = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,7 +103,7 @@ def line_classes(base: DataFrame) -> DataFrame:
 
 
 def line_texts(base: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
-    """cid, x (the line), n (shingles), bits and more (bitmaps) of the live classes; the lines are read again from their documents."""
+    """cid, x (the line), n (shingles) and bits (the bitmap) of the live classes; the lines are read again from their documents."""
     wanted = cut(classes.join(live, "cid").groupBy("id").agg(F.collect_list(F.struct("line", "cid", "digest")).alias("want")))
     n_wanted = wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0]
     rows = base.join(maybe_broadcast(wanted, n_wanted), "id").select("want", "text")
@@ -119,37 +119,15 @@ def line_texts(base: DataFrame, classes: DataFrame, live: DataFrame) -> DataFram
                         cid.append(w["cid"])
                         got.append(x)
             sets = shingle_sets(got)
-            maps = [bitmaps(x, LONGER) for x in sets]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(np.concatenate(m) if m else np.zeros(0, np.int64))) for k, m in ((BITS // 64, [m[0] for m in maps]), (LONGER // 64, [fold(m[1], LONGER // 64) for m in maps]))]
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string()), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["cid", "x", "n", "bits", "more"])
+            bits = pa.array([bitmap(x, MOST).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(got, pa.string()), pa.array([len(x) for x in sets], pa.int64()), bits], names=["cid", "x", "n", "bits"])
 
-    out = cut(rows.mapInArrow(fetch, "cid long, x string, n long, bits array<long>, more array<long>").dropDuplicates(["cid"]))
+    out = cut(rows.mapInArrow(fetch, "cid long, x string, n long, bits binary").dropDuplicates(["cid"]))
     uncut(wanted)
     return out
 
 
-def verifier(lines: DataFrame, percent: int):
-    """Pairs of classes to those whose shingle sets are similar."""
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = shingle_sets([*part.column(2).to_pylist(), *part.column(3).to_pylist()])
-                keep = []
-                for a, b in zip(sets[: part.num_rows], sets[part.num_rows :], strict=True):
-                    same = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(a) + len(b) - same))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.select(F.col("cid").alias("a"), F.col("x").alias("xa")), "a").join(lines.select(F.col("cid").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb")
-        return cut(both.mapInArrow(exact, "a long, b long"))
-
-    return verify
-
-
-def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
     """id, n_lines (not blank), n_removed, removed (line numbers, rising) per distinct id; every id of the table is returned."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = cut(line_classes(base.filter("id IS NOT NULL")))
@@ -160,16 +138,10 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     def marks(live: DataFrame) -> DataFrame:
         held.append(line_texts(base, classes.select("cid", "id", "line", "digest"), live))
-        return held[0].select("cid", F.struct("n", "bits").alias("mark"))
-
-    def late() -> DataFrame:
-        return held[0].join(classes.select("cid", "bands"), "cid").select("cid", F.struct("n", "bits", "more", "bands").alias("mark"))
-
-    def once(key: Column, a: Column, b: Column) -> Column:
-        """In the first band that the two share. A negative part borrows one from the band's number."""
-        return F.array_position(F.zip_with(a["bands"], b["bands"], lambda p, q: p == q), True) - 1 == F.shiftright(key + (1 << 31), 32)
+        return held[0].select("cid", "n", "bits")
 
-    roots = cut(link(banded, lambda pairs: verifier(held[0], percent)(pairs), classes.count(), marks, can_be_similar(percent), None, eager=2, most=1, once=once, late=late, near_late=can_be_similar(percent, more=True)))
+    roots = link(banded, marks, lambda wanted: held[0].join(wanted.select("cid", "key"), "cid").select("key", "cid", "x"), lambda t: shingle_sets(t["x"].to_pylist()), percent, block)
+    uncut(*held)
     linked = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"))
     keeper = linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
     near = linked.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))

@@ -3,25 +3,25 @@
 1. Texts become sets of word n-grams (64-bit hashes, sorted). Equal sets are one class, by a 128-bit digest.
 2. Tiles: at similarity t a pair must share one of the first n - ceil(t n) + 1 grams of any global order. The order is by hash, with grams that very many documents
    share (counted over all documents) last, so that shared passages open no tile. A tile is a gram and its classes; within it, only sizes within t of each other meet (size bands).
-3. Hashed bitmap signatures of parity bits. Two sets differ in at least as many grams as their bitmaps differ in bits, so the bit count of the xor bounds the overlap from
-   above; pairs whose bound is too low go. 256 bits a class travel with the tiles (up to 1024 in the last, full test); pairs that pass them meet bitmaps as long as the set (a power of two; the longer of two is folded).
-4. The sorted arrays of the pairs that are left are intersected exactly.
-Tiles with many classes are linked through leaders (see linkage), never pair by pair.
+3. Hashed bitmap signatures of parity bits, as many as grams (a power of two, MOST at most), travel with the tiles. Two sets differ in at least as many grams as their bitmaps differ in
+   bits, so the bit count of the xor bounds the overlap from above; pairs whose bound is too low go. What can be similar connects classes into clusters.
+4. Within its cluster, the sorted arrays of the pairs that longer bitmaps leave are intersected exactly, until the two classes are connected.
+Pairs exist inside tasks only; tasks put out spanning forests (see linkage).
 
 Cases: null or wordless texts have no gram and link with nothing, not even each other; fewer words than n are one gram of the whole sequence; repeated rows (or ids) link by their
 own text; a null id is returned with a null component; an empty table gives an empty result. Only id and text are read."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bounds import bitmaps, can_be_similar, clip, sifter
+from .bounds import bitmap
 from .common import cut, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import gram_sets
@@ -29,14 +29,8 @@ from .words import gram_sets
 N, PERCENT = 3, 90
 #: Most grams that count as common, and the least documents that hold a common gram.
 COMMON, COMMON_DOCS = 4_000_000, 64
-#: Longs of the bitmap that the full test of what leaders left compares before a pair is stored; sets of few grams carry fewer.
-LONGER = 16
-#: First tiles of a class that tell the full test where to meet a pair.
-FIRST = 8
-
-
-def _binary_rows(cols: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+#: Bits at most of the bitmaps that travel with tiles.
+MOST = 4096
 
 
 def common_grams(base: DataFrame, n: int) -> np.ndarray:
@@ -72,103 +66,72 @@ def common_grams(base: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """id, n_grams, digest, bits (BITS of them), wide (as many as grams), tiles (grams of the prefix)."""
+    """id, n_grams, digest, bits (the bitmap), tiles (grams of the prefix)."""
     held = base.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = held.value
         for batch, texts in slices(batches, "text", 1 << 20):
-            size, digest, bits, wide, tiles = [], [], [], [], []
+            size, digest, bits, tiles = [], [], [], []
             for x in gram_sets(texts, n):
                 size.append(len(x))
                 digest.append(xxhash.xxh3_128_digest(x.tobytes()))
-                narrow, broad = bitmaps(x)
-                bits.append(narrow)
-                wide.append(broad)
+                bits.append(bitmap(x, MOST).tobytes())
                 p = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 if len(x) and len(top):
                     at = np.searchsorted(top, x)
                     is_hot = top[np.minimum(at, len(top) - 1)] == x
                     x = np.concatenate([x[~is_hot], x[is_hot]])
                 tiles.append(x[:p].view(np.int64))
-            off = lambda a: pa.array(np.concatenate(([0], np.cumsum([len(v) for v in a]))), pa.int32())
-            flat = lambda a: pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *(pa.ListArray.from_arrays(off(v), flat(v)) for v in (bits, wide, tiles))], names=["id", "n_grams", "digest", "bits", "wide", "tiles"])
-
-    return base.mapInArrow(scan, "id long, n_grams long, digest binary, bits array<long>, wide array<long>, tiles array<long>")
-
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in tiles]))), pa.int32())
+            flat = pa.array(np.concatenate(tiles) if tiles else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["id", "n_grams", "digest", "bits", "tiles"])
 
-def verifier(base: DataFrame, classes: DataFrame, n: int, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """Pairs of classes to those that are links, by exact intersection of their sorted gram arrays."""
+    return base.mapInArrow(scan, "id long, n_grams long, digest binary, bits binary, tiles array<long>")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = cut(classes.join(ids, "cid").select("cid", F.col("rep").alias("id"), "digest"))
-        rows = base.join(maybe_broadcast(wanted), "id").select("cid", "digest", "text")
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in slices(batches, "text", 1 << 20):
-                out: list[tuple[int, bytes]] = []
-                for cid, digest, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gram_sets(texts, n), strict=True):
-                    raw = x.tobytes()
-                    if xxhash.xxh3_128_digest(raw) == digest:  # an id may repeat with another text
-                        out.append((cid, raw))
-                yield _binary_rows([[o[0] for o in out], [o[1] for o in out]], [pa.int64(), pa.binary()], ["cid", "grams"])
+def gram_arrays(base: DataFrame, sig: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """key, cid, grams (the sorted set) of the wanted classes (cid, key, id, digest), one row each; their texts are read again."""
+    narrow = cut(wanted.select("cid", "key", "id", "digest"))
+    few = maybe_broadcast(narrow, n_narrow := narrow.count())
+    rows = base.join(few, "id").select("cid", "key", "digest", "text")
+    repeated = sig.join(few, ["id", "digest"]).count() > n_narrow
 
-        arrays = cut(rows.mapInArrow(sets, "cid long, grams binary").dropDuplicates(["cid"]))
-        # The member side first: what is shuffled is one array a pair, and a leader's array is only repeated within its tasks.
-        both = pairs.join(arrays.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b").join(arrays.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b, keep = batch.column(0), batch.column(1), []
-                for ga, gb in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(ga.as_buffer(), np.uint64), np.frombuffer(gb.as_buffer(), np.uint64)
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        found = cut(both.mapInArrow(exact, "a long, b long"))
-        uncut(wanted, arrays)
-        return found
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", 1 << 20):
+            raw = [x.tobytes() for x in gram_sets(texts, n)]
+            right = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(raw, batch.column(2).to_pylist(), strict=True)], pa.bool_())  # an id may repeat with another text
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(raw, pa.binary())], names=["key", "cid", "grams"]).filter(right)
 
-    return verify
+    arrays = rows.mapInArrow(sets, "key long, cid long, grams binary")
+    return arrays.dropDuplicates(["cid"]) if repeated else arrays
 
 
-def meets(key: Column, a: Column, b: Column) -> Column:
-    """Pairs of which the first tiles have some in common meet in the least of those alone; others, few of them similar, in every tile that they share."""
-    common = F.array_intersect(a["first"], b["first"])
-    return (F.size(common) == 0) | (F.array_min(common) == key)
+def arrays_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"].combine_chunks()]
 
 
-def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id per row."""
+def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
+    """id, n_shingles, component_id per row. block: classes of one tile or cluster that a task takes at once."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = cut(signatures(base, n, percent, common_grams(base, n)))
-    first = F.min(F.struct(F.col("id").alias("id"), F.col("n_grams").alias("n_grams"), F.col("bits").alias("bits"), F.col("wide").alias("wide"), F.col("tiles").alias("tiles")))
+    first = F.min(F.struct("id", "n_grams", "bits", "tiles"))
     classes = sig.filter("n_grams > 0 AND id IS NOT NULL").groupBy("digest").agg(first.alias("x"))
-    classes = cut(classes.select("digest", F.col("x.id").alias("rep"), "x.n_grams", "x.bits", "x.wide", "x.tiles", F.monotonically_increasing_id().alias("cid")))
-    tiles = classes.select(F.explode("tiles").alias("key"), "cid")
-    marks = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits").alias("mark"))
-    fuller = classes.select("cid", F.struct(F.col("n_grams").alias("n"), "bits", clip(F.col("wide"), LONGER).alias("more"), F.slice("tiles", 1, FIRST).alias("first")).alias("mark"))
+    classes = cut(classes.select("digest", F.col("x.id").alias("rep"), F.col("x.n_grams").alias("n"), "x.bits", "x.tiles", F.monotonically_increasing_id().alias("cid")))
     roots = link(
-        tiles,
-        verifier(base, classes.select("cid", "rep", "digest"), n, percent),
-        classes.count(),
-        lambda live: marks.join(live, "cid"),
-        can_be_similar(percent),
-        sifter(classes.withColumnRenamed("n_grams", "n"), percent),
-        once=meets,
-        repeats=True,
-        late=lambda: fuller,
-        near_late=can_be_similar(percent, more=True, even=False),
+        classes.select(F.explode("tiles").alias("key"), "cid"),
+        lambda live: classes.select("cid", "n", "bits"),
+        lambda wanted: gram_arrays(base, sig, wanted.join(classes.select("cid", F.col("rep").alias("id"), "digest"), "cid"), n),
+        arrays_of,
+        percent,
+        block,
     )
     named = classes.select("cid", "rep", "digest").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(least, "root").select("digest", "component_id")
     rows = sig.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
     out = cut(rows.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
-    uncut(sig, classes)
+    uncut(sig, classes, roots)
     return out
 
 
