@@ -133,7 +133,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     lines = cut(line_classes(base.filter("id IS NOT NULL")))
     first = lines.groupBy("digest").agg(F.min(F.struct("id", "line", "bands")).alias("x"), F.count(F.lit(1)).alias("times"))
     classes = cut(first.select("digest", "x.id", "x.line", "x.bands", "times", F.monotonically_increasing_id().alias("cid")))
-    banded = classes.select(F.posexplode("bands").alias("band", "part"), "cid").select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("part")).alias("key"), "cid")
+    banded = classes.select(F.posexplode("bands").alias("band", "part"), "cid").select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("part")).alias("key"), "cid", F.lit(0).cast("long").alias("n"))
     held: list[DataFrame] = []
 
     def marks(live: DataFrame) -> DataFrame:

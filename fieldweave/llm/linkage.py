@@ -1,6 +1,7 @@
 """Links between classes that share a bucket. Pairs live only inside tasks: what a task puts out is a spanning forest, at most one row for each class that it holds.
 
-1. Buckets. Each bucket's classes meet in one task, which bounds every pair by size band and bitmap and puts out the components of the pairs that can be similar.
+1. Buckets. Members without another of a fitting size go, and of buckets with the same members one stays. Each bucket's classes meet in one task, which bounds every pair by size band
+   and bitmap and puts out the components of the pairs that can be similar.
 2. Clusters. Those components over all buckets are clusters: linked classes are always in one. Each class is in one cluster, so its content is shuffled once; a task takes whole
    clusters, bounds their pairs by longer bitmaps, tests exactly what is left until two classes are connected, and puts out the forest of the links.
 
@@ -187,15 +188,25 @@ def within(rows: DataFrame, hot: DataFrame, kernel: Kernel) -> DataFrame:
     return both
 
 
+def distinct_buckets(met: DataFrame, percent: int) -> DataFrame:
+    """(key, cid) of buckets (key, cid, n) of bounded size: members that fit no other's size go, and of buckets with the same members the least key stays."""
+    x = F.col("x")
+    fitting = F.filter(x, lambda c, i: (F.get(x, i - 1)["n"] * 100 >= c["n"] * percent).eqNullSafe(True) | (c["n"] * 100 >= F.get(x, i + 1)["n"] * percent).eqNullSafe(True))
+    sets = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "cid"))).alias("x")).select("key", fitting["cid"].alias("cids"))
+    return sets.filter(F.size("cids") > 1).groupBy("cids").agg(F.min("key").alias("key")).select("key", F.explode("cids").alias("cid"))
+
+
 def link(
     buckets: DataFrame, marks: Callable[[DataFrame], DataFrame], content: Callable[[DataFrame], DataFrame], prepare: Callable[[pa.Table], list[np.ndarray]], percent: int, block: int | None = None, weight: int | None = None
 ) -> DataFrame:
-    """(node, root) of the linked classes, materialised. buckets: (key, cid), both long. marks: from the classes that share a bucket (cid) to (cid, n, bits), the size of the set and its
+    """(node, root) of the linked classes, materialised. buckets: (key, cid, n), all long; n is the size of the set, or the same for all where it is not known yet. marks: from the classes that share a bucket (cid) to (cid, n, bits), the size of the set and its
     bitmap as bytes. content: from (cid, key, n) of classes in clusters to (key, cid, ...), which prepare turns into sorted sets of hashes."""
     block, weight = block or BLOCK, weight or WEIGHT
     shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = cut(buckets.join(maybe_broadcast(shared.select("key")), "key"))
     hot = cut(shared.filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("spread")))
+    met = distinct_buckets(buckets.join(maybe_broadcast(shared.filter(F.col("n") <= block).select("key")), "key"), percent)
+    met = cut(met.union(buckets.join(maybe_broadcast(hot.select("key")), "key").select("key", "cid")))
+    tidy(buckets.sparkSession)
     sizes = marks(met.select("cid").distinct())
     first = within(met.join(sizes, "cid").select("key", "cid", "n", "bits"), hot, bitmap_kernel(percent))
     clusters = cut(components(first).join(sizes.select("cid", "n"), F.col("node") == F.col("cid")).select("cid", F.col("root").alias("key"), "n"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bounds import bitmap
-from .common import cut, maybe_broadcast, slices, uncut
+from .common import BROADCAST_ROWS, cut, maybe_broadcast, slices, tidy, uncut
 from .linkage import link
 from .words import gram_sets
 
@@ -62,7 +62,9 @@ def common_grams(base: DataFrame, n: int) -> np.ndarray:
 
     counts = cut(base.select("text").mapInArrow(scan, "g long, c long, total long").groupBy("g").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
     most = max(COMMON_DOCS, (counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) // COMMON)
-    return np.sort(np.array([r[0] for r in counts.filter(F.col("c") > most // 2).select("g").toLocalIterator()], np.int64).view(np.uint64))
+    top = np.sort(np.array([r[0] for r in counts.filter(F.col("c") > most // 2).select("g").toLocalIterator()], np.int64).view(np.uint64))
+    uncut(counts)
+    return top
 
 
 def signatures(base: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
@@ -114,12 +116,18 @@ def arrays_of(t: pa.Table) -> list[np.ndarray]:
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
     """id, n_shingles, component_id per row. block: classes of one tile or cluster that a task takes at once."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut(signatures(base, n, percent, common_grams(base, n)))
-    first = F.min(F.struct("id", "n_grams", "bits", "tiles"))
-    classes = sig.filter("n_grams > 0 AND id IS NOT NULL").groupBy("digest").agg(first.alias("x"))
-    classes = cut(classes.select("digest", F.col("x.id").alias("rep"), F.col("x.n_grams").alias("n"), "x.bits", "x.tiles", F.monotonically_increasing_id().alias("cid")))
+    sig = cut(signatures(base, n, percent, common_grams(base, n)).withColumn("cid", F.monotonically_increasing_id()))
+    whole = sig.filter("n_grams > 0 AND id IS NOT NULL")
+    # The row of the smallest id stands for the rows of a digest; the others are named by number, and a narrow aggregate finds them.
+    several = cut(whole.groupBy("digest").agg(F.min(F.struct("id", "cid")).alias("x"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", F.col("x.cid").alias("first")))
+    copies = cut(whole.select("cid", "digest").join(maybe_broadcast(several), "digest").filter("cid <> first").select("cid"))
+    n_copies = copies.count()
+    classes = whole.join(maybe_broadcast(copies, n_copies), "cid", "left_anti").select("cid", "digest", F.col("id").alias("rep"), F.col("n_grams").alias("n"), "bits", "tiles")
+    held = cut(classes) if n_copies > BROADCAST_ROWS else None
+    classes = held or classes
+    tidy(docs.sparkSession)
     roots = link(
-        classes.select(F.explode("tiles").alias("key"), "cid"),
+        classes.select(F.explode("tiles").alias("key"), "cid", "n"),
         lambda live: classes.select("cid", "n", "bits"),
         lambda wanted: gram_arrays(base, sig, wanted.join(classes.select("cid", F.col("rep").alias("id"), "digest"), "cid"), n),
         arrays_of,
@@ -131,7 +139,7 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     by_digest = named.join(least, "root").select("digest", "component_id")
     rows = sig.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
     out = cut(rows.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
-    uncut(sig, classes, roots)
+    uncut(sig, several, copies, held, roots)
     return out
 
 
