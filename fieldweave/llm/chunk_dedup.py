@@ -123,8 +123,14 @@ def chunk_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("repeat_words", zero).alias("repeat_words"), F.coalesce("removed_words", zero).alias("removed_words"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
 
 
+def clean(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """All columns of docs, each row's text without its own removed spans, whatever the ids: rows are told apart by a number that each gets in a table, and the first row keeps a passage."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return cleaned(rows, chunk_dedup(rows, id_col="__row", text_col=text_col, **how), "__row", text_col).drop("__row")
+
+
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs; removed spans go from the text with the blanks after them, the rest stays byte for byte."""
+    """All columns of docs, by id (where ids repeat with different texts, see clean); removed spans go from the text with the blanks after them, the rest stays byte for byte."""
     gone = found.filter("removed_words > 0").select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
     names = docs.columns
     joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")

@@ -154,8 +154,14 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     return per.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def clean(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """All columns of docs, each row's text without its own removed lines, whatever the ids: rows are told apart by a number that each gets in a table, and the first row keeps a line."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return cleaned(rows, line_dedup(rows, id_col="__row", text_col=text_col, **how), "__row", text_col).drop("__row")
+
+
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, the text without its removed lines."""
+    """All columns of docs, the text without its removed lines, by id; where ids repeat with different texts, see clean."""
     gone = found.filter("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("removed").alias("__gone"))
     kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

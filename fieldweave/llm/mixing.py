@@ -97,15 +97,16 @@ def seeded(id_col: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, size, source_size, target, taken per row. source_col may be one source or an array of sources; weights go to sources by code point, repeating.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed_col: str | None = None) -> DataFrame:
+    """id, size, source_size, target, taken per row. source_col may be one source or an array of sources; weights go to sources by code point, repeating. The seeded order goes by
+    seed_col, which is the id unless another is named.
 
     A pattern's flow takes every document floor(flow / words) times; the rest is one more copy of the documents first in the seeded order, the last
     of which gives just the words that are missing. The order's prefix sums run in two levels: sums by hash bucket find the bucket in which a
     pattern's rest runs out, and only rows of that bucket are summed one by one, so no source is ever one task."""
     many = docs.schema[source_col].dataType.typeName() == "array"
     pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col))
-    rows = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), pattern.alias("pattern"), seeded(F.col(id_col), seed).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), pattern.alias("pattern"), seeded(F.col(seed_col or id_col), seed).alias("h"))
     rows = cut(rows.withColumn("bucket", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
     by = cut(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")))
     found = sorted(((tuple(r[0]) if r[0] is not None else (None,), int(r[1])) for r in by.groupBy("pattern").agg(F.sum("words")).collect()), key=lambda x: [(s is None, (s or "").encode("utf-32-be")) for s in x[0]])

@@ -1,10 +1,10 @@
 """Sharding over fixed virtual slots.
 
-Records hash by id into a fixed number of virtual slots; bytes are summed per slot; a versioned slot-to-shard map is laid by those sums and
-edited, never rebuilt, when shards are added or have grown uneven. Only the slot sums (a bounded number) reach the driver.
+Records hash by id and content into a fixed number of virtual slots, so that null or repeated ids do not gather in one; bytes are summed per slot; a versioned slot-to-shard map is
+laid by those sums, stored as a table, and edited, never rebuilt, when shards are added or have grown uneven. Only the slot sums (a bounded number) reach the driver.
 
-Cases: null text has no bytes, a null id hashes like any value (its hash is Spark's seed), repeated rows are rows of their own with places of
-their own, an empty table gives an empty result. Extra columns are not read."""
+Cases: null text has no bytes, a null id hashes by its text alone, rows of the same id and text share a slot and have places of their own, an empty table gives an empty result.
+Extra columns are not read."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ import heapq
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import cut
+
 N_SLOTS = 4096
 #: Bytes that a record costs besides its text.
 OVERHEAD = 8
@@ -39,14 +41,29 @@ class SlotMap:
         return SlotMap(x["version"], x["n_shards"], tuple(x["shards"]))
 
 
-def slot_of(id_col: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(n_slots)).cast("int")
+def slot_of(id_col: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
+    """By the first 60 bits of an md5 of id and content, which any language can compute."""
+    name = F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("")), F.crc32(F.coalesce(text, F.lit(""))))
+    return F.pmod(F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"), F.lit(n_slots)).cast("int")
+
+
+def store(spark: SparkSession, slots: SlotMap) -> DataFrame:
+    """(map_version, virtual_slot, shard), written to the shared folder."""
+    return cut(spark.createDataFrame([(slots.version, i, s) for i, s in enumerate(slots.shards)], "map_version int, virtual_slot int, shard int"))
+
+
+def load(table: DataFrame, n_shards: int | None = None) -> SlotMap:
+    """The map of a stored table, its latest version; shards that hold no slot are counted by n_shards."""
+    rows = table.collect()
+    version = max(r[0] for r in rows)
+    shards = [s for _, s in sorted((r[1], r[2]) for r in rows if r[0] == version)]
+    return SlotMap(version, n_shards or max(shards) + 1, tuple(shards))
 
 
 def slot_bytes(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot that has any: n_slots rows at most."""
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + OVERHEAD
-    return {r[0]: (r[1], r[2]) for r in docs.groupBy(slot_of(F.col(id_col), n_slots).alias("s")).agg(F.sum(size), F.count(F.lit(1))).collect()}
+    return {r[0]: (r[1], r[2]) for r in docs.groupBy(slot_of(F.col(id_col), F.col(text_col), n_slots).alias("s")).agg(F.sum(size), F.count(F.lit(1))).collect()}
 
 
 def first_map(sums: dict[int, int], n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
@@ -99,13 +116,14 @@ def assign(docs: DataFrame, slots: SlotMap, counts: dict[int, int], id_col: str
         start[shard] += counts.get(s, 0)
     table = docs.sparkSession.createDataFrame([(s, slots.shards[s], offsets[s]) for s in range(len(offsets))], "virtual_slot int, shard int, ahead long")
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), slot_of(F.col(id_col), len(offsets)).alias("virtual_slot"))
+    rows = docs.select(F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), slot_of(F.col(id_col), text, len(offsets)).alias("virtual_slot"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col(id_col), "text_crc32", "size")).cast("long") - 1
     placed = rows.withColumn("place", place).join(F.broadcast(table), "virtual_slot")
     return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("place")).alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"))
 
 
 def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lay the first map over the table's slot sums and assign every row by it."""
+    """Lay the first map over the table's slot sums, store it, and assign every row by what is stored."""
     sums = slot_bytes(docs, n_slots, id_col, text_col)
-    return assign(docs, first_map({s: b for s, (b, _) in sums.items()}, n_shards, n_slots), {s: n for s, (_, n) in sums.items()}, id_col, text_col)
+    stored = store(docs.sparkSession, first_map({s: b for s, (b, _) in sums.items()}, n_shards, n_slots))
+    return assign(docs, load(stored, n_shards), {s: n for s, (_, n) in sums.items()}, id_col, text_col)
