@@ -1,6 +1,9 @@
 """From raw documents to shards: language ID, near-duplicate removal, benchmark decontamination, source mixing, sharding.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents."""
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents.
+
+Cases, in all stages: rows count, not ids, so rows with null or repeated ids are judged by their own text; equal rows are treated alike, but that one of them stays in near_duplicates;
+null texts go in language; an empty table gives an empty one; further columns pass through under their names (those that start with two underscores are the stages' own)."""
 
 from __future__ import annotations
 
@@ -35,7 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the part that a quota cuts off counts as a whole from one half on."""
     ship(spark)
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = mixing.mix(rows, id_col="__row").select(F.col("__row").alias("__at"), "size", "taken")
+    seed = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))  # id and content, so that the mix does not depend on the partitions
+    taken = mixing.mix(rows.withColumn("__seed", seed), id_col="__row", seed_col="__seed").select(F.col("__row").alias("__at"), "size", "taken")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     return rows.join(taken.select("__at", copies.alias("__n")).filter("__n > 0"), F.col("__row") == F.col("__at")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
