@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bounds import Bitmaps, bitmap, fits
 from .common import components, cut, maybe_broadcast, tidy, uncut
@@ -24,7 +25,9 @@ from .common import components, cut, maybe_broadcast, tidy, uncut
 #: Classes, and elements of their sets, that a task takes at once of one bucket or cluster.
 BLOCK, WEIGHT = 4096, 4_000_000
 #: Bytes of rows that a task gathers before it works on the buckets that are complete.
-CHUNK = 24 << 20
+CHUNK = 8 << 20
+#: Rows of a key from which a task names it as one that may be hot.
+OFTEN = 8
 #: Bits of the bitmaps of step 2 at most; they are made in the task.
 WIDEST = 1 << 16
 
@@ -188,12 +191,40 @@ def within(rows: DataFrame, hot: DataFrame, kernel: Kernel) -> DataFrame:
     return both
 
 
-def distinct_buckets(met: DataFrame, percent: int) -> DataFrame:
-    """(key, cid) of buckets (key, cid, n) of bounded size: members that fit no other's size go, and of buckets with the same members the least key stays."""
+def hot_keys(buckets: DataFrame, more_than: int) -> DataFrame:
+    """(key, n) of keys that so many classes share. Tasks count their own keys exactly and pass on those that they meet OFTEN times or more, so a key that is missed here has fewer than
+    OFTEN rows a task; it is met in one task then, which gives the same links."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= OFTEN]), pa.array(n[n >= OFTEN])], names=["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size >= 1_000_000:
+                yield flush()
+                held, size = [], 0
+        yield flush()
+
+    return cut(buckets.select("key").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > more_than))
+
+
+def bucket_sets(buckets: DataFrame) -> DataFrame:
+    """(key, x), materialised: the members (n, cid) by size of each key of two or more. Rows are shuffled once, and single ones go before they are gathered."""
+    shared = buckets.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("times > 1")
+    return cut(shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "cid"))).alias("x")))
+
+
+def distinct_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cid) of bucket_sets: members that fit no other's size go, and of buckets with the same members the least key stays."""
     x = F.col("x")
     fitting = F.filter(x, lambda c, i: (F.get(x, i - 1)["n"] * 100 >= c["n"] * percent).eqNullSafe(True) | (c["n"] * 100 >= F.get(x, i + 1)["n"] * percent).eqNullSafe(True))
-    sets = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "cid"))).alias("x")).select("key", fitting["cid"].alias("cids"))
-    return sets.filter(F.size("cids") > 1).groupBy("cids").agg(F.min("key").alias("key")).select("key", F.explode("cids").alias("cid"))
+    fits_some = sets.select("key", fitting["cid"].alias("cids")).filter(F.size("cids") > 1)
+    return fits_some.groupBy("cids").agg(F.min("key").alias("key")).select("key", F.explode("cids").alias("cid"))
 
 
 def link(
@@ -202,15 +233,18 @@ def link(
     """(node, root) of the linked classes, materialised. buckets: (key, cid, n), all long; n is the size of the set, or the same for all where it is not known yet. marks: from the classes that share a bucket (cid) to (cid, n, bits), the size of the set and its
     bitmap as bytes. content: from (cid, key, n) of classes in clusters to (key, cid, ...), which prepare turns into sorted sets of hashes."""
     block, weight = block or BLOCK, weight or WEIGHT
-    shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    hot = cut(shared.filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("spread")))
-    met = distinct_buckets(buckets.join(maybe_broadcast(shared.filter(F.col("n") <= block).select("key")), "key"), percent)
-    met = cut(met.union(buckets.join(maybe_broadcast(hot.select("key")), "key").select("key", "cid")))
+    often = hot_keys(buckets, block)
+    few = maybe_broadcast(often.select("key"))
+    sets = bucket_sets(buckets.join(few, "key", "left_anti"))
+    large = sets.filter(F.size("x") > block)
+    hot = cut(often.union(large.select("key", F.size("x").cast("long"))).select("key", F.ceil(F.col("n") / block).alias("spread")))
+    met = distinct_buckets(sets.filter(F.size("x") <= block), percent).union(large.select("key", F.explode("x.cid")))
+    met = cut(met.union(buckets.join(few, "key", "left_semi").select("key", "cid")))
     tidy(buckets.sparkSession)
     sizes = marks(met.select("cid").distinct())
     first = within(met.join(sizes, "cid").select("key", "cid", "n", "bits"), hot, bitmap_kernel(percent))
     clusters = cut(components(first).join(sizes.select("cid", "n"), F.col("node") == F.col("cid")).select("cid", F.col("root").alias("key"), "n"))
-    uncut(shared, met, hot, first)
+    uncut(often, sets, met, hot, first)
     tidy(buckets.sparkSession)
     large = clusters.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / weight)).alias("spread")).filter("spread > 1")
     large = cut(large)

@@ -53,7 +53,7 @@ def common_grams(base: DataFrame, n: int) -> np.ndarray:
             for x in gram_sets(texts, n):
                 held.append(x)
                 size += len(x)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 total = size
                 yield flush()
                 held, size = [], 0

@@ -98,5 +98,5 @@ def test_small_blocks(spark):
 
 def test_buckets_of_the_same_members_meet_once(spark):
     rows = [(1, 10, 100), (1, 11, 101), (2, 10, 100), (2, 11, 101), (3, 10, 100), (3, 12, 300), (4, 10, 100), (4, 11, 101), (4, 12, 300), (5, 13, 5)]
-    got = sorted(map(tuple, linkage.distinct_buckets(spark.createDataFrame(rows, "key long, cid long, n long"), 80).collect()))
+    got = sorted(map(tuple, linkage.distinct_buckets(linkage.bucket_sets(spark.createDataFrame(rows, "key long, cid long, n long")), 80).collect()))
     assert got == [(1, 10), (1, 11)]
