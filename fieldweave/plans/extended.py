@@ -132,10 +132,10 @@ def edges_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.intersect(edges.filter("corr > 0"), both.filter("(src + dst) % 2 = 0")).select("src", "dst")
 
 
-@query(BASE + "SELECT src::INT src, dst::INT dst FROM g WHERE src % 10 = 3")
+@query(BASE + f", nn AS (SELECT arg_min(p.node, row(round({hav('q', 'p')}, 12), p.node)) node FROM (SELECT 14.0 lon, -5.0 lat) q, pts p) SELECT src::INT src, dst::INT dst FROM g WHERE src = (SELECT node FROM nn)")
 def edges_for_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = network(spark, sf_dir, directed=True)
-    return G.out_edges(edges, nodes.filter("node % 10 = 3")).select("src", "dst")
+    return G.out_edges(edges, grid.nearest(nodes, spark.range(1).select(F.col("id").alias("q"), F.lit(14.0).alias("qlon"), F.lit(-5.0).alias("qlat")))).select("src", "dst")
 
 
 @query()

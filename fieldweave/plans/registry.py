@@ -485,7 +485,7 @@ def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import extended  # noqa: F401 - registers the rest, which builds on this module
+    from . import extended, places  # noqa: F401 - register the rest, which builds on this module
 
     return dict(_Q)
 
