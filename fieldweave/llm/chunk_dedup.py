@@ -2,10 +2,14 @@
 
 The words of a text, joined by single blanks, are cut where a gear hash of the last 32 bytes, read at word ends, has its top two bits clear (four words a chunk on average),
 so a cut depends on the words before it alone and an insertion moves only the cuts near it. Chunks are compared by digest, each together with its successor: such a
-pair has eight words on average, and only pairs that occur more than once, in one document or in several, count. Runs of them that cover at least MIN_WORDS words are repeats. The document
-with the smallest id keeps the first place of each pair; all others are removed. The first place of a chunk is the first of its pairs too, so no chunk goes altogether.
+pair has eight words on average, and only pairs that occur more than once, in one document or in several, count. Runs of them that cover at least `least` words are repeats.
 
-Why pairs: chunks of a few words recur by chance. Why 20 words: a repeated passage of 51 words loses at most the hash window and a part of a chunk at either end.
+A repeated passage loses the hash window and a part of a chunk at either end, so the chunks of one of 51 words cover 38 on average. Runs of NEAR to least - 1 words are therefore
+looked at word by word: every window of `least` words around the pairs that such runs hold is hashed, here and wherever the same pairs stand, and a run counts if it holds a window that
+occurs more than once. The limit is 48: a passage of over 50 words, less a word at either end that the text around it may have been glued to. Shorter repeats are left alone.
+
+The document with the smallest id keeps the first place of each pair; the others go. The first place of a chunk is the first of its pairs too, so no chunk goes altogether.
+Why pairs: chunks of a few words recur by chance.
 
 Cases: null and wordless texts have no chunk; repeated rows of one id are one document; null ids take no part and are returned with nothing removed; a chunk has MAX_WORDS words at most;
 a text of one chunk is compared by that; an empty table gives an empty result. Only id and text are read."""
@@ -23,11 +27,12 @@ from pyspark.sql.window import Window
 from .common import cut, maybe_broadcast, slices
 from .words import word_hashes
 
-MIN_WORDS, MAX_WORDS, PAD = 20, 32, 32
+MIN_WORDS, NEAR, MAX_WORDS, PAD = 48, 16, 32, 32
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 32, 256, np.uint32)
 GEAR[0] = 0  # the pad between texts leaves nothing in the hash
 _B = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MAX_WORDS, _B))), dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -97,26 +102,77 @@ def chunk_table(base: DataFrame) -> DataFrame:
     return base.mapInArrow(scan, "id long, n_words long, d array<long>, s array<int>, e array<int>, again array<boolean>")
 
 
-def _runs(hits: DataFrame, min_words: int) -> DataFrame:
-    """Runs of overlapping or touching spans per id, of min_words words at least."""
+def window_hashes(ids: np.ndarray, base: int, n: int, s: np.ndarray, e: np.ndarray, width: int, sums: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of `width` words that hold one of the spans (s, e) of the text of n words at `base` of the slice."""
+    lo, hi = np.maximum(e - width, 0), np.minimum(s, n - width)
+    ok = hi >= lo
+    if not ok.any():
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    mark = np.zeros(n - width + 2, np.int64)
+    np.add.at(mark, lo[ok], 1)
+    np.add.at(mark, hi[ok] + 1, -1)
+    at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    h = (sums[base + at + width] - sums[base + at]) * back[base + at]
+    h = (h ^ (h >> np.uint64(32))) * _B
+    return at.astype(np.int32), (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def window_table(base: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    """(id, d, s, again) of the windows of `width` words around the spans of near (id, s, e: arrays); again: whether the row had the window before."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", 1 << 19):
+            ids, counts = word_hashes(texts, None)
+            scale = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(ids), x))), dtype=np.uint64)
+            sums, back = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * scale(_B)[:-1], dtype=np.uint64))), scale(_INVERSE)
+            owner, at, h, again, begin = [], [], [], [], 0
+            for i, n in enumerate(counts.tolist()):
+                s, e = (np.array(batch.column(k)[i].as_py(), np.int64) for k in (2, 3))
+                starts, found = window_hashes(ids, begin, n, s, e, width, sums, back)
+                owner.append(np.full(len(starts), i))
+                at.append(starts)
+                h.append(found)
+                again.append(repeated(found))
+                begin += n
+            cols = [batch.column(0).take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(x)) for x in (h, at, again))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "d", "s", "again"])
+
+    return base.join(near, "id").select("id", "text", "s", "e").mapInArrow(scan, "id long, d long, s int, again boolean")
+
+
+def _often(places: DataFrame) -> DataFrame:
+    """(d, lo): digests of more than one place, with the smallest id; min and max combine before the shuffle, so a common digest is a row a task."""
+    found = places.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("again").alias("twice"))
+    return found.filter("lo < hi OR twice").select("d", "lo")
+
+
+def _numbered(spans: DataFrame) -> DataFrame:
+    """The spans with the first and the end word (rs, re) of their run: the overlapping or touching spans of an id."""
     w = Window.partitionBy("id").orderBy("s", "e")
     until = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = hits.withColumn("new", F.when(until.isNull() | (F.col("s") > until), 1).otherwise(0))
+    marked = spans.withColumn("new", F.when(until.isNull() | (F.col("s") > until), 1).otherwise(0))
     run = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).filter(F.col("e") - F.col("s") >= min_words)
+    own = Window.partitionBy("id", "run")
+    return run.withColumns({"rs": F.min("s").over(own), "re": F.max("e").over(own)}).drop("new", "run")
 
 
-def chunk_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_dedup(docs: DataFrame, least: int = MIN_WORDS, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, repeat_words (words in repeats, kept or not), removed_words, spans (removed word spans, flat) per distinct id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = chunk_table(base)
     rows = table.filter("id IS NOT NULL").select("id", F.explode(F.arrays_zip("d", "s", "e", "again")).alias("x")).select("id", "x.d", "x.s", "x.e", "x.again")
-    # Digests of more than one place; min and max combine before the shuffle, so a common chunk is a row a task.
-    often = cut(rows.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("again").alias("twice")).filter("lo < hi OR twice").select("d", "lo"))
-    hits = cut(rows.join(maybe_broadcast(often), "d").select("id", "s", "e", ((F.col("id") == F.col("lo")) & ~F.col("again")).alias("first")))
-    repeats = _runs(hits, min_words).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("repeat_words"))
-    spans = _runs(hits.filter("NOT first"), min_words).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("removed_words"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
-    spans = spans.select("id", "removed_words", F.flatten(F.transform("x", lambda p: F.array(p["s"], p["e"]))).alias("spans"))
+    often = cut(_often(rows))
+    hits = rows.join(maybe_broadcast(often), "d").select("id", "d", "s", "e", ((F.col("id") == F.col("lo")) & ~F.col("again")).alias("first"))
+    hits = cut(_numbered(hits).filter(F.col("re") - F.col("rs") >= near))
+    short = hits.filter(F.col("re") - F.col("rs") < least).select("d").distinct()
+    around = hits.join(short, "d", "left_semi").filter(F.col("e") - F.col("s") <= least).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "x.s", "x.e")
+    windows = cut(window_table(base, around, least))
+    sure = windows.join(_often(windows), "d", "left_semi").select("id", "s", (F.col("s") + least).alias("e"), F.lit(None).cast("boolean").alias("first"))
+    held = cut(_numbered(hits.select("id", "s", "e", "first").union(sure)).filter(F.col("re") - F.col("rs") >= least))
+    repeats = held.select("id", "rs", "re").distinct().groupBy("id").agg(F.sum(F.col("re") - F.col("rs")).alias("repeat_words"))
+    gone = _numbered(held.filter("NOT first").select("id", "s", "e")).select("id", "rs", "re").distinct().filter(F.col("re") - F.col("rs") >= near)
+    spans = gone.groupBy("id").agg(F.sum(F.col("re") - F.col("rs")).alias("removed_words"), F.array_sort(F.collect_list(F.struct("rs", "re"))).alias("x"))
+    spans = spans.select("id", "removed_words", F.flatten(F.transform("x", lambda p: F.array(p["rs"], p["re"]))).alias("spans"))
     size = base.withColumn("n_words", F.size(F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "     "), " ", -1), lambda w: w != "")).cast("long")).groupBy("id").agg(F.max("n_words").alias("n_words"))
     out = size.join(repeats, "id", "left").join(spans, "id", "left")
     zero = F.lit(0).cast("long")

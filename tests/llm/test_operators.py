@@ -250,6 +250,25 @@ def test_repeated_passages(spark):
     assert clean[0] == texts[0] and len(clean[30].split()) == 17 + 55 + 60 - got[30]["removed_words"] and clean[80] is None
 
 
+def test_repeats_by_length(spark):
+    """As brute force over all windows of 48 words says: passages of 51 words are found, those of 44 left alone, wherever a longer repeat surrounds one of their copies too."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    free = lambda n: " ".join(word() for _ in range(n))
+    long, short, whole = [free(51) for _ in range(60)], [free(44) for _ in range(40)], free(150)
+    inside = " ".join(whole.split()[50:102])
+    texts = [f"{free(25)} {p} {free(30)}" for p in (*long, *short) for _ in range(2)] + [whole, f"{free(9)} {whole}", f"{free(30)} {inside} {free(12)}", f"{free(30)} {' '.join(inside.split()[:40])} {free(12)}"]
+    places = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 47):
+            places.setdefault(tuple(w[k : k + 48]), set()).add(i)
+    want = {i for owners in places.values() if len(owners) > 1 for i in owners}
+    got = {x["doc_id"]: x for x in chunk_dedup.chunk_dedup(docs(spark, texts)).collect()}
+    assert {i for i, x in got.items() if x["repeat_words"]} == want
+    assert all(got[2 * i]["repeat_words"] >= 48 and got[2 * i + 1]["removed_words"] >= 16 for i in range(60))
+
+
 def test_empty_tables(spark, tmp_path):
     empty = docs(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
