@@ -59,7 +59,7 @@ def transitivity(edges: DataFrame) -> DataFrame:
     """Three times the triangles over the connected triples of the undirected graph."""
     deg = undirected(edges).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     triples = deg.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("w"))
-    return _triangles(edges).agg(F.count(F.lit(1)).alias("t")).join(F.broadcast(triples)).select(F.round(F.coalesce(F.try_divide(3 * F.col("t"), F.col("w")), F.lit(0.0)), 9).alias("transitivity"))
+    return _triangles(undirected(edges).withColumn("w", F.lit(1))).agg(F.count(F.lit(1)).alias("t")).join(F.broadcast(triples)).select(F.round(F.coalesce(F.try_divide(3 * F.col("t"), F.col("w")), F.lit(0.0)), 9).alias("transitivity"))
 
 
 def info(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from .field import average_ranks, standardise
 
 
+#: Nodes a block of pearson_blocked holds at most, about.
+BLOCK_NODES = 2000
+
+
 def pearson(field: DataFrame) -> DataFrame:
     """(i, j, r), i < j, relationally: z-scores joined on time."""
     z = standardise(field)
@@ -24,9 +28,11 @@ def spearman(field: DataFrame) -> DataFrame:
     return pearson(average_ranks(field))
 
 
-def pearson_blocked(field: DataFrame, blocks: int = 8, least: float = 0.0) -> DataFrame:
+def pearson_blocked(field: DataFrame, blocks: int | None = None, least: float = 0.0) -> DataFrame:
     """(i, j, r) of pairs with |r| >= least, by block products: nodes are dealt into blocks, each pair of blocks is one matrix product in one task, and what is below the
-    limit never leaves it. A task holds two blocks' series; blocks grow in number, not in size, with the nodes."""
+    limit never leaves it. A task holds two blocks' series; unless given, blocks grow in number, not in size, with the nodes."""
+    if blocks is None:
+        blocks = max(8, -(-field.select("node").distinct().count() // BLOCK_NODES))
     z = standardise(field).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
     to = F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), k -> struct(least(block, k) AS p, greatest(block, k) AS q))"))
     dealt = z.select("node", "t", "z", "block", to.alias("x")).select("node", "t", "z", "block", "x.p", "x.q")
@@ -46,12 +52,15 @@ def pearson_blocked(field: DataFrame, blocks: int = 8, least: float = 0.0) -> Da
 
 
 def density_edges(pairs: DataFrame, n: int, density: float) -> DataFrame:
-    """(src, dst, corr, weight), both directions, of the pairs at or above the k-th largest |r| of the whole matrix, k = int(density n^2); its diagonal holds n ones. Ties stay."""
+    """(src, dst, corr, weight), both directions, of the pairs at or above the k-th largest |r| of the whole matrix, k = int(density n^2); its diagonal holds n ones. Ties stay.
+
+    Values are rounded to 6 places, so that they are counted: the running sum that finds the limit goes over 1,000,001 rows at most, whatever the number of pairs."""
     m = -(-(int(density * n * n) - n) // 2)
     a = pairs.withColumn("w", F.abs("r"))
     if m <= 0:
         return symmetric(a.filter("false"))
-    limit = a.select("w").orderBy(F.desc("w")).limit(m).agg(F.min("w").alias("limit"))
+    counts = a.groupBy("w").agg(F.count(F.lit(1)).alias("c")).withColumn("above", F.sum("c").over(Window.orderBy(F.desc("w"))))
+    limit = counts.agg(F.coalesce(F.max(F.when(F.col("above") >= m, F.col("w"))), F.min("w")).alias("limit"))
     return symmetric(a.join(F.broadcast(limit), F.col("w") >= F.col("limit")))
 
 

@@ -54,6 +54,7 @@ def test_density_ties_stay_and_zero_is_empty(spark):
     p = spark.createDataFrame([(0, 1, 0.9), (0, 2, -0.5), (1, 2, 0.5)], "i int, j int, r double")
     assert similarity.density_edges(p, 3, 0.8).count() == 6  # k = 7: four off-diagonal places, second pair ties with the third
     assert similarity.density_edges(p, 3, 0.0).count() == 0
+    assert similarity.density_edges(p, 3, 5.0).count() == 2 * p.count()  # more places than pairs
 
 
 def test_average_ranks(spark):
@@ -139,3 +140,19 @@ def test_lb_prune_keeps_bundles_of_many_links(spark, monkeypatch):
     monkeypatch.setattr(registry, "network", lambda spark, sf_dir: (nodes, edges_of(spark, [(0, i) for i in near] + [(1, i) for i in far])))
     got = {(r["src"], r["dst"]) for r in registry.queries()["lb_prune"](spark, "").collect()}
     assert {d for s, d in got if s == 0} >= set(near[:6]) | {100} and len({d for s, d in got if s == 1}) < len(far)
+
+
+def test_directed_clustering_and_triangles(spark):
+    """Against matrices: diag((A + A^T)^3) over 2 (d (d - 1) - 2 reciprocal), on a seeded directed graph."""
+    rng = np.random.RandomState(3)
+    a = (rng.rand(25, 25) < 0.2).astype(int)
+    np.fill_diagonal(a, 0)
+    n = spark.createDataFrame([(i,) for i in range(25)], "node int")
+    e = spark.createDataFrame([(int(i), int(j), 1.0, 1.0) for i, j in zip(*np.nonzero(a), strict=True)], "src int, dst int, corr double, weight double")
+    s = a + a.T
+    d, r = s.sum(1), (s == 2).sum(1)
+    c = np.diag(s @ s @ s) / np.maximum(2 * (d * (d - 1) - 2 * r), 1)
+    got = {x["node"]: x["clustering"] for x in G.clustering(n, e).collect()}
+    assert all(abs(got[i] - c[i]) < 1e-8 for i in range(25))
+    b = (s > 0).astype(int)
+    assert {x["node"]: x["triangles"] for x in G.triangles(n, e).collect()} == {i: int(v) // 2 for i, v in enumerate(np.diag(b @ b @ b))}
