@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, maybe_broadcast, slices
+from .common import cut, dealt_join, slices, uncut
 from .words import word_hashes
 
 MIN_WORDS, NEAR, MAX_WORDS, PAD = 48, 16, 32, 32
@@ -141,9 +141,9 @@ def window_table(base: DataFrame, near: DataFrame, width: int) -> DataFrame:
 
 
 def _often(places: DataFrame) -> DataFrame:
-    """(d, lo): digests of more than one place, with the smallest id; min and max combine before the shuffle, so a common digest is a row a task."""
-    found = places.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("again").alias("twice"))
-    return found.filter("lo < hi OR twice").select("d", "lo")
+    """(d, lo, n): digests of more than one place, with the smallest id and the number of places; all combine before the shuffle, so a common digest is a row a task."""
+    found = places.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("again").alias("twice"), F.count(F.lit(1)).alias("n"))
+    return found.filter("lo < hi OR twice").select("d", "lo", "n")
 
 
 def _numbered(spans: DataFrame) -> DataFrame:
@@ -159,21 +159,23 @@ def _numbered(spans: DataFrame) -> DataFrame:
 def chunk_dedup(docs: DataFrame, least: int = MIN_WORDS, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, repeat_words (words in repeats, kept or not), removed_words, spans (removed word spans, flat) per distinct id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = chunk_table(base)
+    table = cut(chunk_table(base))
     rows = table.filter("id IS NOT NULL").select("id", F.explode(F.arrays_zip("d", "s", "e", "again")).alias("x")).select("id", "x.d", "x.s", "x.e", "x.again")
     often = cut(_often(rows))
-    hits = rows.join(maybe_broadcast(often), "d").select("id", "d", "s", "e", ((F.col("id") == F.col("lo")) & ~F.col("again")).alias("first"))
+    hits = dealt_join(rows, often, "d", ["id", "s"]).select("id", "d", "s", "e", ((F.col("id") == F.col("lo")) & ~F.col("again")).alias("first"))
     hits = cut(_numbered(hits).filter(F.col("re") - F.col("rs") >= near))
-    short = hits.filter(F.col("re") - F.col("rs") < least).select("d").distinct()
-    around = hits.join(short, "d", "left_semi").filter(F.col("e") - F.col("s") <= least).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "x.s", "x.e")
+    short = cut(hits.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("re") - F.col("rs")).alias("run")).filter(F.col("run") < least).select("d", "n"))
+    around = dealt_join(hits, short, "d", ["id", "s"], "left_semi").filter(F.col("e") - F.col("s") <= least).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("id", "x.s", "x.e")
     windows = cut(window_table(base, around, least))
-    sure = windows.join(_often(windows), "d", "left_semi").select("id", "s", (F.col("s") + least).alias("e"), F.lit(None).cast("boolean").alias("first"))
+    again = cut(_often(windows))
+    sure = dealt_join(windows, again, "d", ["id", "s"], "left_semi").select("id", "s", (F.col("s") + least).alias("e"), F.lit(None).cast("boolean").alias("first"))
     held = cut(_numbered(hits.select("id", "s", "e", "first").union(sure)).filter(F.col("re") - F.col("rs") >= least))
     repeats = held.select("id", "rs", "re").distinct().groupBy("id").agg(F.sum(F.col("re") - F.col("rs")).alias("repeat_words"))
+    uncut(often, hits, short, windows, again)
     gone = _numbered(held.filter("NOT first").select("id", "s", "e")).select("id", "rs", "re").distinct().filter(F.col("re") - F.col("rs") >= near)
     spans = gone.groupBy("id").agg(F.sum(F.col("re") - F.col("rs")).alias("removed_words"), F.array_sort(F.collect_list(F.struct("rs", "re"))).alias("x"))
     spans = spans.select("id", "removed_words", F.flatten(F.transform("x", lambda p: F.array(p["rs"], p["re"]))).alias("spans"))
-    size = base.withColumn("n_words", F.size(F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "     "), " ", -1), lambda w: w != "")).cast("long")).groupBy("id").agg(F.max("n_words").alias("n_words"))
+    size = table.groupBy("id").agg(F.max("n_words").alias("n_words"))
     out = size.join(repeats, "id", "left").join(spans, "id", "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("repeat_words", zero).alias("repeat_words"), F.coalesce("removed_words", zero).alias("removed_words"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))

@@ -56,6 +56,22 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAS
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
+    """left joined with right, a materialised table (key, n, ...) of distinct keys where n counts the key's rows on the left.
+
+    A small right side is broadcast. Else a key of over 1/parts of the rows counted is hot: its left rows are dealt by a hash of `by` to as many parts as it has such
+    shares, and its right row is copied to each. Fewer than `parts` keys can be hot, so their table may be broadcast. n does not come out."""
+    rows, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop("n")), key, how)
+    share = total // parts + 1
+    hot = F.broadcast(right.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__parts")))
+    zero = F.lit(0).cast("long")
+    some = left.join(hot, key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), zero).otherwise(F.pmod(F.xxhash64(*by), F.col("__parts").cast("long")))).drop("__parts")
+    copies = right.drop("n").join(hot, key, "left").withColumn("__part", F.explode(F.sequence(zero, F.coalesce(F.col("__parts").cast("long") - 1, zero)))).drop("__parts")
+    return some.join(copies, [key, "__part"], how).drop("__part")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut Arrow batches by text bytes, so that what Python builds from a slice stays small; one long text is one slice."""
     for batch in batches:

@@ -8,7 +8,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-from fieldweave.llm import chunk_dedup, line_dedup, linkage, ngram_join, sharding
+from pyspark.sql import functions as F
+
+from fieldweave.llm import chunk_dedup, common, line_dedup, linkage, ngram_join, sharding
 
 from .test_operators import SF, docs, hard_texts, shingle_set, union_find
 
@@ -100,3 +102,17 @@ def test_buckets_of_the_same_members_meet_once(spark):
     rows = [(1, 10, 100), (1, 11, 101), (2, 10, 100), (2, 11, 101), (3, 10, 100), (3, 12, 300), (4, 10, 100), (4, 11, 101), (4, 12, 300), (5, 13, 5)]
     got = sorted(map(tuple, linkage.distinct_buckets(linkage.bucket_sets(spark.createDataFrame(rows, "key long, cid long, n long")), 80).collect()))
     assert got == [(1, 10), (1, 11)]
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """A join by a table too large for a broadcast deals the rows of a hot key to many parts and gives what a plain join gives."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 700).cast("long").alias("d"))
+    right = common.cut(left.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).filter("d % 2 = 0 OR d = -1"))
+    plain = sorted(map(tuple, left.join(right.drop("n"), "d").select("id", "d", "lo").collect()))
+    dealt = common.dealt_join(left, right, "d", ["id"], parts=40)
+    assert sorted(map(tuple, dealt.select("id", "d", "lo").collect())) == plain and dealt.columns == ["d", "id", "lo"]
+    semi = common.dealt_join(left, right, "d", ["id"], "left_semi", parts=40)
+    assert sorted(map(tuple, semi.select("id", "d").collect())) == [x[:2] for x in plain]
+    empty = common.cut(right.filter("false"))
+    assert common.dealt_join(left, empty, "d", ["id"]).count() == 0
