@@ -46,6 +46,16 @@ def test_mtcov_finds_cliques(spark, pair):
     assert all(sum(r["x"]) == pytest.approx(1) for r in fit.u.collect())
 
 
+def test_mtcov_restarts_and_starts(spark, pair):
+    """The best of the seeds is kept; a fit begun from the planted groups stays with them."""
+    e = pair[1].select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a"))
+    each = [inference.mtcov(e, 2, rounds=2, seed=k).loglik for k in (3, 4)]
+    assert inference.mtcov_best(e, 2, runs=2, seed=3, rounds=2).loglik == pytest.approx(max(each))
+    planted = pair[0].select("node", F.when(F.col("node") < 5, F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(0.9))).alias("x"))
+    fit = inference.mtcov(e, 2, rounds=3, start=(planted, planted.filter("node <> 7")), steady=2)
+    assert parts(inference.hard_groups(fit.u)) == TWO and fit.rounds >= 3
+
+
 def test_mtcov_covariates_decide(spark, pair):
     """With gamma 1 only the covariate counts: u follows h."""
     e = pair[1].select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a"))
