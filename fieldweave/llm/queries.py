@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat_format, chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sharding
+from . import chat_format, chunk_dedup, decontaminate, exact_dedup, filter_audit, language_id, lexical_search, line_dedup, mixing, ngram_join, paragraph_sketch, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "repeat_words", "removed_words", F.array_join(F.col("spans").cast("array<string>"), ",").alias("removed_spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_ngram_join, op2_exact_dedup, op3_chat_format, op4_decontaminate, op5_mix_sources, op6_language_id, op7_quality_classifier, op8_shard, op9_line_dedup, op10_substring_dedup)
+    own += (op11_filter_audit, op12_fingerprints, op13_lexical_search)
     return {f.__name__: f for f in own}
 
 
@@ -86,4 +99,5 @@ SELECT doc_id, size, z source_size, goal target, (times * size + greatest(0, lea
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.SQL, "op2_exact_dedup": SQL2, "op3_chat_format": chat_format.SQL, "op4_decontaminate": decontaminate.SQL, "op5_mix_sources": SQL5}
+    first = {"op1_ngram_join": ngram_join.SQL, "op2_exact_dedup": SQL2, "op3_chat_format": chat_format.SQL, "op4_decontaminate": decontaminate.SQL, "op5_mix_sources": SQL5}
+    return first | {"op11_filter_audit": filter_audit.SQL, "op13_lexical_search": lexical_search.SQL}
