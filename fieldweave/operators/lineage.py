@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_AT_EXIT: set[str] = set()
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder that spark.checkpoint.dir names and read it back: the plan starts anew, and lost executors lose nothing. A folder is made only where none is set."""
-    sc = df.sparkSession.sparkContext
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or, with a local master alone, one made for the purpose. What an application has put there goes when its Python ends."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/settled"
+    if path not in _AT_EXIT:
+        _AT_EXIT.add(path)
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone before
+                _delete(spark, path)
+
+        atexit.register(clear)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: the plan starts anew, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of settle() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.settled_at)

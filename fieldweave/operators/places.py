@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import _triangles, edges_quantile, lengths, out_edges, undirected
+from .graph import _triangles, degrees, edges_quantile, lengths, lookup, out_edges, undirected
 from .grid import cut, nearest
 
 
@@ -49,10 +49,13 @@ def count_map(nodes: DataFrame, counts: DataFrame, name: str = "n") -> DataFrame
     return nodes.select("node").join(counts.select("node", name), "node", "left").fillna(0, [name])
 
 
-def node_sums(edges: DataFrame, attr: str) -> DataFrame:
-    """(node, attr): sum of the attribute over the edges that touch a node, over their number."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), attr)
-    return ends.groupBy("node").agg(F.avg(attr).alias(attr))
+def node_sums(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, attr: str, normalise: bool = True) -> DataFrame:
+    """(node, attr) of all nodes that wanted edges (u, v) touch: the sum of the attribute of the wanted edges that end there (that of the edge, or else of its reverse), over the node's degree
+    in the whole network; 0 for nodes at which none ends."""
+    sums = lookup(edges, wanted.select("u", "v"), attr).groupBy(F.col("v").alias("node")).agg(F.sum(attr).alias("__sum"))
+    ends = wanted.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = ends.join(sums, "node", "left").join(degrees(nodes, edges).select("node", "degree"), "node", "left").withColumn("__sum", F.coalesce("__sum", F.lit(0.0)))
+    return found.select("node", (F.try_divide(F.col("__sum"), F.col("degree")) if normalise else F.col("__sum")).alias(attr))
 
 
 def transitivity(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .field import average_ranks, standardise
+from .lineage import settle
 
 
 #: Nodes a block of pearson_blocked holds at most, about.
@@ -18,44 +19,134 @@ BLOCK_NODES = 2000
 
 
 def pearson(field: DataFrame) -> DataFrame:
-    """(i, j, r), i < j, relationally: z-scores joined on time."""
-    z = standardise(field)
-    a, b = z.select("t", F.col("node").alias("i"), F.col("z").alias("zi")), z.select("t", F.col("node").alias("j"), F.col("z").alias("zj"))
-    return a.join(b, "t").filter("i < j").groupBy("i", "j").agg(F.round(F.sum(F.col("zi") * F.col("zj")) / F.count(F.lit(1)), 6).alias("r"))
+    """(i, j, r), i < j, of all pairs over the times that both series have."""
+    return pearson_blocked(field)
 
 
 def spearman(field: DataFrame) -> DataFrame:
-    return pearson(average_ranks(field))
+    return pearson_blocked(average_ranks(field))
+
+
+def series(field: DataFrame) -> DataFrame:
+    """(node, ts, zs): a row per node that varies, its times as longs and its z-scores, by time."""
+    kind = dict(field.dtypes)["t"]
+    t = F.unix_date("t") if kind == "date" else F.unix_micros(F.col("t").cast("timestamp")) if kind.startswith("timestamp") else F.col("t")
+    z = standardise(field).withColumn("t", t.cast("long"))
+    return z.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", "z"))).alias("s")).select("node", F.col("s.t").alias("ts"), F.col("s.z").alias("zs"))
+
+
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """Series as rows over the union of their times, and which values are there if some are not."""
+    ts = pdf["ts"].to_list()
+    if all(len(t) == len(ts[0]) and (t == ts[0]).all() for t in ts[1:]):
+        return np.stack(pdf["zs"].to_list()), None
+    times = np.unique(np.concatenate(ts))
+    x, there = np.zeros((len(ts), len(times))), np.zeros((len(ts), len(times)))
+    for k, (t, z) in enumerate(zip(ts, pdf["zs"], strict=True)):
+        at = np.searchsorted(times, t)
+        x[k, at], there[k, at] = z, 1.0
+    return x, there
+
+
+def _product(key: tuple, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of two blocks, their correlations, and which of these belong to the pair of blocks."""
+    of, ids = pdf["block"].to_numpy(), pdf["node"].to_numpy()
+    x, there = _matrix(pdf)
+    p, q = np.flatnonzero(of == key[0]), np.flatnonzero(of == key[1])
+    n = x.shape[1] if there is None else there[p] @ there[q].T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.round(x[p] @ x[q].T / n, 6)
+    own = (ids[p][:, None] < ids[q][None, :] if key[0] == key[1] else ids[p][:, None] != ids[q][None, :]) & ~np.isnan(r)
+    return ids[p], ids[q], r, own
+
+
+def _dealt(rows: DataFrame, blocks: int | None) -> DataFrame:
+    if blocks is None:
+        blocks = max(8, -(-rows.count() // BLOCK_NODES))
+    z = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    to = F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), k -> struct(least(block, k) AS p, greatest(block, k) AS q))"))
+    return z.select("node", "ts", "zs", "block", to.alias("x")).select("node", "ts", "zs", "block", "x.p", "x.q").groupBy("p", "q")
+
+
+def pairs_over(rows: DataFrame, least: float = 0.0, blocks: int | None = None) -> DataFrame:
+    """(i, j, r) of the pairs of series() with |r| >= least, by block products: nodes are dealt into blocks, each pair of blocks is one matrix product in one task, and what is below
+    the limit never leaves it. A task holds two blocks' series; unless given, blocks grow in number, not in size, with the nodes."""
+
+    def some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q, r, own = _product(key, pdf)
+        a, b = np.nonzero(own & (np.abs(r) >= least))
+        return pd.DataFrame({"i": np.minimum(p[a], q[b]), "j": np.maximum(p[a], q[b]), "r": r[a, b]})
+
+    return _dealt(rows, blocks).applyInPandas(some, "i int, j int, r double")
 
 
 def pearson_blocked(field: DataFrame, blocks: int | None = None, least: float = 0.0) -> DataFrame:
-    """(i, j, r) of pairs with |r| >= least, by block products: nodes are dealt into blocks, each pair of blocks is one matrix product in one task, and what is below the
-    limit never leaves it. A task holds two blocks' series; unless given, blocks grow in number, not in size, with the nodes."""
-    if blocks is None:
-        blocks = max(8, -(-field.select("node").distinct().count() // BLOCK_NODES))
-    z = standardise(field).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    to = F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), k -> struct(least(block, k) AS p, greatest(block, k) AS q))"))
-    dealt = z.select("node", "t", "z", "block", to.alias("x")).select("node", "t", "z", "block", "x.p", "x.q")
+    return pairs_over(series(field), least, blocks)
+
+
+def strength_counts(rows: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(w, c): how many pairs of series() have each rounded |r|. Values of 6 places are 1,000,001 at most, and tasks put out counts, not pairs."""
+
+    def counted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, r, own = _product(key, pdf)
+        w, c = np.unique(np.abs(r[own]), return_counts=True)
+        return pd.DataFrame({"w": w, "c": c.astype(np.int64)})
+
+    return _dealt(rows, blocks).applyInPandas(counted, "w double, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
 
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="node", columns="t", values="z").fillna(0.0)
-        of = pdf.groupby("node")["block"].first().reindex(m.index).to_numpy()
-        ids, x = m.index.to_numpy(), m.to_numpy()
-        p, q = np.flatnonzero(of == key[0]), np.flatnonzero(of == key[1])
-        r = np.round(x[p] @ x[q].T / x.shape[1], 6)
-        a, b = np.nonzero(np.abs(r) >= least)
-        i, j = ids[p[a]], ids[q[b]]
-        keep = (i < j) if key[0] == key[1] else (i != j)
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "r": r[a, b][keep]})
+def off_diagonal(n: int, density: float) -> int:
+    """Pairs that a density of a matrix of n nodes asks for, its diagonal of ones being part of it."""
+    return -(-(int(density * n * n) - n) // 2)
 
-    return dealt.groupBy("p", "q").applyInPandas(product, "i int, j int, r double")
+
+def density_limit(w: np.ndarray, c: np.ndarray, pairs: int) -> float:
+    """The strength of the pairs-th strongest pair (all strengths, falling, with their counts); over 1 if none is asked for. Ties stay."""
+    if pairs <= 0 or not len(w):
+        return 2.0
+    return float(w[min(int(np.searchsorted(np.cumsum(c), pairs)), len(w) - 1)])
+
+
+def holm_limit(w: np.ndarray, c: np.ndarray, steps: int, alpha: float, tests: int, first: int = 1, each: int = 1, sidak: bool = False) -> float:
+    """The least strength that a step-down over `tests` p-values keeps; over 1 if none. A strength of c pairs takes each * c ranks, after the ranks before `first` and those of all stronger ones; its p
+    is compared at the first of its ranks, where the limit is tightest, so ties stand or fall together."""
+    ahead = first - 1 + each * np.concatenate(([0], np.cumsum(c)[:-1])) if len(w) else np.zeros(0)
+    left = np.maximum(tests - ahead, 1)
+    fails = np.flatnonzero(p_values(w, steps) > (1 - (1 - alpha) ** (1 / left) if sidak else alpha / left))
+    kept = fails[0] if len(fails) else len(w)
+    return float(w[kept - 1]) if kept else 2.0
+
+
+def correlation_network(field: DataFrame, n: int, method: str = "pearson", threshold: float | None = None, density: float | None = None, significance: str | None = None, confidence: float = 0.95) -> DataFrame:
+    """(src, dst, corr, weight), both directions, of the pairs that pass all masks asked for: |r| at or over a threshold or over the limit that a density of the n-node matrix gives, and a
+    Student test, plain ("standard") or stepped down over all n^2 places of the matrix after Holm ("bonf") or Sidak ("dunn"), in which the diagonal's n zeros rank first and a pair takes two places.
+
+    All masks are limits of |r|, so they are found from the counts of rounded |r| and applied as one. Series are written once; one block product counts, if a mask needs counts, and one gives the edges."""
+    if threshold is not None and density is not None:
+        raise ValueError("threshold and density cannot both be given")
+    if density is not None and not 0 <= density <= 1:
+        raise ValueError(f"density must be between 0 and 1, not {density}")
+    if method not in ("pearson", "spearman") or significance not in (None, "standard", "bonf", "dunn"):
+        raise ValueError(f"no such method or test: {method}, {significance}")
+    rows, alpha = settle(series(average_ranks(field) if method == "spearman" else field)), 1 - confidence
+    limits, steps = [threshold or 0.0], field.select("t").distinct().count()
+    if significance == "standard":
+        limits.append(r_critical(steps, alpha))
+    if density is not None or significance in ("bonf", "dunn"):
+        found = strength_counts(rows).orderBy(F.desc("w")).collect()  # at most 1,000,001 rows
+        w, c = np.array([r["w"] for r in found]), np.array([r["c"] for r in found], np.int64)
+        if density is not None:
+            limits.append(density_limit(w, c, off_diagonal(n, density)))
+        if significance in ("bonf", "dunn"):
+            limits.append(holm_limit(w, c, steps, alpha, n * n, n + 1, 2, significance == "dunn"))
+    return symmetric(pairs_over(rows, max(limits)).withColumn("w", F.abs("r")))
 
 
 def density_edges(pairs: DataFrame, n: int, density: float) -> DataFrame:
     """(src, dst, corr, weight), both directions, of the pairs at or above the k-th largest |r| of the whole matrix, k = int(density n^2); its diagonal holds n ones. Ties stay.
 
     Values are rounded to 6 places, so that they are counted: the running sum that finds the limit goes over 1,000,001 rows at most, whatever the number of pairs."""
-    m = -(-(int(density * n * n) - n) // 2)
+    m = off_diagonal(n, density)
     a = pairs.withColumn("w", F.abs("r"))
     if m <= 0:
         return symmetric(a.filter("false"))
@@ -73,36 +164,36 @@ def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.select(both.alias("e"), F.col("r").alias("corr"), F.col("w").alias("weight")).select("e.src", "e.dst", "corr", "weight")
 
 
-def _beta_cf(a: float, b: float, x: float) -> float:
+def _beta_cf(a: float, b: float, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+    tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1 / tiny(1 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 300):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
+            d = 1 / tiny(1 + num * d)
+            c = tiny(1 + num / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
             break
     return h
 
 
-def p_value(r: float, n: int) -> float:
-    """Two-sided Student test of a correlation of n points."""
-    from math import exp, lgamma, log
-
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    x = df / (df + r * r * df / (1 - r * r))
+def p_values(r: np.ndarray, n: int) -> np.ndarray:
+    """Two-sided Student tests of correlations of n points."""
+    r, df = np.abs(np.asarray(r, float)), n - 2
+    inner = np.clip(r, 0, 1 - 1e-16)
+    x = df / (df + inner * inner * df / (1 - inner * inner))
     a, b = df / 2, 0.5
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
+    with np.errstate(divide="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log(1 - x))
+    near = x < (a + 1) / (a + b + 2)
+    p = np.where(near, front * _beta_cf(a, b, np.where(near, x, 0.0)) / a, 1 - front * _beta_cf(b, a, np.where(near, 0.0, 1 - x)) / b)
+    return np.where(r >= 1, 0.0, np.where(x >= 1, 1.0, p))
+
+
+def p_value(r: float, n: int) -> float:
+    return float(p_values(np.array([r]), n)[0])
 
 
 def r_critical(n: int, alpha: float) -> float:
@@ -119,20 +210,11 @@ def significant(pairs: DataFrame, n: int, alpha: float) -> DataFrame:
 
 
 def holm(pairs: DataFrame, n: int, alpha: float, m: int, sidak: bool = False) -> DataFrame:
-    """Step-down: the k-th smallest p of m tests is kept while p <= alpha / (m - k + 1) (or the Sidak form), up to the first failure. Only pairs under alpha can pass, so
-    only they are ranked; each rank's limit is a critical |r|."""
-
-    def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = np.array([p_value(r, n) for r in b["r"]])
-            k = b["k"].to_numpy()
-            limit = 1 - (1 - alpha) ** (1 / (m - k + 1)) if sidak else alpha / (m - k + 1)
-            yield b.assign(ok=p <= limit)
-
-    near = significant(pairs, n, alpha).withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "i", "j")).cast("long"))
-    tested = near.mapInPandas(limits, "i int, j int, r double, k long, ok boolean")
-    first = tested.agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("k"))), F.lit(1 << 62)).alias("stop"))
-    return tested.join(F.broadcast(first), F.col("k") < F.col("stop")).select("i", "j", "r")
+    """Step-down: the k-th smallest p of m tests is kept while p <= alpha / (m - k + 1) (or the Sidak form), up to the first failure; found from the counts of the values of |r| under alpha."""
+    near = significant(pairs, n, alpha)
+    found = near.groupBy(F.round(F.abs("r"), 6).alias("w")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("w")).collect()
+    limit = holm_limit(np.array([x["w"] for x in found]), np.array([x["c"] for x in found], np.int64), n, alpha, m, sidak=sidak)
+    return near.filter(F.round(F.abs("r"), 6) >= limit)
 
 
 def lead_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
@@ -143,10 +225,14 @@ def lead_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     return x.join(z(b), "t").groupBy("lag").agg(F.sum(F.col("z1") * F.col("z")).alias("c")).join(F.broadcast(n), F.lit(True)).select("lag", (F.col("c") / F.col("n")).alias("c"))
 
 
-def local_correlation(pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(node, c): mean correlation of a node to its nearest nodes (a, b)."""
-    both = pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), "r").union(pairs.select(F.col("j"), F.col("i"), "r"))
-    return neighbours.select("a", "b").join(both, ["a", "b"]).groupBy("a").agg(F.avg("r").alias("c")).withColumnRenamed("a", "node")
+def local_correlation(field: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(node, c): mean correlation of a node to its neighbours (a, b). Only the pairs of neighbours are correlated; nodes without variance, and times that one of two series lacks, are left out."""
+    z = series(field).select("node", F.map_from_arrays("ts", "zs").alias("z"))
+    both = neighbours.select("a", "b").join(z.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    shared = F.array_intersect(F.map_keys("za"), F.map_keys("zb"))
+    total = F.aggregate(shared, F.lit(0.0), lambda x, t: x + F.element_at("za", t) * F.element_at("zb", t))
+    r = both.select("a", F.round(F.try_divide(total, F.size(shared)), 6).alias("r"))
+    return r.groupBy(F.col("a").alias("node")).agg(F.avg("r").alias("c"))
 
 
 def event_sync(ev: DataFrame, taumax: int) -> DataFrame:

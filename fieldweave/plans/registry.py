@@ -14,6 +14,7 @@ from ..operators import community as C
 from ..operators import field as T
 from ..operators import graph as G
 from ..operators import grid, similarity
+from ..operators.lineage import settle
 from ..session import ship
 from ..sources import tables as S
 
@@ -37,15 +38,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fibonacci(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count())
 
 
-def network(spark: SparkSession, sf_dir: str, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+def network(spark: SparkSession, sf_dir: str, directed: bool = False, density: float = DENSITY) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges; the edges are written once, so that plans that use them many times read them and multiply nothing again."""
     nodes = points(spark, sf_dir)
-    n = nodes.count()
-    edges = similarity.density_edges(similarity.pearson_blocked(S.field_daily(spark, sf_dir)), n, DENSITY)
+    edges = settle(similarity.correlation_network(S.field_daily(spark, sf_dir), nodes.count(), density=density))
     return nodes, edges.filter("src < dst OR (src + dst) % 3 = 0") if directed else edges
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(*network(ship(spark), sf_dir))
+    """Degrees at a density that gives the smallest table's 15 nodes edges too."""
+    return G.degrees(*network(ship(spark), sf_dir, density=0.3))
 
 
 BASE = """
@@ -222,12 +224,12 @@ def lead_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + f", d AS (SELECT a.node a, b.node b, row_number() OVER (PARTITION BY a.node ORDER BY round({hav('a', 'b')}, 12), b.node) k FROM pts a JOIN pts b ON a.node <> b.node) SELECT a::INT node, round(avg(r), 6) + 0.0 c FROM d JOIN pr ON i = least(a, b) AND j = greatest(a, b) WHERE k <= 9 GROUP BY a")
 def local_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(similarity.local_correlation(similarity.pearson(S.field_daily(spark, sf_dir)), grid.k_nearest(points(spark, sf_dir), 9)), "c")
+    return rounded(similarity.local_correlation(S.field_daily(spark, sf_dir), grid.k_nearest(points(spark, sf_dir), 9)), "c")
 
 
 @query(BASE + "SELECT i::INT src, j::INT dst FROM pr WHERE abs(r) >= 0.5 UNION ALL SELECT j, i FROM pr WHERE abs(r) >= 0.5")
 def adj_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.threshold_edges(similarity.pearson(S.field_daily(spark, sf_dir)), 0.5).select("src", "dst")
+    return similarity.threshold_edges(similarity.pearson_blocked(S.field_daily(spark, sf_dir), least=0.5), 0.5).select("src", "dst")
 
 
 @query(BASE + "SELECT src::INT src, dst::INT dst, corr + 0.0 corr FROM e")
@@ -235,14 +237,45 @@ def adj_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network(spark, sf_dir)[1].select("src", "dst", (F.col("corr") + 0.0).alias("corr"))
 
 
-@query()
+#: The two-sided p of a correlation in closed form: with an even number d of degrees of freedom, 1 - |r| (1 + 1/2 u + 1/2 3/4 u^2 + ...), u = 1 - r^2, d / 2 terms.
+def p_sql(points: int) -> str:
+    terms, c = [], 1.0
+    for j in range((points - 2) // 2):
+        c *= (2 * j - 1) / (2 * j) if j else 1.0
+        terms.append(f"{c!r} * pow(1 - r * r, {j})")
+    return f"1 - abs(r) * ({' + '.join(terms)})"
+
+
+@query(BASE + f"SELECT i::INT src, j::INT dst FROM pr WHERE {p_sql(30)} <= 0.01 UNION ALL SELECT j, i FROM pr WHERE {p_sql(30)} <= 0.01")
 def adj_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.significant(similarity.pearson(S.field_daily(spark, sf_dir)), 30, 0.01)
+    """Links of a Student test at 0.99; the test tables have 30 days."""
+    return similarity.correlation_network(S.field_daily(spark, sf_dir), 0, significance="standard", confidence=0.99).select("src", "dst")
 
 
-@query()
+SMOOTH = BASE + """,
+sf AS (SELECT node, t, CASE WHEN count(v) OVER w < 5 THEN 0 ELSE avg(v) OVER w END v FROM f WINDOW w AS (PARTITION BY node ORDER BY t ROWS 4 PRECEDING)),
+sz AS (SELECT node, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w z FROM sf WINDOW w AS (PARTITION BY node)),
+sp AS (SELECT a.node i, b.node j, round(sum(a.z * b.z) / count(*), 6) r FROM sz a JOIN sz b ON a.t = b.t AND a.node < b.node GROUP BY ALL),
+"""
+#: Ranks by counts: the diagonal takes the first n places of n^2, and a pair two.
+HOLM = SMOOTH + f"""cnt AS (SELECT abs(r) w, any_value({p_sql(30)}) p, count(*) c FROM sp GROUP BY abs(r)),
+rk AS (SELECT w, p, n * n - n - 2 * coalesce(sum(c) OVER (ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM cnt, size),
+stop AS (SELECT coalesce(max(w), 0) w FROM rk WHERE p > {{limit}}),
+sig AS (SELECT i, j, r FROM sp, stop WHERE abs(r) > stop.w) """
+
+
+@query(HOLM.format(limit="(1 - 0.95) / rest") + "SELECT i::INT src, j::INT dst FROM sig UNION ALL SELECT j, i FROM sig")
 def adj_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.holm(similarity.pearson(S.field_daily(spark, sf_dir)), 30, 0.05, points(spark, sf_dir).count() ** 2)
+    """Links of smoothed series that a step-down over the whole matrix keeps."""
+    field = T.rolling_mean(S.field_daily(spark, sf_dir), 5)
+    return similarity.correlation_network(field, points(spark, sf_dir).count(), significance="bonf", confidence=0.95).select("src", "dst")
+
+
+@query(HOLM.format(limit="(1 - pow(0.95, 1.0::DOUBLE / rest))") + ", sl AS (SELECT min(w) lim FROM (SELECT abs(r) w FROM sp ORDER BY w DESC LIMIT (SELECT greatest(0, -((-(floor(0.1 * n * n) - n)) // 2))::BIGINT FROM size))) SELECT i::INT src, j::INT dst FROM sig, sl WHERE abs(r) >= sl.lim UNION ALL SELECT j, i FROM sig, sl WHERE abs(r) >= sl.lim")
+def adj_dunn_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that pass both masks: the Sidak step-down and a density."""
+    field = T.rolling_mean(S.field_daily(spark, sf_dir), 5)
+    return similarity.correlation_network(field, points(spark, sf_dir).count(), density=0.1, significance="dunn", confidence=0.95).select("src", "dst")
 
 
 ES = """
@@ -485,7 +518,7 @@ def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import extended, places  # noqa: F401 - register the rest, which builds on this module
+    from . import artefacts, extended, places  # noqa: F401 - register the rest, which builds on this module
 
     return dict(_Q)
 

@@ -7,7 +7,6 @@ from fieldweave.plans import registry
 from .conftest import DATA
 from .oracle import compare
 
-SF = f"{DATA}/sf0.001"
 #: The smallest table in which the network has edges.
 LINKED = f"{DATA}/sf0.01"
 
@@ -19,10 +18,11 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+    assert registry.queries()[name](spark, LINKED).count() > 0
 
 
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 15
+    rows = __spark_entry__.entry(spark).collect()
+    assert len(rows) == 15 and max(r["degree"] for r in rows) > 0
