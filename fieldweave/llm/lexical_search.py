@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import cut, slices, uncut
 
 #: Bounds of the sample that the bisection is fitted on.
-SAMPLE, TERMS_EACH, FEATURES = 8192, 256, 4096
+SAMPLE, TERMS_EACH, FEATURES = 4096, 256, 4096
 #: Documents a cluster should have, and the most clusters.
 CLUSTER_ROWS, MOST_CLUSTERS = 2000, 1024
 #: Items that are searched for at once: what goes to every task is bounded by their terms and clusters.
@@ -49,7 +49,7 @@ def terms(raw: bytes | None) -> list[bytes]:
 class Tree:
     """Bisections in level order: node k has the children 2 k + 1 and 2 k + 2; a document goes right where its features' weights sum to more than the cut."""
 
-    features: list[bytes]
+    features: list[str]
     weight: np.ndarray
     cuts: np.ndarray
     depth: int
@@ -67,12 +67,9 @@ def _bits(d: np.ndarray, n: int) -> np.ndarray:
     return d * np.log2(n / (d + 1.0))
 
 
-def fit(sample: list[list[bytes]], depth: int, rounds: int = 12) -> Tree:
-    """The tree of a sample of documents, each a list of distinct terms."""
-    seen = Counter(t for doc in sample for t in doc)
-    some = sorted((t for t, c in seen.items() if 2 <= c <= max(2, len(sample) // 2)), key=lambda t: (-seen[t], t))[:FEATURES]
-    number = {t: k for k, t in enumerate(some)}
-    own = [np.array([number[t] for t in doc if t in number], np.int64) for doc in sample]
+def fit(own: list[np.ndarray], features: list[str], depth: int, rounds: int = 12) -> Tree:
+    """The tree of a sample of documents, each the numbers of the features that it has."""
+    some, sample = features, own
     tree = Tree(some, np.zeros(((1 << depth) - 1, max(1, len(some)))), np.zeros((1 << depth) - 1), depth)
     todo = [(0, np.arange(len(sample)))]
     while todo and some:
@@ -124,25 +121,24 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clust
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, "text"):
             some = [sorted(set(terms(t)), key=hash_of)[:TERMS_EACH] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.binary()))], ["terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], ["terms"])
 
     chosen = rows.withColumn("x", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(max(1, n)))).filter(F.col("x") < SAMPLE).select("text")
-    sample = [[bytes(t) for t in r[0]] for r in chosen.mapInArrow(sampled, "terms array<binary>").limit(2 * SAMPLE).toLocalIterator()]
-    held = spark.sparkContext.broadcast(fit(sample, depth))
+    held = spark.sparkContext.broadcast(_fitted(chosen.mapInArrow(sampled, "terms array<string>").limit(2 * SAMPLE), depth))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = held.value
-        features = pa.array(tree.features, pa.binary())
+        features = pa.array(tree.features, pa.string())
         for batch, texts in slices(batches, "text"):
             words = [terms(t) for t in texts]
             keep = np.flatnonzero([len(w) > 0 for w in words])
             bags = [Counter(words[k]) for k in keep]
-            flat = pa.array([t for b in bags for t in b], pa.binary())
+            flat = pa.array([t for b in bags for t in b], pa.binary()).cast(pa.string())
             ends = np.concatenate(([0], np.cumsum([len(b) for b in bags], dtype=np.int64))).astype(np.int32)
             tfs = pa.array([c for b in bags for c in b.values()], pa.int32())
             doc, feature = _known(flat, features, ends)
             ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(keep))
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (flat.cast(pa.string()), tfs)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (flat, tfs)]
             yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(doc, feature, len(bags)).astype(np.int32)), ids, pa.array([len(words[k]) for k in keep], pa.int64()), *lists], ["cluster", "id", "n", "terms", "tfs"])
 
     found = cut(rows.mapInArrow(tokenised, "cluster int, id long, n long, terms array<string>, tfs array<int>"))
@@ -154,6 +150,26 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clust
     return Index(table, total[0], total[1], 1 << depth)
 
 
+def _fitted(sample: DataFrame, depth: int) -> Tree:
+    """The tree of a sample (terms): its features are the terms of most documents that are not in more than half of them. The driver gets these, and numbers for the rest."""
+    sample = cut(sample)
+    n = sample.count()
+    counts = sample.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c").between(2, max(2, n // 2)))
+    features = [r["term"] for r in counts.orderBy(F.desc("c"), "term").limit(FEATURES).collect()]
+    among = pa.array(features, pa.string())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _lists(batch, "terms")
+            doc, number = _known(flat, among, ends)
+            to = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(to), pa.array(number.astype(np.int32)))], ["numbers"])
+
+    own = [np.array(x.values.to_numpy(), np.int64) for x in sample.mapInArrow(numbered, "numbers array<int>").toArrow().column("numbers").combine_chunks()]
+    uncut(sample)
+    return fit(own, features, depth)
+
+
 def hash_of(word: bytes) -> bytes:
     """An order of words that has nothing to do with the alphabet."""
     return hashlib.blake2b(word, digest_size=8).digest()
@@ -250,14 +266,14 @@ def _search(index: Index, batch: Batch, k: int, log: list | None) -> DataFrame:
     each = view.select("cluster", F.expr(f"50 + (50 * n * {docs}L) div {total}L").alias("m"), F.explode(F.arrays_zip("number", "tf")).alias("x"))
     part = F.expr("(1000000000L * x.tf) div (1000L * x.tf + 20 * m)")
     peaks = cut(each.groupBy("cluster", F.col("x.number").alias("number")).agg(F.count(F.lit(1)).alias("df"), F.max(part).alias("peak")))
-    for number, df in peaks.groupBy("number").agg(F.sum("df")).collect():  # one row a term of the items
+    dfs = peaks.groupBy("number").agg(F.sum("df").alias("df")).toArrow()  # one row a term of the items
+    for number, df in zip(*(dfs.column(c).to_pylist() for c in ("number", "df")), strict=True):
         batch.weight[number] = math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1)))
     owner = np.repeat(np.arange(len(batch.ids)), np.diff(batch.ends))
     pairs = spark.createDataFrame(pa.table({"item": owner.astype(np.int32), "number": batch.number.astype(np.int32), "weight": batch.weight[batch.number]}))
-    tops = peaks.join(F.broadcast(pairs), "number").groupBy("item", "cluster").agg(F.sum(F.col("weight") * F.col("peak")).alias("bound")).collect()  # items by clusters, both bounded
+    tops = peaks.join(F.broadcast(pairs), "number").groupBy("item", "cluster").agg(F.sum(F.col("weight") * F.col("peak")).alias("bound")).toArrow()  # items by clusters, both bounded
     bound = np.zeros((len(batch.ids), index.clusters), np.int64)
-    for item, cluster, b in tops:
-        bound[item, cluster] = b
+    bound[tops.column("item").to_numpy(), tops.column("cluster").to_numpy()] = tops.column("bound").to_numpy()
     order, at = np.argsort(-bound, axis=1, kind="stable"), np.zeros(len(batch.ids), np.int64)
     floor, best, step = np.ones(len(batch.ids), np.int64), None, 1
     items = np.arange(len(batch.ids))

@@ -201,11 +201,10 @@ def test_search_of_nothing(spark):
 def test_bisection_parts_topics():
     """Documents of two vocabularies end up in halves of their own."""
     r = random.Random(8)
-    sample = [[f"{'xy'[k % 2]}{r.randrange(80)}".encode() for _ in range(30)] for k in range(400)]
-    sample = [sorted(set(s)) for s in sample]
-    tree = lexical_search.fit(sample, 1)
-    number = {t: k for k, t in enumerate(tree.features)}
-    doc = np.array([k for k, s in enumerate(sample) for t in s if t in number])
-    leaf = tree.leaves(doc, np.array([number[t] for s in sample for t in s if t in number]), 400)
+    sample = [[f"{'xy'[k % 2]}{r.randrange(80)}" for _ in range(30)] for k in range(400)]
+    features = sorted({t for s in sample for t in s})
+    own = [np.array(sorted({features.index(t) for t in s})) for s in sample]
+    tree = lexical_search.fit(own, features, 1)
+    leaf = tree.leaves(np.repeat(np.arange(400), [len(x) for x in own]), np.concatenate(own), 400)
     share = sum(leaf[::2]) / 200, sum(leaf[1::2]) / 200
     assert max(share) > 0.95 and min(share) < 0.05
