@@ -45,3 +45,8 @@ def spacing_km(n: int) -> float:
 
 def degree_km(step: float, radius: float = RADIUS_KM) -> float:
     return 2 * radius * math.asin(math.sin(math.radians(step) / 2))
+
+
+def kernel_width(step: float, neighbours: int = 1, radius: float = RADIUS_KM) -> float:
+    """Kernel width of a grid of `step` degrees in radians: so many times its spacing at the equator."""
+    return neighbours * degree_km(step, radius) / radius

@@ -7,9 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geo import haversine, in_box, to_lon_lat, to_xyz
+from . import sphere
 from .lineage import settle
 
 
@@ -25,10 +25,6 @@ def cut(points: DataFrame, lons: tuple[float, float], lats: tuple[float, float],
     return points.filter(in_box(F.col("lon"), F.col("lat"), lons, lats, dateline))
 
 
-def cells(df: DataFrame, lon: str, lat: str, step: float) -> DataFrame:
-    return df.withColumn("cy", F.floor(F.col(lat) / step)).withColumn("cx", F.floor(F.col(lon) / step))
-
-
 def distances(points: DataFrame) -> DataFrame:
     """(a, b, d): great circles between all ordered pairs of points, radians. Grids are bounded; one side is spread, the other is each task's."""
     a = points.select(F.col("node").alias("a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
@@ -36,32 +32,34 @@ def distances(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") != F.col("b")).select("a", "b", haversine(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")).alias("d"))
 
 
-def min_dists(points: DataFrame, radius: float = 6371.009) -> DataFrame:
-    return distances(points).groupBy("a").agg((F.min("d") * radius).alias("d")).withColumnRenamed("a", "node")
+def _as_queries(points: DataFrame) -> DataFrame:
+    return points.select(F.col("node").alias("q"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
+
+
+def min_dists(points: DataFrame, radius: float = 6371.009, onto: DataFrame | None = None) -> DataFrame:
+    """(node, d): km to the nearest point of another grid, or to the nearest other point of the same."""
+    near = sphere.k_nearest(points if onto is None else onto, _as_queries(points), others=onto is None)
+    return near.select(F.col("q").alias("node"), (F.col("d") * radius).alias("d"))
 
 
 def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, node): the nearest point of each query (q, qlon, qlat); ties go to the smaller node."""
-    d = haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat"))
-    return queries.join(points).groupBy("q").agg(F.min(F.struct(F.round(d, 12).alias("d"), "node")).alias("x")).select("q", F.col("x.node").alias("node"))
+    return sphere.k_nearest(points, queries).select("q", "node")
 
 
 def k_nearest(points: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("a").orderBy(F.round("d", 12), "b")
-    return distances(points).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(a, b, d, rank): the k nearest others of each point, in radians."""
+    return sphere.k_nearest(points, _as_queries(points), k, others=True).select(F.col("q").alias("a"), F.col("node").alias("b"), "d", "rank")
 
 
 def neighbour_distance(points: DataFrame, radius: float = 6371.0) -> DataFrame:
     """(node, d): km to the nearest other point."""
-    return distances(points).groupBy(F.col("a").alias("node")).agg((F.min("d") * radius).alias("d"))
+    return min_dists(points, radius)
 
 
 def regrid_map(source: DataFrame, target: DataFrame) -> DataFrame:
     """(node, from): for each target point the nearest source point in degrees of longitude and latitude, the smaller number of equals. Found once, used for all times."""
-    t = target.select("node", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-    s = source.select(F.col("node").alias("from"), "lon", "lat")
-    d = F.round(F.pow(F.col("tlon") - F.col("lon"), 2) + F.pow(F.col("tlat") - F.col("lat"), 2), 9)
-    return t.join(s).groupBy("node").agg(F.min(F.struct(d.alias("d"), "from")).alias("x")).select("node", F.col("x.from").alias("from"))
+    return sphere.k_nearest(source, _as_queries(target), degrees=True).select(F.col("q").alias("node"), F.col("node").alias("from"))
 
 
 def regrid(field: DataFrame, where: DataFrame) -> DataFrame:
@@ -138,7 +136,7 @@ def rotated(points: DataFrame, lon: float, tilt: float) -> DataFrame:
 def nudged(points: DataFrame, onto: DataFrame, rounds: int = 8, step: float = 0.01, seed: int = 0) -> DataFrame:
     """The grid turned as a whole toward another: seeded small turns are tried, and the one that lowers the mean distance to the nearest point of the other is kept."""
     rng = np.random.RandomState(seed)
-    loss = lambda p: p.withColumnRenamed("node", "q").withColumnRenamed("lon", "qlon").withColumnRenamed("lat", "qlat").join(onto.select("lon", "lat")).groupBy("q").agg(F.min(haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat"))).alias("d")).agg(F.avg("d")).first()[0]
+    loss = lambda p: sphere.k_nearest(onto, _as_queries(p)).agg(F.avg("d")).first()[0]
     best, now = loss(points), points
     for _ in range(rounds):
         trial = rotated(now, *(math.degrees(float(v)) * step for v in rng.normal(size=2)))

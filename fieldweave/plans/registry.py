@@ -518,7 +518,7 @@ def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import artefacts, extended, places  # noqa: F401 - register the rest, which builds on this module
+    from . import artefacts, densities, extended, places  # noqa: F401 - register the rest, which builds on this module
 
     return dict(_Q)
 
