@@ -2,7 +2,7 @@
 
 1. Recursive graph bisection (Dhulipala et al. 2016) orders documents: a set of documents is halved so that the terms of each half take few bits, by swapping the documents that gain most, and the halves
    are halved again. It is fitted on a bounded sample (SAMPLE documents, TERMS_EACH terms of each, FEATURES terms in all); every document of the corpus is then led down the tree by the same costs, and
-   the leaves, which split the sample evenly, are the clusters. The index is the table of all documents (cluster, id, n, terms, tfs), range-sorted by cluster; a cluster of any size is many ranges.
+   the leaves, which split the sample evenly, are the clusters. The index is the table of all documents (cluster, id, n, terms, tfs) in order of cluster; a cluster of any size is parts of about PART_ENTRIES entries.
 2. For the terms of a batch of items the index gives df and, per cluster and term, the greatest part of a score that a document of the cluster has from it. Summed with the items' weights these bound
    every score of a cluster.
 3. Items visit clusters by falling bound, in rounds: a round scores its clusters' documents in blocks, by integers, and keeps the k best of each item; an item stops when the bound of its next cluster is
@@ -32,6 +32,8 @@ from .common import cut, slices, uncut
 SAMPLE, TERMS_EACH, FEATURES = 4096, 256, 4096
 #: Documents a cluster should have, and the most clusters.
 CLUSTER_ROWS, MOST_CLUSTERS = 2000, 1024
+#: Terms with their counts that a part of a cluster has at most, about.
+PART_ENTRIES = 500_000
 #: Items that are searched for at once: what goes to every task is bounded by their terms and clusters.
 ITEMS_AT_ONCE = 1000
 #: Documents that are scored at once.
@@ -142,7 +144,13 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clust
             yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(doc, feature, len(bags)).astype(np.int32)), ids, pa.array([len(words[k]) for k in keep], pa.int64()), *lists], ["cluster", "id", "n", "terms", "tfs"])
 
     found = cut(rows.mapInArrow(tokenised, "cluster int, id long, n long, terms array<string>, tfs array<int>"))
-    ranges = found.withColumn("h", F.xxhash64("id", "n", F.monotonically_increasing_id())).repartitionByRange("cluster", "h").sortWithinPartitions("cluster", "h").drop("h")
+    # A cluster gets as many parts as its entries need: parts are even however long its documents are, and none holds two clusters.
+    entries = found.groupBy("cluster").agg(F.sum(F.size("tfs")).alias("entries")).orderBy("cluster").collect()  # at most MOST_CLUSTERS rows
+    parts = [-(-r["entries"] // PART_ENTRIES) for r in entries]
+    places = spark.createDataFrame([(r["cluster"], sum(parts[:k]), parts[k]) for k, r in enumerate(entries)], "cluster int, first int, parts int")
+    h = F.xxhash64("id", "n", F.monotonically_increasing_id())
+    ranges = found.withColumn("h", h).join(F.broadcast(places), "cluster").repartitionById(max(1, sum(parts)), (F.col("first") + F.pmod("h", F.col("parts").cast("long"))).cast("int"))
+    ranges = ranges.select("cluster", "id", "n", "terms", "tfs")
     table = cut(ranges)
     uncut(found)
     held.destroy()
