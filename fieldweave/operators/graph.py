@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import RADIUS_KM, haversine, in_box
+from .lineage import settle
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -49,10 +50,8 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prune(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Take isolated nodes away until none is left; each round's tables are materialised by checkpoint, so plans stay short."""
-    spark = nodes.sparkSession
-    durable = spark.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if durable else (lambda df: df.persist())
+    """Take isolated nodes away until none is left; each round's tables are written to the shared folder, so plans stay short."""
+    keep = settle
     while True:
         gone = keep(isolated(nodes, edges))
         if gone.isEmpty():
@@ -225,48 +224,22 @@ def fill_quantile(values: DataFrame, attr: str, q: float = 0.5) -> DataFrame:
     return values.join(F.broadcast(m), F.lit(True)).withColumn(attr, F.coalesce(attr, "__m")).drop("__m")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Shortest-path betweenness, scaled by 1 / ((n - 1)(n - 2)), by Brandes' sums. Sources are spread over tasks; each holds the adjacency (a network of grid points, size-checked)."""
-    if edges.count() > 5_000_000:
-        raise ValueError("too many edges to hold in one task; thin the network first")
-    spark = nodes.sparkSession
-    adj: dict[int, list[int]] = {}
-    for s, d in edges.select("src", "dst").toLocalIterator():
-        adj.setdefault(s, []).append(d)
-    held, n = spark.sparkContext.broadcast(adj), nodes.count()
-
-    def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, float] = {}
-        for b in batches:
-            for s in b["node"].tolist():
-                dist, paths, order, back = {s: 0}, {s: 1}, [s], {}
-                for u in order:
-                    for v in held.value.get(u, ()):
-                        if v not in dist:
-                            dist[v], paths[v] = dist[u] + 1, 0
-                            order.append(v)
-                        if dist[v] == dist[u] + 1:
-                            paths[v] += paths[u]
-                            back.setdefault(v, []).append(u)
-                share = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in back.get(v, ()):
-                        share[u] += paths[u] / paths[v] * (1 + share[v])
-                    if v != s:
-                        out[v] = out.get(v, 0.0) + share[v]
-        yield pd.DataFrame({"node": pd.Series(list(out), dtype="int32"), "b": pd.Series(list(out.values()), dtype="float64")})
-
-    part = nodes.select(F.col("node").cast("int")).repartition(16).mapInPandas(brandes, "node int, b double").groupBy("node").agg(F.sum("b").alias("b"))
-    return nodes.select("node").join(part, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) / ((n - 1) * (n - 2)), 9).alias("betweenness"))
-
-
 def kde(nodes: DataFrame, edges: DataFrame, bandwidth: float) -> DataFrame:
-    """(src, node, density): Gaussian great-circle kernel over the targets of each source, at every node that it links to."""
-    pts = nodes.select("node", "lon", "lat")
-    t = edges.select("src", "dst").join(pts.select(F.col("node").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "dst")
-    at = edges.select("src", F.col("dst").alias("node")).join(pts, "node")
-    d = haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return at.join(t, "src").groupBy("src", "node").agg(F.avg(F.exp(-F.pow(d / bandwidth, 2) / 2)).alias("density"))
+    """(src, node, density): Gaussian great-circle kernel over the targets of each source, at every node that it links to. Sources are dealt in blocks; a source's targets meet in NumPy, strip by strip, so
+    their pairs are never rows."""
+    pts = nodes.select(F.col("node").alias("dst"), "lon", "lat")
+    t = edges.select("src", "dst").join(pts, "dst")
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        lon, lat = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
+        out = np.empty(len(pdf))
+        for at in range(0, len(pdf), 1024):
+            p = slice(at, at + 1024)
+            h = np.sin((lat[None] - lat[p, None]) / 2) ** 2 + np.cos(lat[p, None]) * np.cos(lat[None]) * np.sin((lon[None] - lon[p, None]) / 2) ** 2
+            out[p] = np.exp(-((2 * np.arcsin(np.sqrt(np.minimum(1.0, h))) / bandwidth) ** 2) / 2).mean(1)
+        return pd.DataFrame({"src": pdf["src"], "node": pdf["dst"], "density": out})
+
+    return t.groupBy("src").applyInPandas(sums, "src int, node int, density double")
 
 
 def link_bundles(nodes: DataFrame, edges: DataFrame, null: DataFrame, bandwidth: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import community as C
 from ..operators import field as T
 from ..operators import graph as G
-from ..operators import grid, similarity
+from ..operators import grid, paths, similarity
 from ..operators.lineage import settle
 from ..session import ship
 from ..sources import tables as S
@@ -357,9 +357,24 @@ def forman_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.forman(network(spark, sf_dir)[1])
 
 
-@query()
+#: Distances by walks of each length, path counts level by level, and the parts of pairs by d(s, v) + d(v, t) = d(s, t).
+def paths_sql(edges: str) -> str:
+    steps = "WITH RECURSIVE" + BASE.strip()[4:] + f"""
+, wk(s, v, d) AS (SELECT node, node, 0 FROM pts UNION SELECT wk.s, x.dst, wk.d + 1 FROM wk JOIN {edges} x ON x.src = wk.v WHERE wk.d < 40),
+ds AS (SELECT s, v, min(d) d FROM wk GROUP BY s, v),
+pc(s, v, d, c) AS (SELECT node, node, 0, 1.0::DOUBLE FROM pts UNION ALL SELECT pc.s, x.dst, pc.d + 1, sum(pc.c) FROM pc JOIN {edges} x ON x.src = pc.v JOIN ds ON ds.s = pc.s AND ds.v = x.dst AND ds.d = pc.d + 1 GROUP BY pc.s, x.dst, pc.d),
+sp AS (SELECT s, v, d, c FROM pc) """
+    return steps
+
+
+@query(paths_sql("e") + ", b AS (SELECT m.v node, sum(m.c * r.c / f.c) b FROM sp m JOIN sp r ON r.s = m.v JOIN sp f ON f.s = m.s AND f.v = r.v AND f.d = m.d + r.d WHERE m.v <> m.s AND r.v <> m.v GROUP BY m.v) SELECT p.node::INT node, round(coalesce(b, 0) / (SELECT (n - 1) * (n - 2) FROM size), 9)::DOUBLE betweenness FROM pts p LEFT JOIN b ON b.node = p.node")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.betweenness(*network(spark, sf_dir))
+    return paths.betweenness(*network(spark, sf_dir))
+
+
+@query(paths_sql("g") + ", b AS (SELECT x.src, x.dst, sum(m.c * r.c / f.c) b FROM g x JOIN sp m ON m.v = x.src JOIN sp r ON r.s = x.dst JOIN sp f ON f.s = m.s AND f.v = r.v AND f.d = m.d + 1 + r.d GROUP BY 1, 2) SELECT g.src::INT src, g.dst::INT dst, round(coalesce(b, 0) / (SELECT n * (n - 1) FROM size), 9)::DOUBLE betweenness FROM g LEFT JOIN b ON b.src = g.src AND b.dst = g.dst")
+def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.edge_betweenness(*network(spark, sf_dir, True))
 
 
 LEN = BASE + f", l AS (SELECT e.*, {hav('a', 'b', '6371.0')} len FROM e JOIN pts a ON a.node = src JOIN pts b ON b.node = dst) "

@@ -11,7 +11,7 @@ from fieldweave.functions import geo
 from fieldweave.operators import community as C
 from fieldweave.operators import field as T
 from fieldweave.operators import graph as G
-from fieldweave.operators import grid, similarity
+from fieldweave.operators import grid, paths, similarity
 from fieldweave.plans import registry
 from fieldweave.sources import tables
 
@@ -35,8 +35,37 @@ def test_triangle_plus_tail(spark):
 
 def test_betweenness_of_a_path(spark):
     und = [(0, 1), (1, 2)]
-    b = {r[0]: r[1] for r in G.betweenness(nodes_of(spark, 3), edges_of(spark, und + [(y, x) for x, y in und])).collect()}
-    assert b == {0: 0.0, 1: 1.0, 2: 0.0}
+    n, e = nodes_of(spark, 3), edges_of(spark, und + [(y, x) for x, y in und])
+    for rows in (paths.BLOCK_ROWS, 3):
+        assert {r[0]: r[1] for r in paths.betweenness(n, e, rows).collect()} == {0: 0.0, 1: 1.0, 2: 0.0}
+        assert {r["betweenness"] for r in paths.edge_betweenness(n, e, rows).collect()} == {round(2 / 6, 9)}
+
+
+def test_betweenness_by_counting_paths(spark):
+    """Directed, with equal paths, a loop, a node without links and an unreachable part."""
+    pairs = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0), (4, 5), (5, 5), (6, 7)]
+    n, e = nodes_of(spark, 9), edges_of(spark, pairs)
+    out, every = {}, {}
+    for s, d in pairs:
+        if s != d:
+            out.setdefault(s, []).append(d)
+    through, over = dict.fromkeys(range(9), 0.0), {p: 0.0 for p in pairs if p[0] != p[1]}
+    for s in range(9):
+        level, seen = [[s]], {s}
+        while level:
+            for p in level:
+                every.setdefault((s, p[-1]), []).append(p)
+            level = [[*p, v] for p in level for v in out.get(p[-1], []) if v not in seen]
+            seen |= {p[-1] for p in level}
+    for (s, t), ps in every.items():
+        for p in ps if s != t else []:
+            for v in p[1:-1]:
+                through[v] += 1 / len(ps)
+            for x in zip(p, p[1:]):
+                over[x] += 1 / len(ps)
+    assert {r[0]: r[1] for r in paths.betweenness(n, e, 20).collect()} == {k: round(v / 56, 9) for k, v in through.items()}
+    assert {(r[0], r[1]): r[2] for r in paths.edge_betweenness(n, e, 20).collect()} == {k: round(v / 72, 9) for k, v in over.items()}
+    assert {(r["s"], r["v"]): (r["hops"], int(r["paths"])) for r in paths.distances(n, e).collect()} == {k: (len(p[0]) - 1, len(p)) for k, p in every.items()}
 
 
 def test_one_way_prunes_to_nothing(spark):
