@@ -192,8 +192,8 @@ def within(rows: DataFrame, hot: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def hot_keys(buckets: DataFrame, more_than: int) -> DataFrame:
-    """(key, n) of keys that so many classes share. Tasks count their own keys exactly and pass on those that they meet OFTEN times or more, so a key that is missed here has fewer than
-    OFTEN rows a task; it is met in one task then, which gives the same links."""
+    """(key, n) of most keys that so many classes share, found without a shuffle of the rows. Tasks count a million rows at a time and pass on keys that they meet OFTEN times or more in them, so a key
+    can be missed: bucket_sets counts every key that is not named here, and gathers none of over a block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -213,10 +213,12 @@ def hot_keys(buckets: DataFrame, more_than: int) -> DataFrame:
     return cut(buckets.select("key").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > more_than))
 
 
-def bucket_sets(buckets: DataFrame) -> DataFrame:
-    """(key, x), materialised: the members (n, cid) by size of each key of two or more. Rows are shuffled once, and single ones go before they are gathered."""
+def bucket_sets(buckets: DataFrame, block: int | None = None) -> DataFrame:
+    """(key, times, x), materialised: the members (n, cid) by size of each key of two or more; x is empty for keys of over a block of rows. Rows are shuffled once; their number is known by a window,
+    which spills, before any are gathered."""
     shared = buckets.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("times > 1")
-    return cut(shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "cid"))).alias("x")))
+    member = F.when(F.col("times") <= (block or BLOCK), F.struct("n", "cid"))
+    return cut(shared.groupBy("key").agg(F.max("times").alias("times"), F.array_sort(F.collect_list(member)).alias("x")))
 
 
 def distinct_buckets(sets: DataFrame, percent: int) -> DataFrame:
@@ -235,11 +237,10 @@ def link(
     block, weight = block or BLOCK, weight or WEIGHT
     often = hot_keys(buckets, block)
     few = maybe_broadcast(often.select("key"))
-    sets = bucket_sets(buckets.join(few, "key", "left_anti"))
-    large = sets.filter(F.size("x") > block)
-    hot = cut(often.union(large.select("key", F.size("x").cast("long"))).select("key", F.ceil(F.col("n") / block).alias("spread")))
-    met = distinct_buckets(sets.filter(F.size("x") <= block), percent).union(large.select("key", F.explode("x.cid")))
-    met = cut(met.union(buckets.join(few, "key", "left_semi").select("key", "cid")))
+    sets = bucket_sets(buckets.join(few, "key", "left_anti"), block)
+    hot = cut(often.union(sets.filter(F.col("times") > block).select("key", "times")).select("key", F.ceil(F.col("n") / block).alias("spread")))
+    met = distinct_buckets(sets.filter(F.col("times") <= block), percent)
+    met = cut(met.union(buckets.join(maybe_broadcast(hot.select("key")), "key", "left_semi").select("key", "cid")))
     tidy(buckets.sparkSession)
     sizes = marks(met.select("cid").distinct())
     first = within(met.join(sizes, "cid").select("key", "cid", "n", "bits"), hot, bitmap_kernel(percent))

@@ -104,6 +104,25 @@ def test_buckets_of_the_same_members_meet_once(spark):
     assert got == [(1, 10), (1, 11)]
 
 
+def test_keys_that_counting_misses(spark, monkeypatch):
+    """Keys that no task meets often, and keys of over a block, give the same links and are not gathered."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(400)}" for _ in range(60)]
+    texts = []
+    for k in range(90):
+        x = list(base)
+        x[r.randrange(len(x))] = f"n{k}"
+        texts.append(" ".join(x))
+    table = docs(spark, texts).repartition(6)
+    want = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(table).collect()}
+    monkeypatch.setattr(linkage, "OFTEN", 10**9)
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(table, block=16).collect()} == want and len(set(want.values())) < 90
+    rows = spark.range(2000).select((F.col("id") % 50).alias("key"), F.col("id").alias("cid"), F.lit(5).cast("long").alias("n"))
+    assert linkage.hot_keys(rows, 16).count() == 0
+    assert {(x["times"], len(x["x"])) for x in linkage.bucket_sets(rows, 16).collect()} == {(40, 0)}
+    assert {(x["times"], len(x["x"])) for x in linkage.bucket_sets(rows, 40).collect()} == {(40, 40)}
+
+
 def test_hot_keys_are_dealt(spark, monkeypatch):
     """A join by a table too large for a broadcast deals the rows of a hot key to many parts and gives what a plain join gives."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
