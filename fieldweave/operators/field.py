@@ -66,13 +66,33 @@ def event_mask(ev: DataFrame, more_than: int) -> DataFrame:
     return ev.groupBy("node").agg((F.sum("event") > more_than).cast("int").alias("mask"))
 
 
+def shuffled(field: DataFrame, windows: tuple[tuple[int, int], ...] = ((1, 12),), years: tuple[int, int] | None = None, rest_zero: bool = False, full: bool = False, seed: int = 0) -> DataFrame:
+    """Each node's values permuted within each year's window of months, so that a year keeps its events; a window that wraps takes its last months from the next year. Times outside of all windows (and
+    of the years, first and last included) keep their values or become 0. full: permuted over all times.
+
+    The order is that of md5(seed:node:t), so any engine can repeat it; the values in time order and in hash order are matched rank by rank, which is a permutation. A window's values of a node are a group."""
+    if len(windows) > 1 and rest_zero:
+        raise ValueError("with several windows the rest cannot be 0")
+    months = [m for a, b in windows for m in (range(a, b + 1) if a <= b else [*range(a, 13), *range(1, b + 1)])]
+    if len(set(months)) < len(months):
+        raise ValueError("windows overlap")
+    m, y = F.month("t"), F.year("t")
+    part = F.lit(None).cast("string")
+    for k, (a, b) in enumerate(windows):
+        year = F.when(m.between(a, b), y) if a <= b else F.when(m >= a, y).when(m <= b, y - 1)
+        inside = year.isNotNull() if years is None else year.between(*years)
+        part = F.when(inside, F.concat_ws(":", F.lit(k), year)).otherwise(part)
+    f = field.select("node", "t", "v", (F.lit("all") if full else part).alias("part"))
+    order = F.struct(F.md5(F.concat_ws(":", F.lit(seed), "node", F.col("t").cast("string"))).alias("h"), "v")
+    groups = f.filter("part IS NOT NULL").groupBy("node", "part").agg(F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_list(order)).alias("x"))
+    mixed = groups.select("node", F.explode(F.arrays_zip("t", "x")).alias("z")).select("node", "z.t", "z.x.v")
+    rest = f.filter("part IS NULL").select("node", "t", F.lit(0).cast(field.schema["v"].dataType).alias("v") if rest_zero else F.col("v"))
+    return mixed.unionByName(rest)
+
+
 def shuffle_years(field: DataFrame, seed: int = 0) -> DataFrame:
-    """Each node's values permuted within each year, by a seeded hash of the place."""
-    w = Window.partitionBy("node", F.year("t"))
-    f = field.withColumn("y", F.year("t"))
-    at = f.select("node", "y", "t", F.row_number().over(w.orderBy("t")).alias("k"))
-    to = f.select("node", "y", "v", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "node", F.col("t").cast("string"))))).alias("k"))
-    return at.join(to, ["node", "y", "k"]).select("node", "t", "v")
+    """Each node's values permuted within each year."""
+    return shuffled(field, seed=seed)
 
 
 def run_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .field import shuffled
+from .lineage import settle
+from .similarity import event_sync
+
 LEVELS = (0.25, 0.5, 0.75, 0.95, 0.98, 0.99, 0.995, 0.999)
 
 
@@ -127,19 +131,25 @@ def es_null(spark: SparkSession, counts: DataFrame, n_times: int, taumax: int, d
         for b in batches:
             for n1, n2, s in zip(b["n1"], b["n2"], b["s"], strict=True):
                 rng = _seed(seed, int(n1), int(n2), int(s))
-                es = [synchronised(np.sort(rng.choice(n_times, n1, replace=False)), np.sort(rng.choice(n_times, n2, replace=False)), taumax) for _ in range(min(step, draws - s * step))]
-                yield pd.DataFrame({"n1": n1, "n2": n2, "es": es})
+                here = min(step, draws - s * step)
+                a, b = (np.sort(rng.random_sample((here, n_times)).argpartition(n - 1, axis=1)[:, :n], axis=1) for n in (n1, n2))
+                yield pd.DataFrame({"n1": n1, "n2": n2, "es": np.concatenate([synchronised_each(a[k : k + 64], b[k : k + 64], taumax) for k in range(0, here, 64)])})
 
     tasks = counts.select(F.col("n1").cast("int"), F.col("n2").cast("int")).distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // step) - 1)))).repartition("n1", "n2", "s")
     return tasks.mapInPandas(draw, "n1 int, n2 int, es double").groupBy("n1", "n2").agg(F.percentile("es", F.array(*map(F.lit, levels))).alias("q"))
 
 
+def synchronised_each(a: np.ndarray, b: np.ndarray, taumax: float) -> np.ndarray:
+    """For each row of sorted times, events of a that follow one of b within tau: half the least gap around both events, at most taumax; equal times count one half."""
+    gap = lambda t: np.minimum(np.diff(t, prepend=-np.inf, axis=1), np.diff(t, append=np.inf, axis=1))
+    d = a[:, :, None] - b[:, None, :]
+    tau = np.minimum(np.minimum(gap(a)[:, :, None], gap(b)[:, None, :]) / 2, taumax)
+    return ((d > 0) & (d <= tau)).sum((1, 2)) + 0.5 * (d == 0).sum((1, 2))
+
+
 def synchronised(a: np.ndarray, b: np.ndarray, taumax: float) -> float:
-    """Events of a that follow one of b within tau: half the least gap around both events, at most taumax; equal times count one half."""
-    gap = lambda t: np.minimum(np.diff(t, prepend=-np.inf), np.diff(t, append=np.inf))
-    d = a[:, None] - b[None, :]
-    tau = np.minimum(np.minimum(gap(a)[:, None], gap(b)[None, :]) / 2, taumax)
-    return float(((d > 0) & (d <= tau)).sum() + 0.5 * (d == 0).sum())
+    """One row of synchronised_each."""
+    return float(synchronised_each(a[None], b[None], taumax)[0])
 
 
 def es_edges(es: DataFrame, events: DataFrame, null: DataFrame, levels: tuple[float, ...] = LEVELS, q_sig: float = 0.95, q_med: float = 0.5, lq: float = 0.25, hq: float = 0.75, at_least: float = 2) -> DataFrame:
@@ -151,6 +161,21 @@ def es_edges(es: DataFrame, events: DataFrame, null: DataFrame, levels: tuple[fl
     return x.filter((F.col("es") > q(q_sig)) & (F.col("es") >= at_least)).select(F.col("i").alias("src"), F.col("j").alias("dst"), "es", weight.alias("weight"))
 
 
+def control_events(events: DataFrame, **windows) -> DataFrame:
+    """(node, t): days of the events of (node, t, event) after shuffled(), whose windows may be given."""
+    mixed = shuffled(events.select("node", "t", F.col("event").alias("v")), **windows)
+    return mixed.filter("v = 1").select("node", F.unix_date("t").alias("t"))
+
+
+def control_network(events: DataFrame, taumax: int, draws: int = 3000, **windows) -> DataFrame:
+    """(src, dst, es, weight): the network of shuffled events. Shuffling within windows keeps each node's number of events, and so the null that a pair is held against."""
+    ev = settle(control_events(events, **windows))
+    n = ev.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+    steps = events.select("t").distinct().count()
+    counts = n.withColumnRenamed("n", "n1").join(n.withColumnRenamed("n", "n2"))  # numbers of events, at most as many as times
+    return es_edges(event_sync(ev, taumax), ev, es_null(ev.sparkSession, counts, steps, taumax, draws))
+
+
 def sync_series(a: DataFrame, b: DataFrame, taumax: int) -> DataFrame:
     """(t, n): how many events (node, t) of region a at t follow an event of region b by more than nothing and at most taumax. An equi-join on time buckets."""
     x = a.select("t", F.floor(F.col("t") / taumax).alias("c"))

@@ -11,7 +11,7 @@ from ..operators import field as T
 from ..operators import graph as G
 from ..operators import grid, inference, similarity, surrogate, transport
 from ..sources import tables as S
-from .registry import BASE, LEV, _levels, hav, network, points, query, rounded
+from .registry import BASE, LEV, _levels, hav, network, points, query, rounded, shuffled_sql
 
 # Grids
 
@@ -21,7 +21,15 @@ def grid_fekete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.fekete(spark, 100, rounds=50), "lon", "lat")
 
 
-@query()
+def _snap_sql(rounds: int) -> str:
+    """Rounds of pairs that are each other's shortest, unrolled."""
+    out = BASE + f", cand AS (SELECT node, clon, clat, round({hav('p', 'c')}, 12) d FROM (SELECT node, lon, lat, (floor((lon + 179.5) / 5) + i) * 5 - 179.5 clon, (floor((lat + 89.5) / 5) + j) * 5 - 89.5 clat FROM pts, range(2) a(i), range(2) b(j)) x, LATERAL (SELECT x.lon, x.lat) p, LATERAL (SELECT x.clon lon, x.clat lat) c WHERE clat BETWEEN -90 AND 90), d0 AS (SELECT * FROM cand)"
+    for k in range(rounds):
+        out += f", b{k} AS (SELECT node, unnest(arg_min(struct_pack(clon, clat, d), row(d, clon, clat))) FROM d{k} GROUP BY node), p{k} AS MATERIALIZED (SELECT clon, clat, arg_min(node, row(d, node)) node FROM b{k} GROUP BY clon, clat), d{k + 1} AS MATERIALIZED (SELECT * FROM d{k} WHERE node NOT IN (SELECT node FROM p{k}) AND (clon, clat) NOT IN (SELECT (clon, clat) FROM p{k}))"
+    return out + " SELECT node::INT node, clon lon, clat lat FROM (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(rounds)) + ")"
+
+
+@query(_snap_sql(6))
 def grid_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.snap(points(spark, sf_dir), 5.0)
 
@@ -113,10 +121,26 @@ def es_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = S.event_points(spark, sf_dir, "purchase").select("node", F.floor(F.col("t") / 3600).alias("t")).distinct()
     n = ev.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
     counts = n.withColumnRenamed("n", "n1").join(n.withColumnRenamed("n", "n2"))
-    null = surrogate.es_null(spark, counts, 30 * 24, 10, draws=50)
+    null = surrogate.es_null(spark, counts, 30 * 24, 10, draws=3000)
     return surrogate.es_edges(similarity.event_sync(ev, 10), ev, null)
 
 
+EVD = BASE + ", qs AS (SELECT node, quantile_cont(v, 0.9) q FROM f WHERE v >= 1 GROUP BY node), evd AS (SELECT f.node, t, CASE WHEN v > q AND v >= 15 THEN 1 ELSE 0 END v FROM f LEFT JOIN qs ON f.node = qs.node)"
+CONTROL = EVD + f", sh AS ({shuffled_sql('evd', 'year(t)')}), e1 AS (SELECT node, date_diff('day', DATE '1970-01-01', t) t FROM sh WHERE v = 1), e2 AS (SELECT node, t, least(t - lag(t) OVER w, lead(t) OVER w - t) gap FROM e1 WINDOW w AS (PARTITION BY node ORDER BY t)), h AS (SELECT a.node i, b.node j, a.t ti, b.t tj, a.gap gi, b.gap gj FROM e2 a JOIN e2 b ON a.node <> b.node AND a.t >= b.t AND a.t - b.t <= 3) "
+
+
+@query(CONTROL + "SELECT i::INT i, j::INT j, sum(CASE WHEN ti = tj THEN 0.5 ELSE 1 END)::DOUBLE es FROM h WHERE ti - tj <= least(coalesce(CASE WHEN gi IS NULL THEN gj WHEN gj IS NULL THEN gi ELSE least(gi, gj) END / 2, 3), 3) GROUP BY ALL")
+def es_control_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synchronised events after each node's events were shuffled within the year: the control of an event network."""
+    return similarity.event_sync(surrogate.control_events(T.events(S.field_daily(spark, sf_dir), 0.9)), 3)
+
+
+@query()
+def es_control_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control network: shuffled events over the same null as the events themselves."""
+    return surrogate.control_network(T.events(S.field_daily(spark, sf_dir), 0.9), 3, draws=3000)
+
+
 # Networks
 
 

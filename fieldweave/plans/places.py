@@ -9,6 +9,7 @@ from ..operators import community as C
 from ..operators import graph as G
 from ..operators import levels as L
 from ..operators import places as P
+from ..operators import regions as R
 from ..sources import tables as S
 from .registry import BASE, LEN, R1, R2, TRI, _regions, hav, network, points, query, rounded
 
@@ -150,3 +151,52 @@ def level_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_group_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = points(spark, sf_dir)
     return L.main_group_share(nodes.select("node", (F.col("node") % 7).alias("grp")), nodes.filter("node % 3 = 1"))
+
+
+BOXES = [("west", -180.0, 0.0, -60.0, 60.0, 6, 9), ("east", 20.0, 160.0, -30.0, 30.0, 11, 2), ("date line", 150.0, -150.0, -40.0, 40.0, 1, 12), ("small", 60.0, 80.0, -20.0, 40.0, 3, 5)]
+RGN = BASE + ", rg(region, lon0, lon1, lat0, lat1, m0, m1) AS (VALUES " + ", ".join(str(b) for b in BOXES) + """),
+rm AS (SELECT region, node FROM pts, rg WHERE lat BETWEEN lat0 AND lat1 AND CASE WHEN lon0 > lon1 THEN lon >= lon0 OR lon <= lon1 ELSE lon BETWEEN lon0 AND lon1 END),
+rr AS (SELECT run, node, (node * run) % 4 grp FROM pts, range(1, 6) r(run)),
+vt AS (SELECT region, run, grp, count(*) c FROM rr JOIN rm USING (node) GROUP BY ALL), mg AS (SELECT region, run, arg_min(grp, row(-c, grp)) grp FROM vt GROUP BY ALL),
+pb AS (SELECT mg.region, rr.node, count(*) / 5 mean FROM rr JOIN mg ON mg.run = rr.run AND mg.grp = rr.grp GROUP BY ALL), sm AS (SELECT region, node FROM pb WHERE mean > 0.5),
+ts AS (SELECT region, t, avg(v) v, count(*) nodes FROM m JOIN sm USING (node) GROUP BY ALL),
+tw AS (SELECT ts.*, CASE WHEN m0 <= m1 THEN CASE WHEN month(t) BETWEEN m0 AND m1 THEN year(t) END WHEN month(t) >= m0 THEN year(t) WHEN month(t) <= m1 THEN year(t) - 1 END season FROM ts JOIN rg USING (region)),
+ta AS (SELECT *, v - avg(v) OVER (PARTITION BY region, month(t)) an FROM tw WHERE season IS NOT NULL) """
+
+
+def _regions_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BOXES, R.COLUMNS)
+
+
+def _runs(nodes: DataFrame) -> DataFrame:
+    return nodes.join(nodes.sparkSession.range(1, 6).withColumnRenamed("id", "run")).select("run", "node", (F.col("node") * F.col("run") % 4).alias("grp"))
+
+
+@query(RGN + "SELECT region, node::INT node FROM rm")
+def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of several boxes, one over the date line."""
+    return R.members(points(spark, sf_dir), _regions_of(spark))
+
+
+@query(RGN + "SELECT region, node::INT node, round(mean, 9)::DOUBLE mean, round(sqrt(mean * (1 - mean)), 9) std FROM pb")
+def region_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability maps of several regions over runs."""
+    nodes = points(spark, sf_dir)
+    return R.probability(_runs(nodes), R.members(nodes, _regions_of(spark)))
+
+
+def _series_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = points(spark, sf_dir)
+    return R.table(nodes, _runs(nodes), S.field_monthly(spark, sf_dir), _regions_of(spark), 0.5)[1]
+
+
+@query(RGN + "SELECT region, season::INT season, t, round(v, 6) v, round(an, 6) + 0.0 an, nodes FROM ta")
+def region_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series and anomalies of several regions in their windows of months."""
+    return rounded(_series_of_regions(spark, sf_dir), "v", "an")
+
+
+@query(RGN + ", yr AS (SELECT region, season, sum(v) total, avg(v) mean, stddev_pop(v) spread, avg(an) an, count(*) times FROM ta GROUP BY ALL) SELECT x.region, y::INT season, round(total, 6) total, round(mean, 6) mean, round(spread, 6) spread, round(an, 6) + 0.0 an, coalesce(times, 0) times FROM (SELECT DISTINCT region FROM ta) x CROSS JOIN range(1994, 2003) r(y) LEFT JOIN yr ON yr.region = x.region AND yr.season = y")
+def regions_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several regions by year, windows over the year's end counted where they began."""
+    return rounded(R.by_year(_series_of_regions(spark, sf_dir), 1994, 2002), "total", "mean", "spread", "an")

@@ -316,7 +316,10 @@ def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.isolated(*network(spark, sf_dir, True))
 
 
-@query()
+PRUNE = "".join(f", q{k} AS (SELECT src, dst FROM q{k - 1} WHERE src IN (SELECT dst FROM q{k - 1}) AND dst IN (SELECT src FROM q{k - 1}))" for k in range(1, 31))
+
+
+@query(BASE + ", q0 AS (SELECT src, dst FROM g)" + PRUNE.replace(" AS (", " AS MATERIALIZED (") + " SELECT src::INT src, dst::INT dst FROM q30")
 def prune_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.prune(*network(spark, sf_dir, True))[1].select("src", "dst")
 
@@ -522,12 +525,17 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ancestors(n.select((F.col("n_nationkey") + 1).alias("id"), F.when(F.col("n_nationkey") > 0, F.floor((F.col("n_nationkey") + 1) / 2).cast("int")).alias("parent")))
 
 
-@query()
+@query(BASE + ", bo AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), l0 AS (SELECT node, node AS lab FROM pts)" + "".join(f", l{k} AS (SELECT l{k - 1}.node, coalesce(x.lab, l{k - 1}.lab) lab FROM l{k - 1} LEFT JOIN (SELECT node, arg_min(lab, row(-n, lab)) lab FROM (SELECT bo.a node, lab, count(*) n FROM bo JOIN l{k - 1} ON l{k - 1}.node = bo.b GROUP BY 1, 2) GROUP BY node) x ON x.node = l{k - 1}.node)" for k in range(1, 6)) + " SELECT node::INT node, lab::INT AS label FROM l5")
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.label_propagation(*network(spark, sf_dir))
 
 
-@query()
+#: Values in time order and in order of md5, matched rank by rank.
+def shuffled_sql(source: str, part: str, seed: int = 0) -> str:
+    return f"SELECT a.node, a.t, b.v FROM (SELECT *, row_number() OVER (PARTITION BY node, {part} ORDER BY t) k, {part} part FROM {source}) a JOIN (SELECT *, row_number() OVER (PARTITION BY node, {part} ORDER BY md5('{seed}:' || node || ':' || t::DATE::VARCHAR)) k, {part} part FROM {source}) b ON a.node = b.node AND a.part = b.part AND a.k = b.k"
+
+
+@query(BASE + f"SELECT node::INT node, t, v FROM ({shuffled_sql('m', 'year(t)')})")
 def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.shuffle_years(S.field_monthly(spark, sf_dir))
 
