@@ -197,7 +197,7 @@ def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.louvain(*network(spark, sf_dir), levels=2, rounds=3)
+    return inference.louvain(*network(spark, sf_dir), refine=True)
 
 
 @query()
@@ -209,7 +209,7 @@ def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mtcov(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = network(spark, sf_dir)
-    fit = inference.mtcov(edges.select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a")), 3, rounds=4)
+    fit = inference.mtcov_best(edges.select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a")), 3, runs=2, rounds=200, steady=2)
     return inference.hard_groups(fit.u)
 
 

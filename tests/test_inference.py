@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +15,8 @@ from fieldweave.operators import grid, inference, surrogate, transport
 from fieldweave.plans import extended, registry
 from fieldweave.sources import gml
 
+from .conftest import DATA
+
 
 def both_ways(spark, pairs):
     return spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src int, dst int, weight double")
@@ -56,6 +59,67 @@ def test_mtcov_restarts_and_starts(spark, pair):
     assert parts(inference.hard_groups(fit.u)) == TWO and fit.rounds >= 3
 
 
+def test_mtcov_samples_and_rules(spark, pair):
+    """The likelihood over a sample of all nodes is that over all; over fewer it is that of their links alone; the rule by change ends when memberships stand still; noise moves what is given."""
+    e = pair[1].select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a"))
+    whole = inference.mtcov(e, 2, rounds=3, seed=1)
+    assert inference.mtcov(e, 2, rounds=3, seed=1, sample=10).loglik == pytest.approx(whole.loglik)
+    part = inference.mtcov(e, 2, rounds=3, seed=1, sample=4)
+    assert math.isfinite(part.loglik) and part.loglik != pytest.approx(whole.loglik)
+    own, all_ = ({r["node"]: list(r["x"]) for r in fit.u.collect()} for fit in (part, whole))
+    assert all(own[k] == pytest.approx(x) for k, x in all_.items())
+    still = inference.mtcov(e, 2, rounds=200, seed=1, tolerance=1e-3, by_change=True)
+    assert 3 < still.rounds < 200 and parts(inference.hard_groups(still.u)) == TWO
+    fixed = inference.mtcov(e, 2, rounds=1, start=(still.u, still.v), start_w=still.w, start_beta=still.beta)
+    moved = inference.mtcov(e, 2, rounds=1, start=(still.u, still.v), start_w=still.w, start_beta=still.beta, noise=0.5)
+    assert fixed.loglik > moved.loglik
+
+
+def test_groups_by_latitude(spark):
+    u = spark.createDataFrame([(0, [0.9, 0.1, 0.0]), (1, [0.8, 0.2, 0.0]), (2, [0.1, 0.9, 0.0])], "node int, x array<double>")
+    nodes = spark.createDataFrame([(0, 50.0), (1, 40.0), (2, -30.0)], "node int, lat double")
+    assert {r["node"]: list(r["x"]) for r in inference.groups_by_latitude(u, nodes).collect()} == {0: [0.1, 0.9], 1: [0.2, 0.8], 2: [0.9, 0.1]}
+
+
+def planted(spark, sizes=(14, 9, 7), seed=5):
+    """Groups of many links inside and few between."""
+    r = np.random.RandomState(seed)
+    of = [g for g, n in enumerate(sizes) for _ in range(n)]
+    links = [(i, j) for i in range(len(of)) for j in range(i) if r.rand() < (0.8 if of[i] == of[j] else 0.06)]
+    return spark.range(len(of)).selectExpr("cast(id as int) node"), both_ways(spark, links), of
+
+
+def test_refined_communities(spark):
+    nodes, edges, of = planted(spark)
+    levels = inference.louvain(nodes, edges, refine=True)
+    q = {lv: inference.modularity(edges, levels.filter(F.col("level") == lv)).first()[0] for (lv,) in levels.select("level").distinct().collect()}
+    top = max(q)
+    assert q[top] >= q[top - 1] - 1e-9 and all(q[k + 1] >= q[k] - 1e-9 for k in range(top - 1))
+    assert parts(levels.filter(F.col("level") == top)) == {frozenset(k for k, g in enumerate(of) if g == x) for x in set(of)}
+
+
+def test_registered_communities(spark):
+    """On the query's own network: the refined partition is not worse than the unrefined one, and no single move of a node improves it by much."""
+    from fieldweave.plans import registry
+
+    sf = f"{DATA}/sf0.01"
+    levels = registry.queries()["louvain"](spark, sf)
+    nodes, edges = registry.network(spark, sf)
+    top = levels.agg(F.max("level")).first()[0]
+    q = [inference.modularity(edges, levels.filter(F.col("level") == k)).first()[0] for k in (top - 1, top)]
+    assert q[1] >= q[0] - 1e-9
+    com = {r["node"]: r["grp"] for r in levels.filter(F.col("level") == top).collect()}
+    links = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
+    two_m, k, tot, near = sum(w for _, _, w in links), Counter(), Counter(), {}
+    for a, b, w in links:
+        k[a] += w
+        tot[com[a]] += w
+        near.setdefault(a, Counter())[com[b]] += w
+    gain = lambda n, c: near[n][c] - k[n] * (tot[c] - (k[n] if c == com[n] else 0)) / two_m
+    worse = [n for n in near if max(gain(n, c) for c in near[n]) > gain(n, com[n]) + 1e-6]
+    assert len(worse) <= 0.05 * len(near)
+
+
 def test_mtcov_covariates_decide(spark, pair):
     """With gamma 1 only the covariate counts: u follows h."""
     e = pair[1].select(F.lit(0).alias("layer"), "src", "dst", F.col("weight").alias("a"))
