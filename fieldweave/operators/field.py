@@ -95,6 +95,26 @@ def shuffle_years(field: DataFrame, seed: int = 0) -> DataFrame:
     return shuffled(field, seed=seed)
 
 
+def defined(field: DataFrame, always: bool = True) -> DataFrame:
+    """The field without the points that lack a value at some time (or, unless `always`, at all times); a NaN is a lack."""
+    lacks = F.col("v").isNull() | F.isnan("v")
+    per = field.groupBy("node").agg(F.max(lacks.cast("int")).alias("some"), F.min(lacks.cast("int")).alias("all"))
+    return field.join(per.filter(F.col("some" if always else "all") == 1).select("node"), "node", "left_anti")
+
+
+def joined(fields: dict[str, DataFrame]) -> DataFrame:
+    """(node, t, name, v): several variables of one grid. Those that lack points of the first are refused."""
+    out, first = None, None
+    for name, f in fields.items():
+        nodes = f.select("node").distinct()
+        if first is not None and not first.join(nodes, "node", "left_anti").isEmpty():
+            raise ValueError(f"{name} lacks points of the grid")
+        first = nodes if first is None else first
+        part = f.select("node", "t", F.lit(name).alias("name"), F.col("v").cast("double").alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, population deviation and upper quantiles of a value over runs."""
     q = F.percentile(value, F.array(*map(F.lit, (0.9, 0.95, 0.99, 0.995, 0.999))))

@@ -153,6 +153,12 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return undirected(a).intersect(undirected(b))
 
 
+def among(edges: DataFrame, given: DataFrame) -> DataFrame:
+    """The edges whose pair is in a given list, either way round, with all their columns."""
+    pair = undirected(given).select(F.col("src").alias("__a"), F.col("dst").alias("__b"))
+    return edges.join(pair, (F.least("src", "dst") == F.col("__a")) & (F.greatest("src", "dst") == F.col("__b")), "left_semi")
+
+
 def oriented(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each pair once, from the smaller longitude to the larger, with coordinates."""
     e = with_ends(undirected(edges), nodes, "lon", "lat")

@@ -72,6 +72,12 @@ def masked(field: DataFrame, mask: DataFrame) -> DataFrame:
     return field.join(mask, "node", "left").withColumn("v", F.when(F.col("mask") == 1, F.col("v"))).drop("mask")
 
 
+def masked_from(field: DataFrame, points: DataFrame, mesh: DataFrame, mask: DataFrame) -> DataFrame:
+    """masked() by a mask (node, mask) on another grid: each point of the field has the mask of the mesh's nearest point."""
+    own = regrid_map(mesh, points).join(mask.select(F.col("node").alias("from"), "mask"), "from").select("node", "mask")
+    return masked(field, own)
+
+
 def force_directions(x: np.ndarray, rows: int = 512) -> np.ndarray:
     """The part of each point's repulsion (inverse squares) that is tangent to the sphere, over its size."""
     out = np.empty_like(x)
