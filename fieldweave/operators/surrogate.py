@@ -73,11 +73,12 @@ def null_limits(pairs: DataFrame, q: float) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.percentile(F.abs("r"), q).alias("limit"))
 
 
-def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int = 1000, block: int = 200) -> DataFrame:
-    """(i, j, limit), i < j: the quantile of |r| over n surrogate pairs, those of iaaft, of every pair of nodes; nodes without variance are left out.
+def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int = 1000, block: int = 200, only_over: bool = False) -> DataFrame:
+    """(i, j, r, limit), i < j: the correlation of every pair of nodes and the quantile of |r| over n surrogate pairs, those of iaaft; with only_over, of the pairs whose |r| exceeds it alone. Nodes
+    without variance are left out.
 
-    Nodes are dealt into blocks of about as many nodes, and a pair of blocks is one task, which correlates matching surrogates only and gives limits only. Surrogates travel as
-    places in the sorted series, one byte a time of up to 256 times. A task holds two blocks' series; blocks grow in number, not in size, with the nodes."""
+    Nodes are dealt into blocks of about as many nodes, and a pair of blocks is one task, which correlates matching series only (the series themselves are the first) and gives numbers of pairs only. Series
+    travel as places in the sorted series, one byte a time of up to 256 times. A task holds two blocks' series; blocks grow in number, not in size, with the nodes."""
     series = field.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("v").cast("double").alias("v")))).alias("x")).select(F.col("node").cast("int").alias("node"), F.col("x.v").alias("v"))
     blocks = -(-field.select("node").distinct().count() // block) or 1
 
@@ -86,7 +87,8 @@ def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int
             for node, v in zip(b["node"], b["v"], strict=True):
                 x = np.asarray(v, float)
                 if x.std() > 0:
-                    ranks = iaaft_ranks(x, [_seed(seed, k, int(node)) for k in range(n)], rounds)
+                    own = np.argsort(np.argsort(x, kind="stable"), kind="stable")
+                    ranks = np.concatenate([own[None], iaaft_ranks(x, [_seed(seed, k, int(node)) for k in range(n)], rounds)])
                     yield pd.DataFrame({"node": [node], "v": [np.sort(x)], "ranks": [ranks.astype(np.min_scalar_type(len(x) - 1)).tobytes()]})
 
     drawn = series.repartition(blocks * 8, "node").mapInPandas(draw, "node int, v array<double>, ranks binary")
@@ -94,11 +96,11 @@ def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int
     dealt = drawn.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select("node", "v", "ranks", "block", to.alias("x")).select("node", "v", "ranks", "block", "x.p", "x.q")
 
     def scores(pdf: pd.DataFrame) -> np.ndarray:
-        """surrogates x nodes x times"""
-        out = np.empty((n, len(pdf), len(pdf["v"].iloc[0]) if len(pdf) else 0))
+        """series (the nodes' own, then surrogates) x nodes x times"""
+        out = np.empty((n + 1, len(pdf), len(pdf["v"].iloc[0]) if len(pdf) else 0))
         for at, (v, raw) in enumerate(zip(pdf["v"], pdf["ranks"], strict=True)):
             x = np.asarray(v, float)
-            out[:, at] = ((x - x.mean()) / x.std())[np.frombuffer(raw, np.min_scalar_type(len(x) - 1)).reshape(n, len(x))]
+            out[:, at] = ((x - x.mean()) / x.std())[np.frombuffer(raw, np.min_scalar_type(len(x) - 1)).reshape(n + 1, len(x))]
         return out
 
     def limits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,15 +111,17 @@ def iaaft_limits(field: DataFrame, n: int, q: float, seed: int = 0, rounds: int
         ids = b["node"].to_numpy()
         step = max(1, 4_000_000 // (n * max(1, len(b))))
         for at in range(0, len(a), step):
-            r = np.abs(np.round(x[:, at : at + step] @ y / x.shape[2], 6))
-            limit = np.quantile(np.ascontiguousarray(r.transpose(1, 2, 0)), q, axis=2, overwrite_input=True)
+            r = np.round(x[:, at : at + step] @ y / x.shape[2], 6)
+            own = r[0]
+            limit = np.quantile(np.ascontiguousarray(np.abs(r[1:]).transpose(1, 2, 0)), q, axis=2, overwrite_input=True)
             one = np.repeat(a["node"].to_numpy()[at : at + step], len(b)).reshape(limit.shape)
             keep = one < ids if key[0] == key[1] else one != ids
+            keep = keep & (np.abs(own) > limit) if only_over else keep
             two = np.broadcast_to(ids, limit.shape)
-            found.append(pd.DataFrame({"i": np.minimum(one, two)[keep], "j": np.maximum(one, two)[keep], "limit": limit[keep]}))
-        return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "limit": []})
+            found.append(pd.DataFrame({"i": np.minimum(one, two)[keep], "j": np.maximum(one, two)[keep], "r": own[keep], "limit": limit[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "r": [], "limit": []})
 
-    return dealt.groupBy("p", "q").applyInPandas(limits, "i int, j int, limit double")
+    return dealt.groupBy("p", "q").applyInPandas(limits, "i int, j int, r double, limit double")
 
 
 def es_null(spark: SparkSession, counts: DataFrame, n_times: int, taumax: int, draws: int = 1000, levels: tuple[float, ...] = LEVELS, seed: int = 0, slices: int = 16) -> DataFrame:

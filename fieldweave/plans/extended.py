@@ -110,9 +110,7 @@ def iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def adj_iaaft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of all nodes whose correlation exceeds the 0.9 quantile of that of their 1000 surrogates."""
-    field = S.field_daily(spark, sf_dir)
-    limits = surrogate.iaaft_limits(field, 1000, 0.9)
-    return similarity.pearson_blocked(field).join(limits, ["i", "j"]).filter(F.abs("r") > F.col("limit")).select("i", "j", "r")
+    return surrogate.iaaft_limits(S.field_daily(spark, sf_dir), 1000, 0.9, only_over=True).select("i", "j", "r")
 
 
 @query()
