@@ -75,11 +75,24 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
+#: Characters whose shingles are hashed at once; hashing takes some ten times their bytes.
+AT_ONCE = 1 << 18
+
+
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted distinct shingles of each line."""
-    h, owner = shingles(lines)
-    order = np.argsort(owner, kind="stable")
-    return [distinct(x) for x in np.split(h[order], np.cumsum(np.bincount(owner, minlength=len(lines)))[:-1])] if lines else []
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) <= AT_ONCE):
+            size += len(lines[end])
+            end += 1
+        part = lines[at:end]
+        h, owner = shingles(part)
+        order = np.argsort(owner, kind="stable")
+        out += [distinct(x) for x in np.split(h[order], np.cumsum(np.bincount(owner, minlength=len(part)))[:-1])]
+        at = end
+    return out
 
 
 def line_classes(base: DataFrame) -> DataFrame:
