@@ -200,8 +200,7 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = network(spark, sf_dir)
-    return inference.nested_blocks(edges, nodes.select("node", (F.col("node") % 24).alias("grp")))
+    return inference.inferred_blocks(*network(spark, sf_dir))
 
 
 @query()

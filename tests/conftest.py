@@ -22,3 +22,22 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield ship(s)
     s.stop()
+
+
+@pytest.fixture(autouse=True, scope="session")
+def networks_once(spark):
+    """Many queries are asked of one network: it is multiplied once a session and read from its table afterwards."""
+    from fieldweave.operators import similarity
+    from fieldweave.operators.lineage import settle
+
+    plain, held = similarity.correlation_network, {}
+
+    def once(field, *args, **how):
+        key = (field.semanticHash(), repr(args), repr(sorted(how.items())))
+        if key not in held:
+            held[key] = settle(plain(field, *args, **how))
+        return held[key]
+
+    similarity.correlation_network = once
+    yield
+    similarity.correlation_network = plain

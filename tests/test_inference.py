@@ -98,6 +98,38 @@ def test_refined_communities(spark):
     assert parts(levels.filter(F.col("level") == top)) == {frozenset(k for k, g in enumerate(of) if g == x) for x in set(of)}
 
 
+def test_moves_are_what_they_change(spark):
+    """A move's change of the description, by the matrices before and after; and planted blocks are found from blocks that a hash dealt."""
+    nodes, edges, of = planted(spark)
+    start = nodes.select("node", (F.col("node") * 7 % 5).alias("grp"))
+    before = inference.description_length(inference._block_counts(edges, start, list(range(5))), 30)
+    after = inference.block_moves(edges, start, rounds=1)
+    assert inference.description_length(inference._block_counts(edges, after, list(range(5))), 30) < before
+    pairs = [(r["src"], r["dst"]) for r in edges.collect()]
+    for node in (0, 13, 22, 29):
+        own = [k * 7 % 5 for k in range(30)]
+
+        def matrix(groups):
+            m = np.zeros((5, 5))
+            for a, b in pairs:
+                m[groups[a], groups[b]] += 1
+            return m + m.T
+
+        c = np.zeros(5)
+        for a, b in pairs:
+            if a == node:
+                c[own[b]] += 1
+            if b == node:
+                c[own[a]] += 1
+        change = inference.move_changes(matrix(own), own[node], c)
+        for s in range(5):
+            moved = [s if k == node else g for k, g in enumerate(own)]
+            assert change[s] == pytest.approx(inference.description_length(matrix(moved), 30) - before, abs=1e-6)
+    levels = inference.inferred_blocks(nodes, edges, 8)
+    assert parts(levels.filter("level = 0")) == {frozenset(k for k, g in enumerate(of) if g == x) for x in set(of)}
+    assert levels.groupBy("level").count().filter("count <> 30").count() == 0
+
+
 def test_registered_communities(spark):
     """On the query's own network: the refined partition is not worse than the unrefined one, and no single move of a node improves it by much."""
     from fieldweave.plans import registry
