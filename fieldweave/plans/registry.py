@@ -541,7 +541,7 @@ def shuffle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import artefacts, dendrograms, densities, extended, fields, networks, places  # noqa: F401 - register the rest, which builds on this module
+    from . import artefacts, compared, dendrograms, densities, extended, fields, networks, places  # noqa: F401 - register the rest, which builds on this module
 
     return dict(_Q)
 
