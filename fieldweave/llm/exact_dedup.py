@@ -6,10 +6,12 @@ so other columns cannot clash."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import cut, dealt_join, maybe_broadcast, uncut
 
 #: The characters [\x20\x09-\x0D] that normalising deletes.
 BLANKS = " \t\n\x0b\f\r"
@@ -19,30 +21,38 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def content_hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     1. A narrow aggregate by hash (16 bytes, combined before the shuffle, so a hot text is one row per task) finds sizes and the row that stays.
     2. Only rows of groups of two or more then carry their text: least and greatest text of a hash are equal exactly if all bytes are.
-    3. Hashes whose bytes differ (collisions) are grouped once more by hash and text."""
+    3. Hashes whose bytes differ (collisions) are grouped once more by hash and text.
+    Rows of a hash with many copies are dealt to parts in the joins of 1 and 2."""
     base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("cp"))
-    rows = base.select("id", "cp", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
+    rows = base.select("id", "cp", digest(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
     first = F.struct(-F.col("cp"), F.col("id").isNull(), F.col("id"))
 
     def grouped(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("best")).select(*keys, "group_size", F.col("best.id").alias("keep_id"))
 
     groups = cut(grouped(rows, "h"))
-    many = groups.filter("group_size > 1").select("h")
-    n_many = many.count()
-    suspects = rows.join(maybe_broadcast(many, n_many), "h", "left_semi").groupBy("h").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("h")
+    sized = groups.withColumn("n", F.col("group_size"))
+    many = sized.filter("group_size > 1").select("h", "n")
+    suspects = dealt_join(rows.select("id", "cp", "h", "norm"), many, "h", ["id", "cp"], "left_semi").groupBy("h").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("h")
     collided = cut(suspects)
     n_collided = collided.count()
-    out = rows.drop("norm").join(groups, "h")
-    if n_collided:
+    plain = rows.drop("norm")
+    if not n_collided:
+        uncut(collided)
+        out = dealt_join(plain, sized, "h", ["id", "cp"])
+    else:
         clash = rows.join(maybe_broadcast(collided, n_collided), "h", "left_semi")
         apart = clash.join(grouped(clash, "h", "norm"), ["h", "norm"]).drop("norm")
-        out = rows.drop("norm").join(maybe_broadcast(collided, n_collided), "h", "left_anti").join(groups, "h").unionByName(apart)
+        out = dealt_join(plain.join(maybe_broadcast(collided, n_collided), "h", "left_anti"), sized, "h", ["id", "cp"]).unionByName(apart)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

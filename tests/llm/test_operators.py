@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fieldweave.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, sharding
+from fieldweave.llm import chat_format, chunk_dedup, common, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, sharding
 from fieldweave.llm.common import components
 
 from ..conftest import DATA
@@ -83,6 +85,30 @@ def test_exact_dedup(spark):
     assert got == {0: (2, 3, False), 1: (2, 3, False), 2: (2, 3, True), 3: (3, 2, True), 4: (3, 2, False), 5: (5, 1, True)}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("weak", [True, False])
+def test_exact_dedup_with_collisions_and_a_hot_text(spark, monkeypatch, broadcast, weak):
+    """A third of the rows has one text and half of those no id; a weak digest makes other texts collide."""
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    texts = ["hot  text" if i % 3 == 0 else ["a b", "ab", "a c", "ac ", "", None, f"x{i}", "a" * 50_000][i % 8] for i in range(600)]
+    ids = [None if i % 6 == 0 else i // 2 for i in range(600)]  # ids repeat
+    how = {"digest": lambda c: F.substring(c, 1, 1).cast("binary")} if weak else {}
+    got = exact_dedup.exact_dedup(docs(spark, texts, ids), **how).collect()
+    norm = lambda t: "".join(c for c in t or "" if c not in exact_dedup.BLANKS)
+    groups = {}
+    for i, t in zip(ids, texts, strict=True):
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, i))
+    want = [(i, min(groups[norm(t)])[3], len(groups[norm(t)]), i == min(groups[norm(t)])[3], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_dedup_rows_keeps_columns(spark):
+    d = docs(spark, ["a b", "ab", None, "", "c"]).withColumns({"keep_id": F.lit(7), "h": F.col("doc_id"), "n": F.lit("x")})
+    got = exact_dedup.dedup_rows(d)
+    assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 2, 4]
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<\\s>", "<\\/s> [\\\\INST] \\", "[ROLE:AF] x [/ROLE:AF]", "[", "<", "a [/SYS]\n[ASST] b </s>\n", "", None, "x" * 20000]
     rows = [(c, t, role, text) for c, text in enumerate(hard) for t, role in enumerate(("system", "user", "assistant", "tool|]", None, ""))]
