@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -189,6 +190,22 @@ def target_counts(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return _counts(out_edges(edges, ids), "dst", "n")
 
 
+class RegionLinks(NamedTuple):
+    """Edges from a region, its nodes, the nodes that the edges lead to, and how many ends of the edges each node is."""
+
+    edges: DataFrame
+    sources: DataFrame
+    targets: DataFrame
+    counts: DataFrame
+
+
+def region_links(nodes: DataFrame, edges: DataFrame, lons: tuple[float, float], lats: tuple[float, float], attr: str | None = None, q: float | None = None, dateline: bool = False, binary: bool = False) -> RegionLinks:
+    """All that leaves a box; with an attribute and a quantile, of the edges that lie in that quantile of the whole network."""
+    ids = nodes.filter(in_box(F.col("lon"), F.col("lat"), lons, lats, dateline)).select("node")
+    own = out_edges(edges if attr is None or q is None else edges_quantile(edges, attr, q), ids)
+    return RegionLinks(own, ids, own.select(F.col("dst").alias("node")).distinct(), endpoint_counts(own, binary))
+
+
 def between_regions(edges: DataFrame, r1: DataFrame, r2: DataFrame) -> DataFrame:
     return intersect(out_edges(edges, r1), out_edges(edges, r2))
 

@@ -63,3 +63,9 @@ def main_group_share(groups: DataFrame, ids: DataFrame) -> DataFrame:
 def sure_nodes(prob: DataFrame, over: float = 0.95) -> DataFrame:
     """(node, mean) of the nodes whose probability is over the limit."""
     return prob.filter(F.col("mean") > over).select("node", "mean")
+
+
+def sure_at(prob: DataFrame, limits: tuple[float, ...]) -> DataFrame:
+    """(limit, node, mean): the nodes over each of several limits, all in one pass."""
+    each = F.explode(F.array(*map(F.lit, limits))).alias("limit")
+    return prob.select(each, "node", "mean").filter(F.col("mean") > F.col("limit"))

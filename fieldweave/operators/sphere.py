@@ -134,7 +134,7 @@ def without_outliers(points: DataFrame, region: DataFrame, width: float, cut: fl
 def densities(points: DataFrame, members: DataFrame, keys: list[str], width: float, cut: float = 6.0) -> DataFrame:
     """(keys, node, density) of many sets of nodes (keys, node) at every point, each over its own greatest value. Which points are near which is found once for all sets: the pairs depend on the grid alone."""
     places = points.select(F.col("node").alias("q"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    near = settle(within(points.select("node", "lon", "lat"), places, min(cut * width, math.pi)).select("q", "node", F.exp(-F.pow(F.col("d") / width, 2) / 2).alias("k")))
-    sums = members.select(*keys, F.col("node").alias("q")).distinct().join(near, "q").groupBy(*keys, "node").agg(F.sum("k").alias("x"))
-    top = sums.groupBy(*keys).agg(F.max("x").alias("top"))
-    return sums.join(top, keys).select(*keys, "node", (F.col("x") / F.col("top")).alias("density"))
+    near = settle(within(points.select("node", "lon", "lat"), places, min(cut * width, math.pi)).select(F.col("q").alias("__q"), "node", F.exp(-F.pow(F.col("d") / width, 2) / 2).alias("__k")))
+    sums = members.select(*keys, F.col("node").alias("__q")).distinct().join(near, "__q").groupBy(*keys, "node").agg(F.sum("__k").alias("__x"))
+    top = sums.groupBy(*keys).agg(F.max("__x").alias("__top"))
+    return sums.join(top, keys).select(*keys, "node", (F.col("__x") / F.col("__top")).alias("density"))

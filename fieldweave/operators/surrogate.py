@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .field import shuffled
+from .field import rolling_mean, shuffled
 from .lineage import settle
 from .similarity import event_sync
 
@@ -195,6 +195,21 @@ def local_maxima(series: DataFrame, q: float) -> DataFrame:
     return s.join(F.broadcast(limit), F.lit(True)).filter("v > before AND v > after AND v > limit").select("t", "v")
 
 
+def sync_times(a: DataFrame, b: DataFrame, times: DataFrame, taumax: int, q: float = 0.99, cutoff: float | None = None, mean_of: int | None = None) -> DataFrame:
+    """(way, t, v, peak) of two regions' events (node, t) at all times (t), both ways: `a_after_b` counts events of a that follow one of b, `b_after_a` the reverse. The series may be low-pass filtered (cutoff as in
+    low_pass; 0.475 leaves out what repeats within about four steps) and then averaged over the last times. A peak is above both neighbours and above the way's quantile, at nine places."""
+    both = sync_series(a, b, taumax).withColumn("way", F.lit("a_after_b")).unionByName(sync_series(b, a, taumax).withColumn("way", F.lit("b_after_a")))
+    every = times.select("t").distinct().withColumn("way", F.explode(F.array(F.lit("a_after_b"), F.lit("b_after_a"))))
+    s = every.join(both, ["way", "t"], "left").select("way", "t", F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+    s = s if cutoff is None else low_pass(s, "way", cutoff)
+    s = s if mean_of is None else rolling_mean(s.withColumnRenamed("way", "node"), mean_of).withColumnRenamed("node", "way")
+    w = Window.partitionBy("way").orderBy("t")
+    s = s.withColumn("v", F.round("v", 9)).withColumns({"before": F.lag("v").over(w), "after": F.lead("v").over(w)})
+    limit = s.groupBy("way").agg(F.round(F.percentile("v", q), 9).alias("limit"))
+    peak = (F.col("v") > F.col("before")) & (F.col("v") > F.col("after")) & (F.col("v") > F.col("limit"))
+    return s.join(F.broadcast(limit), "way").select("way", "t", "v", F.coalesce(peak, F.lit(False)).alias("peak"))
+
+
 def chebyshev_sections(cutoff: float, order: int = 8, ripple: float = 0.05) -> list[tuple[np.ndarray, np.ndarray]]:
     """Second-order sections (b, a) of a type I low-pass: analogue poles on an ellipse, mapped by the bilinear transform. cutoff is a fraction of half the sampling rate; order is even."""
     e = np.sqrt(10 ** (ripple / 10) - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def read_meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.schema("meta string").json(path.rstrip("/") + ".meta").first()[0])
 
 
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The parquet table at path if it has been written whole, else what `make` gives, written there first: the preparation of a large field is done once."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)  # what a lost run left behind is replaced
+    return spark.read.parquet(path)
+
+
 def dense_ids(df: DataFrame, key: str, name: str = "node") -> DataFrame:
     """Dense numbers 0..n-1 of distinct keys in order. The keys are grid points, a bounded table."""
     return df.select(key).distinct().withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
