@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bounds import bitmap
-from .common import cut, maybe_broadcast, slices, uncut
+from .common import cut, dealt_join, maybe_broadcast, slices, uncut
 from .linkage import link
 from .words import distinct
 
@@ -155,12 +155,14 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     roots = link(banded, marks, lambda wanted: held[0].join(wanted.select("cid", "key"), "cid").select("key", "cid", "x"), lambda t: shingle_sets(t["x"].to_pylist()), percent, block)
     uncut(*held)
-    linked = classes.select("digest", "id", "line", "cid").join(roots, F.col("cid") == F.col("node"))
-    keeper = linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
-    near = linked.join(keeper, "root").select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"))
-    equal = classes.filter("times > 1").join(roots, F.col("cid") == F.col("node"), "left_anti").select("digest", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"))
+    linked = classes.select("digest", "id", "line", "times", "cid").join(roots, F.col("cid") == F.col("node"))
+    keeper = cut(linked.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"), F.count(F.lit(1)).alias("n")))
+    near = dealt_join(linked, keeper, "root", ["cid"]).select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"), F.col("times").alias("n"))
+    equal = classes.filter("times > 1").join(roots, F.col("cid") == F.col("node"), "left_anti").select("digest", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"), F.col("times").alias("n"))
+    # n is how many lines have the digest: a line of a third of all documents, or a component of as many lines, is dealt to parts.
     rule = cut(near.union(equal))
-    gone = lines.select("id", "line", "digest").join(maybe_broadcast(rule), "digest").filter("id <> keep_id OR line <> keep_line")
+    uncut(keeper)
+    gone = dealt_join(lines.select("id", "line", "digest"), rule, "digest", ["id", "line"]).filter("id <> keep_id OR line <> keep_line")
     none = F.lit(None).cast("int")
     parts = base.select("id", none.alias("line"), none.alias("gone")).union(lines.select("id", "line", none)).union(gone.select("id", none, "line"))
     per = parts.groupBy("id").agg(F.size(F.collect_set("line")).cast("long").alias("n_lines"), F.array_sort(F.collect_set("gone")).alias("removed"))

@@ -235,7 +235,11 @@ def test_rebalance_edits_only():
     assert sharding.SlotMap.from_json(two.to_json()) == two
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_dedup_brute_force(spark, monkeypatch, broadcast):
+    """Half of the documents hold one line, and near copies of it; joins by digest and root deal it where nothing is broadcast."""
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
     base = [" ".join(word() for _ in range(20)) for _ in range(6)]
@@ -245,6 +249,7 @@ def test_line_dedup_brute_force(spark):
         w[r.randrange(20)] = word()
         lines += [b, " ".join(w), b + ".", " ".join(word() for _ in range(20)), "short"]
     texts = ["\n".join([lines[i], "", lines[(i * 7 + 3) % len(lines)]]) for i in range(len(lines))] + [None, "", "\n\n"]
+    texts = [t if t is None or i % 2 else t + "\n" + base[0][: 110 + i % 3] for i, t in enumerate(texts)]
     flat = sorted({(i, k, x.strip()) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.strip()})
     sets = [{x.lower()[i : i + 8] for i in range(max(len(x) - 7, 1))} for _, _, x in flat]
     links = [(i, j) for i in range(len(flat)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
@@ -256,7 +261,7 @@ def test_line_dedup_brute_force(spark):
     found = line_dedup.line_dedup(docs(spark, texts))
     assert {x["doc_id"]: set(x["removed"]) for x in found.collect()} == want
     clean = {x["doc_id"]: x["text"] for x in line_dedup.cleaned(docs(spark, texts), found).collect()}
-    assert clean[0] == texts[0] and len(clean[1].split("\n")) == 3 - len(want[1])
+    assert clean[0].split("\n") == [x for k, x in enumerate(texts[0].split("\n")) if k not in want[0]] and len(clean[1].split("\n")) == 3 - len(want[1])
 
 
 def test_repeated_passages(spark):
