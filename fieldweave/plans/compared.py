@@ -86,10 +86,10 @@ def es_sync_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(surrogate.sync_times(*_halves(spark, sf_dir), 3, 0.9, mean_of=3), "v")
 
 
-@query(BASE + ", w AS (SELECT node, t, CASE WHEN month(t) >= 11 OR month(t) <= 2 THEN v ELSE 0 END v FROM f), qs AS (SELECT node, quantile_cont(v, 0.8) q FROM w WHERE v >= 1 GROUP BY node) SELECT w.node::INT node, t, CASE WHEN v > q AND v >= 15 THEN 1 ELSE 0 END event FROM w LEFT JOIN qs ON w.node = qs.node")
+@query(BASE + ", w AS (SELECT node, t, CASE WHEN month(t) >= 11 OR month(t) <= 2 THEN v ELSE 0 END v FROM m), qs AS (SELECT node, quantile_cont(v, 0.8) q FROM w WHERE v >= 1 GROUP BY node) SELECT w.node::INT node, t, CASE WHEN v > q AND v >= 15 THEN 1 ELSE 0 END event FROM w LEFT JOIN qs ON w.node = qs.node")
 def events_month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a season over the year's end: all days stay, those outside count as zero."""
-    return T.events(T.month_window(S.field_daily(spark, sf_dir), 11, 2), 0.8)
+    """Events of a season over the year's end: all months stay, those outside count as zero."""
+    return T.events(T.month_window(S.field_monthly(spark, sf_dir), 11, 2), 0.8)
 
 
 @query(BASE + f", x AS (SELECT * FROM g WHERE src IN ({R2}) AND weight >= (SELECT quantile_cont(weight, 0.6) FROM g)), c AS (SELECT node, count(*) n FROM (SELECT unnest([src, dst]) node FROM x) GROUP BY node) SELECT p.node::INT node, p.node IN ({R2}) source, p.node IN (SELECT dst FROM x) target, coalesce(n, 0) n FROM pts p LEFT JOIN c ON c.node = p.node")
