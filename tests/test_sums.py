@@ -24,3 +24,19 @@ def test_halves_are_those_of_the_double(spark):
     assert mine == [c_round(v) for v in x]
     assert 0.20325 * 1e4 < 2032.5 and mine[0] == 0.2032
     assert spark.range(1).select(half_up(F.lit(None).cast("double"), 4).alias("x")).first()[0] is None
+
+
+def test_block_products_come_in_strips(spark, monkeypatch):
+    """A product of two large blocks is never whole in a task: it comes in strips, which give all pairs once."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldweave.operators import similarity
+
+    monkeypatch.setattr(similarity, "STRIP", 700)
+    n, z = 120, np.random.RandomState(0).randn(120, 9)
+    for blocks, pairs in (((0, 0), n * (n - 1) // 2), ((0, 1), (n // 2) ** 2)):
+        pdf = pd.DataFrame({"block": 0 if blocks == (0, 0) else np.arange(n) % 2, "node": np.arange(n), "ts": [np.arange(9)] * n, "zs": list(z)})
+        strips = list(similarity._strips(blocks, iter([pdf[:50], pdf[50:]])))
+        assert len(strips) > 4 and max(r.size for _, _, r, _ in strips) <= 700
+        assert sum(int(own.sum()) for *_, own in strips) == pairs
