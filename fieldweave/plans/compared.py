@@ -13,7 +13,7 @@ from ..operators import graph as G
 from ..operators import runs as R
 from ..operators.lineage import folder
 from ..sources import tables as S
-from .registry import BASE, EV, LEN, R2, hav, network, points, query, rounded
+from .registry import BASE, EV, LEN, R2, hav, network, points, query, rounded, streamed
 
 #: Groups of four runs by rule; runs 3 and 4 have a level more.
 RUNS = BASE + ", lv AS (SELECT run, level, node, (node // run) % (9 // (level + 1)) grp FROM pts, range(1, 5) r(run), range(4) l(level) WHERE level < 3 OR run > 2), up AS (SELECT run, node, grp, (max(level) OVER (PARTITION BY run) - level)::INT up FROM lv) "
@@ -36,7 +36,7 @@ nr AS (SELECT place, up, count(DISTINCT run) runs FROM mem GROUP BY ALL)
 SELECT place, up, node::INT node, round(sum(density) / runs, 7) + 0.0 mean, round(sqrt(greatest(sum(density * density) / runs - pow(sum(density) / runs, 2), 0)), 5) + 0.0 std, runs FROM de JOIN nr USING (place, up) GROUP BY place, up, node, runs""")
 def runs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the groups of five places lie in four runs, at the two highest levels: mean and spread of their densities."""
-    nodes, edges = network(spark, sf_dir)
+    nodes, edges = streamed(spark, sf_dir)
     places = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("place"), (F.col("n_nationkey") * 14.0 - 180).alias("lon"), (F.col("n_nationkey") * 5.0 - 60).alias("lat"))
     width = R.scott_width(nodes.count(), edges.count(), 0.25)
     return rounded(rounded(R.compared(nodes, _runs(spark, sf_dir), places, 2, width), "mean", places=7), "std", places=5)
