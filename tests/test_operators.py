@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fieldweave.functions import geo
 from fieldweave.operators import community as C
@@ -68,6 +70,30 @@ def test_betweenness_by_counting_paths(spark):
     assert {(r["s"], r["v"]): (r["hops"], int(r["paths"])) for r in paths.distances(n, e).collect()} == {k: (len(p[0]) - 1, len(p)) for k, p in every.items()}
 
 
+def test_betweenness_of_a_dense_network_needs_no_rows_of_paths(spark, monkeypatch):
+    """The lists in tasks, cut in pieces and strips, give what joins give; steps of paths were rows of joins before."""
+    from fieldweave.operators.lineage import settle
+
+    rng = np.random.RandomState(3)
+    a = np.argwhere((rng.random_sample((60, 60)) < 0.15) & ~np.eye(60, dtype=bool))
+    n, e = nodes_of(spark, 60), edges_of(spark, [(int(x), int(y)) for x, y in a if x > 1]).repartition(3)  # two nodes that lead nowhere
+    monkeypatch.setattr(paths, "PIECE", 90)
+    joined = settle(paths.edge_shares(n, e.select("src", "dst")))
+    monkeypatch.setattr(paths, "frontiers", None)  # what joins start with
+    for rows in (paths.BLOCK_ROWS, 700):
+        over = {(r[0], r[1]): r[2] for r in paths.edge_betweenness(n, e, rows).collect()}
+        assert len(over) == e.count()
+        assert over == pytest.approx({(r["src"], r["dst"]): r["share"] / (60 * 59) for r in joined.collect()}, abs=2e-9)
+        through = {r["src"]: r["b"] for r in joined.groupBy("src").agg(F.sum("through").alias("b")).collect()}
+        assert {r[0]: r[1] for r in paths.betweenness(n, e, rows).collect()} == pytest.approx({k: through.get(k, 0.0) / (59 * 58) for k in range(60)}, abs=2e-9)
+    src, count = np.unique(a[:, 0].astype(np.int32), return_counts=True)
+    piece = pd.DataFrame({"piece": [0], "src": [src.tobytes()], "count": [count.astype(np.int32).tobytes()], "dst": [a[:, 1].astype(np.int32).tobytes()]})
+    whole = paths._brandes(paths._Lists(piece, 60), np.arange(60), 60, True)
+    monkeypatch.setattr(paths, "STRIP", 400)
+    cut = paths._brandes(paths._Lists(piece, 60), np.arange(60), 60, True)
+    assert cut[0] == pytest.approx(whole[0]) and cut[1][0] == pytest.approx(whole[1][0])
+
+
 def test_one_way_prunes_to_nothing(spark):
     n, e = G.prune(nodes_of(spark, 3), edges_of(spark, [(0, 1), (1, 2)]))
     assert n.count() == 0 and e.count() == 0
