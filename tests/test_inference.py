@@ -261,6 +261,27 @@ def test_merges_are_those_of_brute_force(method):
     assert K.merges(x, method)[:, 2] == pytest.approx(sorted(brute_merges(x, method)))
 
 
+def test_merges_in_rounds_are_those_of_one_table(spark, monkeypatch):
+    """More rows than are held at once were refused."""
+    x = np.random.RandomState(2).normal(size=(300, 2))
+    x[7] = x[90] = x[3]  # equal rows
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, x double, y double").repartition(3)
+    whole = sorted(map(tuple, K.linkage(p, ["x", "y"]).collect()))
+    monkeypatch.setattr(K, "MOST_ROWS", 20)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 30)
+    z = sorted(map(tuple, K.linkage(p, ["x", "y"]).collect()))
+    assert [r[0] for r in z] == list(range(300, 599)) and [r[3] for r in z] == pytest.approx([r[3] for r in whole])
+
+    def groups(rows):
+        under = {i: frozenset([i]) for i in range(300)}
+        for k, a, b, _, n in rows:
+            under[k] = under[a] | under[b]
+            assert len(under[k]) == n and a < b
+        return {g for g in under.values() if not g & {3, 7, 90} or len(g) > 2}
+
+    assert groups(z) == groups(whole)
+
+
 def test_tree_of_merges(spark):
     p = spark.createDataFrame([(0, 0.0), (1, 0.1), (2, 5.0), (3, 5.1), (4, 20.0)], "id int, x double")
     z = K.linkage(p, ["x"])
