@@ -101,6 +101,26 @@ def test_trees(spark, levels):
         assert [r["id"] for r in trees.split_point(t, table2, miss, share, 1).collect()] == ([] if want is None else [want])
 
 
+def test_ways_and_counts_meet_no_chain_of_merges(spark, monkeypatch):
+    """Two groups of 200: a leaf has 100 merges above it on average, which were rows of a join."""
+    n = 400
+    table = spark.range(n).selectExpr("0 level", "cast(id as int) node", "cast(id % 2 as int) grp").union(spark.range(n).selectExpr("1", "cast(id as int)", "0"))
+    t, some = trees.level_tree(table), spark.range(n).selectExpr("cast(id as int) node")
+    monkeypatch.setattr(trees, "STRETCH", 7)
+    seen, plain = [], trees.covering
+
+    def counted(points, tree):
+        out = plain(points, tree)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "covering", counted)
+    assert trees.forward_path(t, some).count() == 3 * n and seen == [3 * n]
+    few = spark.createDataFrame([(3,), (3,), (4,), (398,)], "node int")
+    want = {r["id"]: r["chosen"] for r in plain(t.filter("level = 0").join(few.withColumnRenamed("node", "id"), "id").selectExpr("pre at"), t.select("id", "pre", "last")).groupBy("id").count().withColumnRenamed("count", "chosen").collect()}
+    assert {r["id"]: r["chosen"] for r in trees.chosen_under(t, few).collect()} == want and len(seen) == 1
+
+
 def test_chosen_levels(spark):
     table = spark.createDataFrame([(lv, node, g) for lv, gs in enumerate(nested(9)) for node, g in enumerate(gs)], "level int, node int, grp int")
     got = {(r["level"], r["node"]): r["grp"] for r in trees.chosen_levels(table, spark.createDataFrame([(2,), (7,), (8,)], "node int")).collect()}
