@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import undirected
+from . import closed
+from .graph import SPREAD_NODES, undirected
+from .lineage import drop, settle
+
+
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """(node, pieces): a row a node that has links, whichever way its edges go, with pieces (first, gaps) of its list of neighbours, which may overlap; written. Passes over a network then read two bytes a
+    link each way, where numbers lie close, and shuffle none; edges are gone over once."""
+    return settle(closed.packed(edges.select("src", "dst")).groupBy("node").agg(F.collect_list(F.struct("first", "gaps")).alias("pieces")))
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): each node takes its neighbours' most frequent label, the smallest of equals, for a fixed number of synchronous rounds."""
+    """(node, label): each node takes its neighbours' most frequent label, the smallest of equals, for a fixed number of synchronous rounds.
+
+    Lists of neighbours are written once; a round gives the labels, two numbers a node, to every task and counts votes where the lists lie. With more than SPREAD_NODES nodes votes are joins."""
+    labels = settle(nodes.select("node", F.col("node").alias("label")))
+    if labels.count() > SPREAD_NODES:
+        return _propagated_by_joins(labels, edges, rounds)
+    kind, lists = nodes.schema["node"].dataType.simpleString(), neighbour_lists(edges)
+    for _ in range(rounds):
+        now = labels.toPandas().sort_values("node")
+        held = labels.sparkSession.sparkContext.broadcast((now["node"].to_numpy(np.int64), now["label"].to_numpy(np.int64)))
+
+        def vote(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            known, label = held.value
+            for b in batches:
+                node, best = [], []
+                for n, pieces in zip(b["node"].tolist(), b["pieces"], strict=True):
+                    ids = np.unique(np.concatenate([np.cumsum(np.concatenate(([p["first"]], p["gaps"])), dtype=np.int64) for p in pieces]))
+                    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                    votes = label[at[known[at] == ids]]
+                    if len(votes):
+                        values, count = np.unique(votes, return_counts=True)
+                        node.append(n)
+                        best.append(values[count.argmax()])
+                yield pd.DataFrame({"node": node, "next": best})
+
+        last, labels = labels, settle(labels.join(lists.mapInPandas(vote, f"node {kind}, next {kind}"), "node", "left").select("node", F.coalesce("next", "label").alias("label")))
+        drop(last)
+        held.unpersist()
+    return labels
+
+
+def _propagated_by_joins(labels: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     u = undirected(edges)
     both = u.union(u.select(F.col("dst"), F.col("src")))
-    labels = nodes.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("n"), F.col("label").alias("label"))).alias("x")).select("node", F.col("x.label").alias("next"))

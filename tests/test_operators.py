@@ -94,6 +94,18 @@ def test_betweenness_of_a_dense_network_needs_no_rows_of_paths(spark, monkeypatc
     assert cut[0] == pytest.approx(whole[0]) and cut[1][0] == pytest.approx(whole[1][0])
 
 
+def test_labels_spread_by_lists_as_by_joins(spark, monkeypatch):
+    """Directed edges, some twice, far numbers, a neighbour that is no node and a node without links; edges were gone over and shuffled in each round before."""
+    rng = np.random.RandomState(4)
+    ids = np.cumsum(rng.randint(1, 60_000, 40))
+    a = [(int(ids[x]), int(ids[y])) for x, y in np.argwhere(rng.random_sample((40, 40)) < 0.08) if 39 not in (x, y)]
+    e = edges_of(spark, [*a, *a[:9], (int(ids[3]), int(ids[3])), (int(ids[0]), 7)]).repartition(3)
+    n = spark.createDataFrame([(int(i),) for i in ids], "node int")
+    want = sorted(map(tuple, C._propagated_by_joins(n.selectExpr("node", "node label"), e, 5).collect()))
+    monkeypatch.setattr(C, "undirected", None)  # what joins start with
+    assert sorted(map(tuple, C.label_propagation(n, e).collect())) == want and len({r[1] for r in want}) > 1
+
+
 def test_one_way_prunes_to_nothing(spark):
     n, e = G.prune(nodes_of(spark, 3), edges_of(spark, [(0, 1), (1, 2)]))
     assert n.count() == 0 and e.count() == 0
