@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,8 @@ from .lineage import drop, settle
 
 #: Points that a point should find in its own cell at most, on average, where searching begins.
 CROWD = 8
+#: For densities: points of a cell on average at least, points that a task has at most, about, and pairs that it holds at once.
+CELL_POINTS, PART_POINTS, PAIRS = 256, 8192, 1_000_000
 
 Coordinates = Callable[[Column, Column], tuple[Column, ...]]
 
@@ -113,15 +117,50 @@ def bandwidth(points: DataFrame, neighbours: int = 1) -> float:
     return neighbours * (k_nearest(points, q, others=True).agg(F.max("d")).first()[0] or 0.0)
 
 
+def _kernel(p: np.ndarray, q: np.ndarray, weight: np.ndarray, width: float, radius: float) -> np.ndarray:
+    """At each of the unit vectors p, the sum of weights at q under the kernel; arcs over the radius do not count. A strip of pairs at a time."""
+    out, most = np.empty(len(p)), math.sin(radius / 2) ** 2
+    for at in range(0, len(p), step := max(1, PAIRS // max(1, len(q)))):
+        h = np.zeros((len(p[at : at + step]), len(q)))
+        for k in range(3):
+            d = p[at : at + step, k][:, None] - q[:, k]
+            h += np.multiply(d, d, out=d)
+        h = np.minimum(1.0, np.divide(h, 4, out=h), out=h)
+        far = h > most
+        x = np.arcsin(np.sqrt(h, out=h), out=h)
+        x = np.exp(np.multiply(np.multiply(x, x, out=x), -2 / width**2, out=x), out=x)
+        x[far] = 0
+        out[at : at + step] = x @ weight
+    return out
+
+
 def density(points: DataFrame, weights: DataFrame, width: float, cut: float = 6.0) -> DataFrame:
     """(node, density) at every point: the sum of weights (node, weight) under a Gaussian kernel of great circles, over the sum of all weights. The kernel ends at `cut` widths, where it is below 2e-8 of
-    its peak at the default, so a weight reaches the points around it alone; weights combine before the shuffle."""
-    own = points.select("node", "lon", "lat").join(weights.filter("weight <> 0").select("node", "weight"), "node")
-    sources = own.select(F.col("node").alias("q"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"), "weight")
-    near = within(points.select("node", "lon", "lat"), sources, min(cut * width, math.pi))
+    its peak at the default, so a weight reaches the points around it alone.
+
+    Pairs of points are never rows: a task gets some points of a cell and the weights of the cells around it, and puts out a sum a point. Crowded cells are dealt in parts."""
+    radius = min(cut * width, math.pi)
+    here = points.select("node", "lon", "lat").filter("lon IS NOT NULL AND lat IS NOT NULL")
+    own = here.join(weights.filter("weight <> 0").select("node", F.col("weight").cast("double").alias("weight")), "node")
+    p, names = _placed(here, "lon", "lat", _space, "p")
+    w, wnames = _placed(own, "lon", "lat", _space, "p")
+    p, w, cells = settle(p.select("node", *names)), settle(w.select("weight", *wnames)), [f"c{i}" for i in range(3)]
+    # No narrower than the radius, and with some points to a cell.
+    step = max(2 * math.sin(radius / 2) * (1 + 1e-9), math.sqrt(4 * math.pi * CELL_POINTS / max(1, p.count())))
+    crowd = _cells(p, names, step).groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-crowd // PART_POINTS))
+    ends = [(math.floor(-1 / step) - 1, math.floor(1 / step) + 1)] * 3
+    x = _cells(p, names, step).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    y = _around(w, wnames, step).filter(" AND ".join(f"{c} BETWEEN {a} AND {b}" for c, (a, b) in zip(cells, ends, strict=True))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    kind = dict(p.dtypes)["node"]
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = _kernel(a[[*names]].to_numpy(), b[[*wnames]].to_numpy(), b["weight"].to_numpy(), width, radius) if len(a) and len(b) else np.zeros(len(a))
+        return pd.DataFrame({"node": a["node"], "x": found})
+
+    found = x.groupBy(*cells, "part").cogroup(y.groupBy(*cells, "part")).applyInPandas(sums, f"node {kind}, x double")
     total = weights.agg(F.sum("weight").alias("__total"))
-    sums = near.groupBy("node").agg(F.sum(F.col("weight") * F.exp(-F.pow(F.col("d") / width, 2) / 2)).alias("x"))
-    return points.select("node").join(sums, "node", "left").join(F.broadcast(total)).select("node", F.coalesce(F.try_divide(F.col("x"), F.col("__total")), F.lit(0.0)).alias("density"))
+    return points.select("node").join(found, "node", "left").join(F.broadcast(total)).select("node", F.coalesce(F.try_divide(F.col("x"), F.col("__total")), F.lit(0.0)).alias("density"))
 
 
 def without_outliers(points: DataFrame, region: DataFrame, width: float, cut: float = 6.0) -> DataFrame:

@@ -62,6 +62,23 @@ def test_within_and_density(spark):
     assert [dense[k] for k in range(len(x))] == pytest.approx(want.tolist(), abs=1e-9)
 
 
+def test_density_in_parts_without_rows_of_pairs(spark, monkeypatch):
+    x = uneven()
+    near = arcs(x, x) <= 0.3
+    want = np.where(near, np.exp(-((arcs(x, x) / 0.05) ** 2) / 2), 0).mean(1)
+
+    def rows(*_):
+        raise AssertionError("pairs are rows")
+
+    monkeypatch.setattr(sphere, "within", rows)
+    monkeypatch.setattr(sphere, "PART_POINTS", 40)
+    for least in (1, 1000):
+        monkeypatch.setattr(sphere, "CELL_POINTS", least)
+        points = table(spark, x, P)
+        dense = {r["node"]: r["density"] for r in sphere.density(points, points.selectExpr("node", "1D weight"), 0.05).collect()}
+        assert [dense[k] for k in range(len(x))] == pytest.approx(want.tolist(), abs=1e-12)
+
+
 def test_outliers_fall_out(spark):
     x = uneven()
     region = spark.createDataFrame([(k,) for k in [*range(150, 300), 3]], "node int")
