@@ -117,49 +117,62 @@ def bandwidth(points: DataFrame, neighbours: int = 1) -> float:
     return neighbours * (k_nearest(points, q, others=True).agg(F.max("d")).first()[0] or 0.0)
 
 
-def _kernel(p: np.ndarray, q: np.ndarray, weight: np.ndarray, width: float, radius: float) -> np.ndarray:
-    """At each of the unit vectors p, the sum of weights at q under the kernel; arcs over the radius do not count. A strip of pairs at a time."""
-    out, most = np.empty(len(p)), math.sin(radius / 2) ** 2
-    for at in range(0, len(p), step := max(1, PAIRS // max(1, len(q)))):
-        h = np.zeros((len(p[at : at + step]), len(q)))
-        for k in range(3):
-            d = p[at : at + step, k][:, None] - q[:, k]
-            h += np.multiply(d, d, out=d)
-        h = np.minimum(1.0, np.divide(h, 4, out=h), out=h)
-        far = h > most
-        x = np.arcsin(np.sqrt(h, out=h), out=h)
-        x = np.exp(np.multiply(np.multiply(x, x, out=x), -2 / width**2, out=x), out=x)
-        x[far] = 0
-        out[at : at + step] = x @ weight
-    return out
-
-
-def density(points: DataFrame, weights: DataFrame, width: float, cut: float = 6.0) -> DataFrame:
-    """(node, density) at every point: the sum of weights (node, weight) under a Gaussian kernel of great circles, over the sum of all weights. The kernel ends at `cut` widths, where it is below 2e-8 of
-    its peak at the default, so a weight reaches the points around it alone.
-
-    Pairs of points are never rows: a task gets some points of a cell and the weights of the cells around it, and puts out a sum a point. Crowded cells are dealt in parts."""
-    radius = min(cut * width, math.pi)
-    here = points.select("node", "lon", "lat").filter("lon IS NOT NULL AND lat IS NOT NULL")
-    own = here.join(weights.filter("weight <> 0").select("node", F.col("weight").cast("double").alias("weight")), "node")
-    p, names = _placed(here, "lon", "lat", _space, "p")
-    w, wnames = _placed(own, "lon", "lat", _space, "p")
-    p, w, cells = settle(p.select("node", *names)), settle(w.select("weight", *wnames)), [f"c{i}" for i in range(3)]
+def _kernel(p: np.ndarray, q: np.ndarray, width: float, radius: float) -> np.ndarray:
+    """The kernel between unit vectors p and q; 0 where the arc is over the radius."""
+    h = np.zeros((len(p), len(q)))
+    for k in range(3):
+        d = p[:, k][:, None] - q[:, k]
+        h += np.multiply(d, d, out=d)
+    h = np.minimum(1.0, np.divide(h, 4, out=h), out=h)
+    far = h > math.sin(radius / 2) ** 2
+    x = np.arcsin(np.sqrt(h, out=h), out=h)
+    x = np.exp(np.multiply(np.multiply(x, x, out=x), -2 / width**2, out=x), out=x)
+    x[far] = 0
+    return x
+
+
+def _summed(points: DataFrame, sources: DataFrame, width: float, radius: float) -> DataFrame:
+    """(node, set, x > 0): at the points (node, lon, lat), the sums of each set's weights under a Gaussian kernel that ends at the radius. sources: (lon, lat, sets array<int>, weights array<double>), a row a place.
+
+    Pairs of points are never rows: a task gets some points of a cell and the sources of the cells around it, and puts out sums. Crowded cells are dealt in parts."""
+    there = "lon IS NOT NULL AND lat IS NOT NULL"
+    p, names = _placed(points.select("node", "lon", "lat").filter(there), "lon", "lat", _space, "p")
+    w, wnames = _placed(sources.filter(there), "lon", "lat", _space, "p")
+    p, w, cells = settle(p.select("node", *names)), settle(w.select("sets", "weights", *wnames)), [f"c{i}" for i in range(3)]
     # No narrower than the radius, and with some points to a cell.
     step = max(2 * math.sin(radius / 2) * (1 + 1e-9), math.sqrt(4 * math.pi * CELL_POINTS / max(1, p.count())))
     crowd = _cells(p, names, step).groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     parts = max(1, -(-crowd // PART_POINTS))
-    ends = [(math.floor(-1 / step) - 1, math.floor(1 / step) + 1)] * 3
+    ends = math.floor(-1 / step) - 1, math.floor(1 / step) + 1
     x = _cells(p, names, step).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-    y = _around(w, wnames, step).filter(" AND ".join(f"{c} BETWEEN {a} AND {b}" for c, (a, b) in zip(cells, ends, strict=True))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    kind = dict(p.dtypes)["node"]
+    y = _around(w, wnames, step).filter(" AND ".join(f"{c} BETWEEN {ends[0]} AND {ends[1]}" for c in cells)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = _kernel(a[[*names]].to_numpy(), b[[*wnames]].to_numpy(), b["weight"].to_numpy(), width, radius) if len(a) and len(b) else np.zeros(len(a))
-        return pd.DataFrame({"node": a["node"], "x": found})
+        out = []
+        if len(a) and len(b):
+            place = np.repeat(np.arange(len(b)), b["sets"].map(len).to_numpy())
+            of, weight = np.concatenate(b["sets"].to_list()), np.concatenate(b["weights"].to_list())
+            order = np.argsort(of, kind="stable")
+            of, place, weight = of[order], place[order], weight[order]
+            start = np.flatnonzero(np.concatenate((np.ones(1, bool), of[1:] != of[:-1])))
+            p, q, node = a[[*names]].to_numpy(), b[[*wnames]].to_numpy(), a["node"].to_numpy()
+            for at in range(0, len(a), step := max(1, PAIRS // len(of))):
+                k = _kernel(p[at : at + step], q, width, radius)
+                total = (k[:, place] * weight) @ np.ones((len(of), 1)) if len(start) == 1 else np.add.reduceat(k[:, place] * weight, start, axis=1)
+                i, j = np.nonzero(total)
+                out.append(pd.DataFrame({"node": node[at : at + step][i], "set": of[start][j], "x": total[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"node": a["node"][:0], "set": np.zeros(0, np.int32), "x": np.zeros(0)})
+
+    return x.groupBy(*cells, "part").cogroup(y.groupBy(*cells, "part")).applyInPandas(sums, f"node {dict(p.dtypes)['node']}, set int, x double")
+
 
-    found = x.groupBy(*cells, "part").cogroup(y.groupBy(*cells, "part")).applyInPandas(sums, f"node {kind}, x double")
+def density(points: DataFrame, weights: DataFrame, width: float, cut: float = 6.0) -> DataFrame:
+    """(node, density) at every point: the sum of weights (node, weight) under a Gaussian kernel of great circles, over the sum of all weights. The kernel ends at `cut` widths, where it is below 2e-8 of
+    its peak at the default, so a weight reaches the points around it alone."""
+    own = points.select("node", "lon", "lat").join(weights.filter("weight <> 0").select("node", "weight"), "node")
+    sources = own.select("lon", "lat", F.array(F.lit(0)).alias("sets"), F.array(F.col("weight").cast("double")).alias("weights"))
     total = weights.agg(F.sum("weight").alias("__total"))
+    found = _summed(points, sources, width, min(cut * width, math.pi)).select("node", "x")
     return points.select("node").join(found, "node", "left").join(F.broadcast(total)).select("node", F.coalesce(F.try_divide(F.col("x"), F.col("__total")), F.lit(0.0)).alias("density"))
 
 
@@ -171,9 +184,13 @@ def without_outliers(points: DataFrame, region: DataFrame, width: float, cut: fl
 
 
 def densities(points: DataFrame, members: DataFrame, keys: list[str], width: float, cut: float = 6.0) -> DataFrame:
-    """(keys, node, density) of many sets of nodes (keys, node) at every point, each over its own greatest value. Which points are near which is found once for all sets: the pairs depend on the grid alone."""
-    places = points.select(F.col("node").alias("q"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    near = settle(within(points.select("node", "lon", "lat"), places, min(cut * width, math.pi)).select(F.col("q").alias("__q"), "node", F.exp(-F.pow(F.col("d") / width, 2) / 2).alias("__k")))
-    sums = members.select(*keys, F.col("node").alias("__q")).distinct().join(near, "__q").groupBy(*keys, "node").agg(F.sum("__k").alias("__x"))
-    top = sums.groupBy(*keys).agg(F.max("__x").alias("__top"))
-    return sums.join(top, keys).select(*keys, "node", (F.col("__x") / F.col("__top")).alias("density"))
+    """(keys, node, density) of many sets of nodes (keys, node) at every point that has one of them within reach, each over its own greatest value. The kernel of two points is found once for all sets."""
+    members = members.select(*keys, "node").distinct()
+    sets = settle(members.select(*keys).distinct().withColumn("__set", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("int")))  # a row a set
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    named = members.join(sets.withColumnsRenamed({k: f"__{k}" for k in keys}), same).select("node", "__set")
+    of = named.groupBy("node").agg(F.collect_list("__set").alias("sets")).withColumn("weights", F.transform("sets", lambda _: F.lit(1.0)))
+    found = _summed(points, points.select("node", "lon", "lat").join(of, "node"), width, min(cut * width, math.pi))
+    sums = settle(found.withColumnsRenamed({"set": "__set", "x": "__x"}))
+    top = sums.groupBy("__set").agg(F.max("__x").alias("__top")).join(sets, "__set")
+    return sums.join(top, "__set").select(*keys, "node", (F.col("__x") / F.col("__top")).alias("density"))

@@ -79,6 +79,22 @@ def test_density_in_parts_without_rows_of_pairs(spark, monkeypatch):
         assert [dense[k] for k in range(len(x))] == pytest.approx(want.tolist(), abs=1e-12)
 
 
+def test_densities_without_rows_of_pairs(spark, monkeypatch):
+    x = uneven()
+    sets = {"a": [*range(0, 150, 2)], None: [*range(100, 400, 3)], "c": [555]}
+    k = np.where(arcs(x, x) <= 0.6, np.exp(-((arcs(x, x) / 0.1) ** 2) / 2), 0)
+    want = {(s, n): v / k[ids].sum(0).max() for s, ids in sets.items() for n, v in enumerate(k[ids].sum(0)) if v > 0}
+
+    def rows(*_):
+        raise AssertionError("pairs are rows")
+
+    monkeypatch.setattr(sphere, "within", rows)
+    monkeypatch.setattr(sphere, "PART_POINTS", 40)
+    members = spark.createDataFrame([(s, n) for s, ids in sets.items() for n in [*ids, ids[0]]], "s string, node int")
+    got = {(r["s"], r["node"]): r["density"] for r in sphere.densities(table(spark, x, P), members, ["s"], 0.1).collect()}
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], abs=1e-12) for key in want)
+
+
 def test_outliers_fall_out(spark):
     x = uneven()
     region = spark.createDataFrame([(k,) for k in [*range(150, 300), 3]], "node int")
