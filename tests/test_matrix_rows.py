@@ -38,3 +38,19 @@ def test_repeated_links_are_added_up(spark):
 def test_no_row_is_spread_by_columns(spark):
     plan = attributes.wide_rows(spark.createDataFrame([(0, 1, 0.25)], "src int, dst int, weight double"), 3, "weight")._jdf.queryExecution().optimizedPlan().toString()
     assert "element_at" not in plan and "transform" not in plan
+
+
+def test_attributes_of_a_kind_are_counted_once(spark, monkeypatch):
+    from fieldweave.operators import closed
+    from fieldweave.operators import graph as G
+
+    nodes = spark.createDataFrame([(k, 0.0, 0.0) for k in range(4)], "node int, lon double, lat double")
+    links = [(0, 1), (1, 2), (0, 2), (2, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in links for a, b in ((x, y), (y, x))], "src int, dst int, weight double")
+    calls = []
+    for module, name in ((closed, "of_nodes"), (G, "degrees")):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *x, plain=plain, name=name, **y: calls.append(name) or plain(*x, **y))
+    found = attributes.with_node_attributes(nodes, edges, "degree", "triangles", "in_degree", "clustering", "forman").orderBy("node").collect()
+    assert [(r["degree"], r["triangles"], r["in_degree"], round(r["clustering"], 6)) for r in found] == [(4, 1, 2, 1.0), (4, 1, 2, 1.0), (6, 1, 3, 0.333333), (2, 0, 1, 0.0)]
+    assert sorted(calls) == ["degrees", "of_nodes"]
