@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import RADIUS_KM, haversine, in_box
 from . import closed
-from .lineage import settle
+from .lineage import drop, settle
 
 #: Most nodes of a table that goes to every task (some 20 MB a million of a number and two coordinates).
 SPREAD_NODES = 2_000_000
@@ -124,14 +124,17 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prune(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Take isolated nodes away until none is left; each round's tables are written to the shared folder, so plans stay short."""
-    keep = settle
+    """Take isolated nodes away until none is left. A round goes over the edges where they are and writes the nodes that stay; edges are as many as the square of the nodes and are neither written nor shuffled."""
+    kept, left, count = None, edges, nodes.count()
+    way = lambda end, out, into: F.struct(F.col(end).alias("node"), F.lit(out).alias("out"), F.lit(into).alias("into"))
     while True:
-        gone = keep(isolated(nodes, edges))
-        if gone.isEmpty():
-            return nodes, edges
-        nodes, edges = without(nodes, edges, gone)
-        nodes, edges = keep(nodes), keep(edges)
+        ends = left.select(F.explode(F.array(way("src", True, False), way("dst", False, True))).alias("e")).groupBy("e.node").agg(F.max("e.out").alias("out"), F.max("e.into").alias("into"))
+        now = settle((nodes if kept is None else kept).select("node").join(ends.filter("out AND into").select("node"), "node", "left_semi"))
+        drop(kept)
+        before, count = count, now.count()
+        if count == before:
+            return (nodes, edges) if left is edges else (nodes.join(spread(now), "node", "left_semi").select(*nodes.columns), between(edges, now, now).select(*edges.columns))
+        kept, left = now, between(edges, now, now)
 
 
 def cut_network(nodes: DataFrame, edges: DataFrame, lons: tuple[float, float], lats: tuple[float, float], dateline: bool = False) -> tuple[DataFrame, DataFrame]:

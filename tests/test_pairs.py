@@ -40,3 +40,29 @@ def test_plans_over_all_edges_write_none(spark):
     for name in ("symmetrise_dense", "edges_dedup", "edge_attr_lookup", "link_length"):
         plan = registry.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "hashpartitioning(src" not in plan and "hashpartitioning(a" not in plan, name
+
+
+def test_pruning_writes_nodes_alone(spark, monkeypatch):
+    """A chain falls apart from both ends, round by round, and leaves the ring that it hangs on."""
+    seen, plain = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df: seen.append(df.columns) or plain(df))
+    nodes = spark.createDataFrame([(k, float(k)) for k in range(9)], "node int, lon double")
+    links = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 3), (5, 6), (6, 7), (7, 99)]
+    edges = spark.createDataFrame([(a, b, 0.5) for a, b in links], "src int, dst int, corr double")
+    n, e = G.prune(nodes, edges)
+    assert _rows(n, "node", "lon") == [(k, float(k)) for k in (3, 4, 5)] and n.columns == nodes.columns
+    assert _rows(e, "src", "dst", "corr") == [(3, 4, 0.5), (4, 5, 0.5), (5, 3, 0.5)] and e.columns == edges.columns
+    assert seen and all(columns == ["node"] for columns in seen)
+
+
+def test_lengths_of_the_upper_quantile_write_no_edges(spark, monkeypatch):
+    from fieldweave.plans import registry
+
+    from .conftest import DATA
+
+    def written(*_, **__):
+        raise AssertionError("edges are written")
+
+    monkeypatch.setattr(registry, "settle", written)
+    assert registry.queries()["link_length_quantile"](spark, f"{DATA}/sf0.001").count() >= 0
+    assert registry.queries()["prune_isolated"](spark, f"{DATA}/sf0.001").count() >= 0
