@@ -40,3 +40,11 @@ def test_wedges_are_never_rows(spark):
     plan = closed.of_nodes(e)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert {tuple(r)[1:4] for r in closed.of_nodes(e).collect()} == {(599, 599, 599 * 598 // 2)}
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """Lists are shuffled once, when blocks are written (before: each to all pairs of blocks)."""
+    ids, a = planted(2, True)
+    e = spark.createDataFrame([(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(a), strict=True)], "src int, dst int")
+    plan = closed.of_links(e, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
